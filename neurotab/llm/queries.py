@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from neurotab.llm import licenses
+from neurotab.llm import licenses, tokens
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,5 +16,12 @@ def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(_table(spark, sf, "documents")).drop("blocks")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan,)}
+def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every document under the 50k byte-level BPE."""
+    import public_tokenizers
+
+    return tokens.count_tokens(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts)}
 ORACLES = {"op1_license_scan": licenses.oracle()}
