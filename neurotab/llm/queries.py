@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from neurotab.llm import language, licenses, tokens
+from neurotab.llm import language, licenses, tokens, warc
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,10 +23,15 @@ def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_warc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """WARC records of all pages, written into ZIP packages and read back."""
+    return warc.round_trip(_table(spark, sf, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     """Language of every document, learned from the documents that aren't held out."""
     return language.predict(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op9_language_id)}
-ORACLES = {"op1_license_scan": licenses.oracle()}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op6_warc_round_trip, op9_language_id)}
+ORACLES = {"op1_license_scan": licenses.oracle(), "op6_warc_round_trip": warc.ORACLE}
