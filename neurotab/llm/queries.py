@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from neurotab.llm import language, licenses, tokens, warc
+from neurotab.llm import language, licenses, neardup, tokens, warc
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -28,10 +28,15 @@ def op6_warc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf, "pages"))
 
 
+def op8_minhash_neardup(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of documents whose sets of word pairs are alike to 0.8."""
+    return neardup.groups(_table(spark, sf, "documents"), size=2)
+
+
 def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     """Language of every document, learned from the documents that aren't held out."""
     return language.predict(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op6_warc_round_trip, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op6_warc_round_trip, op8_minhash_neardup, op9_language_id)}
 ORACLES = {"op1_license_scan": licenses.oracle(), "op6_warc_round_trip": warc.ORACLE}
