@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from neurotab.llm import language, licenses, neardup, tokens, warc
+from neurotab.llm import language, licenses, neardup, substrings, tokens, warc
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -38,5 +38,10 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language.predict(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op6_warc_round_trip, op8_minhash_neardup, op9_language_id)}
+def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of every document without strings of 400 bytes that stand twice."""
+    return substrings.deduplicate(_table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op6_warc_round_trip, op8_minhash_neardup, op9_language_id, op10_suffix_dedup)}
 ORACLES = {"op1_license_scan": licenses.oracle(), "op6_warc_round_trip": warc.ORACLE}
