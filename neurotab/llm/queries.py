@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from neurotab.llm import language, licenses, neardup, substrings, tokens, warc
+from neurotab.llm import embeddings, language, licenses, neardup, substrings, tokens, warc
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_embedding_neardup(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and groups of vectors with a cosine of 0.9 or more."""
+    return embeddings.near_duplicates(_table(spark, sf, "embeddings"))
+
+
 def op6_warc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """WARC records of all pages, written into ZIP packages and read back."""
     return warc.round_trip(_table(spark, sf, "pages"))
@@ -43,5 +48,5 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.deduplicate(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op6_warc_round_trip, op8_minhash_neardup, op9_language_id, op10_suffix_dedup)}
-ORACLES = {"op1_license_scan": licenses.oracle(), "op6_warc_round_trip": warc.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op4_embedding_neardup, op6_warc_round_trip, op8_minhash_neardup, op9_language_id, op10_suffix_dedup)}
+ORACLES = {"op1_license_scan": licenses.oracle(), "op4_embedding_neardup": embeddings.ORACLE, "op6_warc_round_trip": warc.ORACLE}
