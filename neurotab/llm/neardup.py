@@ -6,13 +6,14 @@ Of two documents with Jaccard similarity s, each of the smallest values of their
 union is shared with probability s, so at s = 0.8 a pair shares none of the first
 12 with probability 0.2 ** 12, and under two of them with 2e-7.
 
-Lists give pairs. Members of a list longer than ``LONG`` are listed again by its
-value together with one more listed value and by size class, and those of a list
-that is long even then by two more, so that a common word pair doesn't pair all
-its documents. What is long after that mostly holds copies of one text: members
-are checked against the smallest one first, and then only members that it didn't
-reach are paired, with members of other components, so a list that is one
-component costs as many checks as it has members.
+Lists give pairs. What shares a value of a list of up to ``LONG`` members is found
+there, so what is left shares values of longer lists only. Their members are
+listed again by two such values at once, and where these lists are long by three,
+so that a common word pair doesn't pair all its documents. What is long after that
+mostly holds copies of one text: members are checked against the smallest one
+first, and then only members that it didn't reach are paired, with members of
+other components, so a list that is one component costs as many checks as it has
+members.
 
 Pairs whose sizes rule the similarity out go; then those whose union sketch (the
 ``SKETCH`` smallest hashes of both) estimates it below ``LEAST_ESTIMATE``, over
@@ -121,47 +122,46 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 def _split(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members of lists of 2 to LONG rows, and of longer ones."""
-    counts = lists.groupBy("key", "cls").agg(F.count("*").alias("members")).where("members > 1")
-    marked = lists.join(counts, ["key", "cls"])
+    counts = lists.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    marked = lists.join(counts, "key")
     return marked.where(F.col("members") <= LONG).drop("members"), marked.where(F.col("members") > LONG).drop("members")
 
 
 def _narrow(lists: DataFrame) -> DataFrame:
-    """Members listed by one more of their values each."""
-    more = lists.select("id", "n", "cls", "listed", "used", "key", F.explode(F.array_except("listed", "used")).alias("v"))
-    return more.select("id", "n", "cls", "listed", F.array_append("used", F.col("v")).alias("used"), F.col("key").bitwiseXOR(F.xxhash64("v")).alias("key")).dropDuplicates(["key", "cls", "id"])
+    """Members listed by their key together with each value that is left to them."""
+    more = lists.select("id", "n", "key", "rest", F.posexplode("rest").alias("i", "v"))
+    return more.select("id", "n", F.slice("rest", F.col("i") + 2, LISTED).alias("rest"), F.xxhash64("key", "v").alias("key"))
 
 
 def _pairs(lists: DataFrame) -> DataFrame:
     """All pairs a < b of members of a list."""
-    one = lists.select("key", "cls", F.col("id").alias("a"), F.col("n").alias("n_a"))
-    two = lists.select("key", "cls", F.col("id").alias("b"), F.col("n").alias("n_b"))
-    return one.join(two, ["key", "cls"]).where("a < b").select("a", "b", "n_a", "n_b")
+    one = lists.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"))
+    two = lists.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"))
+    return one.join(two, "key").where("a < b").select("a", "b", "n_a", "n_b")
 
 
 def _leaders(lists: DataFrame) -> DataFrame:
-    """(key, cls, a, n_a): the smallest member of each list."""
-    first = lists.groupBy("key", "cls").agg(F.min(F.struct("id", "n")).alias("f"))
-    return first.select("key", "cls", F.col("f.id").alias("a"), F.col("f.n").alias("n_a"))
+    """(key, a, n_a): the smallest member of each list."""
+    first = lists.groupBy("key").agg(F.min(F.struct("id", "n")).alias("f"))
+    return first.select("key", F.col("f.id").alias("a"), F.col("f.n").alias("n_a"))
 
 
 def candidates(scratch: Scratch, reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to verify, and the long lists (key, cls, id, n) of which so far only pairs with the smallest member are among them."""
-    base = 101.0 / percent
-    listed = reps.select("id", "n", F.slice("sketch", 1, LISTED).alias("listed"))
-    lists = listed.select("id", "n", F.lit(0).alias("cls"), "listed", F.explode("listed").alias("v"))
-    lists = lists.select("id", "n", "cls", "listed", F.array("v").alias("used"), F.xxhash64("v").alias("key"))
-    short, long = _split(lists)
+    """Pairs (a, b) to verify, and the long lists (key, id, n) of which so far only pairs with the smallest member are among them."""
+    listed = reps.select("id", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("key"))
+    short, long = _split(listed)
     found = [_pairs(short)]
-    sized = long.withColumn("c", F.floor(F.log("n") / F.log(F.lit(base))).cast("int")).withColumn("cls", F.explode(F.array(F.col("c"), F.col("c") + 1))).drop("c")
-    short, long = _split(_narrow(sized))
+    # pairs that share a value of a short list are found; the others share long ones only
+    rest = long.groupBy("id", "n").agg(F.sort_array(F.collect_list("key")).alias("rest")).where(F.size("rest") > 1)
+    two = _narrow(_narrow(rest.withColumn("key", F.lit(0).cast("long"))))
+    short, long = _split(two)
     long = scratch.cut(long)
-    found.append(_pairs(short))
+    found.append(_pairs(short.drop("rest")))
     short, long = _split(_narrow(long))
-    long = scratch.cut(long.select("key", "cls", "id", "n"))
-    found.append(_pairs(short))
-    members = long.select("key", "cls", F.col("id").alias("b"), F.col("n").alias("n_b"))
-    found.append(members.join(_leaders(long), ["key", "cls"]).where("a < b").select("a", "b", "n_a", "n_b"))
+    long = scratch.cut(long.select("key", "id", "n"))
+    found.append(_pairs(short.drop("rest")))
+    members = long.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"))
+    found.append(members.join(_leaders(long), "key").where("a < b").select("a", "b", "n_a", "n_b"))
     every = reduce(DataFrame.union, found)
     return scratch.cut(_fits(every, percent)), long
 
@@ -223,9 +223,9 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     if long.limit(1).count():
         labels = long.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         labels = scratch.cut(labels)
-        heads = _leaders(labels).select("key", "cls", F.col("a").alias("id")).join(labels, ["key", "cls", "id"]).select("key", "cls", F.col("component").alias("head"))
-        rest = labels.join(heads, ["key", "cls"]).where("component <> head").select("key", "cls", F.col("id").alias("x"), F.col("n").alias("n_a"), F.col("component").alias("c"))
-        across = rest.join(labels.withColumnRenamed("n", "n_b"), ["key", "cls"]).where("c <> component")
+        heads = _leaders(labels).select("key", F.col("a").alias("id")).join(labels, ["key", "id"]).select("key", F.col("component").alias("head"))
+        rest = labels.join(heads, "key").where("component <> head").select("key", F.col("id").alias("x"), F.col("n").alias("n_a"), F.col("component").alias("c"))
+        across = rest.join(labels.withColumnRenamed("n", "n_b"), "key").where("c <> component")
         more = scratch.cut(_fits(across.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"), "n_a", "n_b"), percent))
         links = links.union(verify(scratch, more, reps, docs, size, percent))
         reached = components(scratch, links)
