@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from neurotab.llm import embeddings, language, licenses, neardup, substrings, tokens, warc
+from neurotab.llm import embeddings, hamming, language, licenses, neardup, packing, pieces, substrings, tokens, warc
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,16 +24,34 @@ def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_hamming_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest sign codes of every vector whose id is divisible by 100."""
+    codes = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code("embedding").alias("code"))
+    return hamming.search(codes, codes.where("id % 100 = 0"))
+
+
 def op4_embedding_neardup(spark: SparkSession, sf: str) -> DataFrame:
     """Links and groups of vectors with a cosine of 0.9 or more."""
     return embeddings.near_duplicates(_table(spark, sf, "embeddings"))
 
 
+def op5_piece_encoding(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of every document under the 32k model, and whether they decode to it."""
+    import public_tokenizers
+
+    return pieces.encode(_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_warc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """WARC records of all pages, written into ZIP packages and read back."""
     return warc.round_trip(_table(spark, sf, "pages"))
 
 
+def op7_length_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches of all documents from length buckets of least padding."""
+    return packing.pack(_table(spark, sf, "documents"))
+
+
 def op8_minhash_neardup(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of documents whose sets of word pairs are alike to 0.8."""
     return neardup.groups(_table(spark, sf, "documents"), size=2)
@@ -48,5 +67,5 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.deduplicate(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op4_embedding_neardup, op6_warc_round_trip, op8_minhash_neardup, op9_language_id, op10_suffix_dedup)}
-ORACLES = {"op1_license_scan": licenses.oracle(), "op4_embedding_neardup": embeddings.ORACLE, "op6_warc_round_trip": warc.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_hamming_topk, op4_embedding_neardup, op5_piece_encoding, op6_warc_round_trip, op7_length_packing, op8_minhash_neardup, op9_language_id, op10_suffix_dedup)}
+ORACLES = {"op1_license_scan": licenses.oracle(), "op3_hamming_topk": hamming.ORACLE, "op4_embedding_neardup": embeddings.ORACLE, "op6_warc_round_trip": warc.ORACLE}
