@@ -55,3 +55,116 @@ def bouts(df: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, l
     b = runs.groupBy(*keys, "run", label).agg(F.min(time).alias("start"), F.max(time).alias("last"), F.count("*").alias("n"))
     following = F.lead("start").over(Window.partitionBy(*keys).orderBy("run"))
     return b.withColumn("duration", F.coalesce(following, F.col("last")) - F.col("start")).drop("last")
+
+
+def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Last non-null value up to each row; null before the first one."""
+    w = _over(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+
+
+def centred_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, width: int, out: str) -> DataFrame:
+    """Mean of the rows around each row that exist; an even width reaches one row further back than ahead."""
+    w = _over(keys, order).rowsBetween(-(width // 2), width - width // 2 - 1)
+    return df.withColumn(out, F.avg(value).over(w))
+
+
+def moving_average(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, width: int, out: str) -> DataFrame:
+    """Sum of the rows around each row over the full width: what lies beyond the ends counts as 0."""
+    w = _over(keys, order).rowsBetween(-(width // 2), width - width // 2 - 1)
+    return df.withColumn(out, F.sum(value).over(w) / float(width))
+
+
+def weighted_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, sigma: float, out: str) -> DataFrame:
+    """Gaussian smoothing cut at four sigma, with the series reflected at its ends."""
+    from math import exp
+
+    reach = int(4 * sigma + 0.5)
+    weights = [exp(-0.5 * (i / sigma) ** 2) for i in range(-reach, reach + 1)]
+    total, w = sum(weights), _over(keys, order)
+    every = Window.partitionBy(*keys)
+    d = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(every))
+    taps = d.select(*df.columns, F.col(value).alias("_x"), "_n", F.col("_i"), F.explode(F.array([F.struct(F.lit(k - reach).alias("o"), F.lit(g / total).alias("g")) for k, g in enumerate(weights)])).alias("_t"))
+    at = F.col("_i") + F.col("_t.o")
+    turn = F.pmod(at, 2 * F.col("_n"))  # d c b a | a b c d | d c b a
+    source = F.when(turn < F.col("_n"), turn).otherwise(2 * F.col("_n") - 1 - turn)
+    values = d.select(*keys, F.col("_i").alias("_s"), F.col(value).alias("_v"))
+    joined = taps.withColumn("_s", source).join(values, [*keys, "_s"])
+    return joined.groupBy(*df.columns).agg(F.sum(F.col("_v") * F.col("_t.g")).alias(out))
+
+
+def rising_edges(df: DataFrame, keys: Sequence[str], order: Sequence[str], above: Column) -> DataFrame:
+    """Rows where ``above`` holds and didn't hold in the row before (the first row counts as not above before)."""
+    now = df.withColumn("_now", F.coalesce(above, F.lit(False)))
+    return now.withColumn("_was", F.lag("_now", 1, False).over(_over(keys, order))).where("_now and not _was").drop("_now", "_was")
+
+
+def amplitude_bouts(df: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, value: str, k: float, shortest: float) -> DataFrame:
+    """Runs where |value| exceeds mean + k deviations; runs that touch either end or last ``shortest`` or less are dropped."""
+    every, w = Window.partitionBy(*keys), _over(keys, order)
+    limit = F.avg(F.abs(value)).over(every) + k * F.stddev_pop(F.abs(value)).over(every)
+    d = df.withColumn("_high", F.abs(value) > limit).withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count("*").over(every))
+    d = d.withColumn("_new", F.coalesce((F.lag("_high").over(w) != F.col("_high")).cast("int"), F.lit(1))).withColumn("run", F.sum("_new").over(w))
+    runs = d.withColumn("_next", F.lead(time).over(w)).groupBy(*keys, "run", "_high").agg(F.min(time).alias("start"), F.max("_next").alias("stop"), F.min("_i").alias("_a"), F.max("_i").alias("_b"), F.first("_n").alias("_n"))
+    inside = runs.where("_high and _a > 1 and _b < _n").withColumn("duration", F.col("stop") - F.col("start"))
+    return inside.where(F.col("duration") > shortest).select(*keys, "start", "stop", "duration")
+
+
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Rank of each value inside its key; ties share the mean of their ranks."""
+    rank = F.rank().over(_over(keys, [value]))
+    return df.withColumn(out, rank + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2.0)
+
+
+def sliding_windows(df: DataFrame, keys: Sequence[str], index: str, width: int, step: int) -> DataFrame:
+    """Each row once for every window [w * step, w * step + width) of its zero-based index that lies whole inside the series."""
+    n = F.count("*").over(Window.partitionBy(*keys))
+    last = F.floor((n - width) / float(step))
+    low = F.greatest(F.lit(0), F.ceil((F.col(index) - width + 1) / float(step)))
+    high = F.least(last, F.floor(F.col(index) / float(step)))
+    d = df.withColumn("_low", low).withColumn("_high", high).where("_high >= _low")
+    return d.withColumn("win", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
+
+
+def interpolate(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Linear interpolation over missing values by row position; ends take the nearest value."""
+    w = _over(keys, order)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    d = df.withColumn("_i", F.row_number().over(w))
+    known = F.when(F.col(value).isNotNull(), F.struct("_i", F.col(value).alias("v")))
+    d = d.withColumn("_p", F.last(known, ignorenulls=True).over(back)).withColumn("_q", F.first(known, ignorenulls=True).over(ahead))
+    slope = (F.col("_q.v") - F.col("_p.v")) * (F.col("_i") - F.col("_p._i")) / (F.col("_q._i") - F.col("_p._i"))
+    between = F.when(F.col("_q._i") > F.col("_p._i"), F.col("_p.v") + slope)
+    return d.withColumn(out, F.coalesce(F.col(value), between, F.col("_p.v"), F.col("_q.v"))).drop("_i", "_p", "_q")
+
+
+def refractory(df: DataFrame, keys: Sequence[str], time: str, dead: float) -> DataFrame:
+    """Times kept greedily: each more than ``dead`` after the last one kept.
+
+    A gap of more than ``dead`` between candidates restarts the rule, so only the
+    candidates of a gapless run are folded together.
+    """
+    w = _over(keys, ["_t"])
+    d = df.select(*keys, F.col(time).alias("_t")).withColumn("_new", F.coalesce((F.col("_t") - F.lag("_t").over(w) > dead).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w))
+    runs = d.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
+    keep = F.aggregate("_ts", F.array().cast("array<double>"), lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) > dead), F.array_append(kept, t)).otherwise(kept))
+    return runs.select(*keys, F.explode(keep).alias(time))
+
+
+def segments(df: DataFrame, time: str, pre: float, stim: float, post: float) -> DataFrame:
+    """Rows of [-pre, 0), [0, stim) and [stim, stim + post) labelled pre, stim and post; other rows go."""
+    t = F.col(time)
+    label = F.when((t >= -pre) & (t < 0), "pre").when((t >= 0) & (t < stim), "stim").when((t >= stim) & (t < stim + post), "post")
+    return df.withColumn("segment", label).where("segment is not null")
+
+
+def trapezoid(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str) -> DataFrame:
+    """Area under y over x by key, by trapezoids between neighbouring rows; null with one row."""
+    w = _over(keys, [x])
+    d = df.select(*keys, ((F.lead(x).over(w) - F.col(x)) * (F.lead(y).over(w) + F.col(y)) / 2.0).alias("_a"))
+    return d.groupBy(*keys).agg(F.sum("_a").alias(out))
+
+
+def transition_entropy(trans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sum of -p log2 p over the transitions of each key."""
+    return trans.groupBy(*keys).agg(F.sum(-F.col("prob") * F.log2("prob")).alias("entropy"))
