@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a, b, x):
@@ -75,14 +76,14 @@ def upper_gamma(a, x):
     return scale * h
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_student(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of a t statistic."""
     p = incomplete_beta(df / 2, 0.5, df / (df + t * t))
     return pd.Series(p).where(t.notna() & df.notna() & (df > 0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_chi2(h: pd.Series, df: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution."""
     return pd.Series([None if pd.isna(x) or pd.isna(k) or k <= 0 else upper_gamma(k / 2, x / 2) for x, k in zip(h, df)], dtype=float)
