@@ -4,16 +4,20 @@ One hash function orders all shingles. A document's sketch is its ``SKETCH``
 smallest shingle hashes, and the first ``LISTED`` of them go to inverted lists.
 Of two documents with Jaccard similarity s, each of the smallest values of their
 union is shared with probability s, so at s = 0.8 a pair shares none of the first
-12 with probability 0.2 ** 12, and under two of them with 2e-7.
-
-Lists give pairs. What shares a value of a list of up to ``LONG`` members is found
-there, so what is left shares values of longer lists only. Their members are
-listed again by two such values at once, and where these lists are long by three,
-so that a common word pair doesn't pair all its documents. What is long after that
-mostly holds copies of one text: members are checked against the smallest one
-first, and then only members that it didn't reach are paired, with members of
-other components, so a list that is one component costs as many checks as it has
-members.
+20 with probability 0.2 ** 20.
+
+Lists of up to ``LONG`` members give all their pairs. A value of a similar pair is
+unshared with probability 0.2 at most, so a document of which ``RARE`` listed
+values stand in short lists (or in its own only) misses a similar one with
+probability 3e-6 and is settled: a passage or word pair that many documents share
+doesn't pair them. What is left consists almost whole of values of long lists, as
+members of large groups of copies do. They are listed again by two neighbouring
+values of the whole sketch, and where these lists are long by three: 32 trials at
+0.8 have no run of three with probability 2e-5 (small sets stay listed by two). In
+lists that are long even then, members are checked against the smallest one first,
+and then only members outside the largest component of a list are paired, with
+members of other components, so a list that is one component costs as many checks
+as it has members.
 
 Pairs whose sizes rule the similarity out go; then those whose union sketch (the
 ``SKETCH`` smallest hashes of both) estimates it below ``LEAST_ESTIMATE``, over
@@ -40,7 +44,8 @@ from pyspark.sql import functions as F
 from neurotab.llm.common import Scratch, components, ship
 from neurotab.llm.tokens import grouped
 
-SKETCH, LISTED, LONG, LEAST_ESTIMATE = 32, 12, 64, 0.48
+SKETCH, LISTED, LONG, LEAST_ESTIMATE = 32, 20, 64, 0.48
+RARE, SMALL = 8, (20, 25)  # values of short lists that settle a document; sizes under which pairs, and from which triples, of values are listed
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _BLANK = np.zeros(256, bool)
@@ -127,12 +132,6 @@ def _split(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where(F.col("members") <= LONG).drop("members"), marked.where(F.col("members") > LONG).drop("members")
 
 
-def _narrow(lists: DataFrame) -> DataFrame:
-    """Members listed by their key together with each value that is left to them."""
-    more = lists.select("id", "n", "key", "rest", F.posexplode("rest").alias("i", "v"))
-    return more.select("id", "n", F.slice("rest", F.col("i") + 2, LISTED).alias("rest"), F.xxhash64("key", "v").alias("key"))
-
-
 def _pairs(lists: DataFrame) -> DataFrame:
     """All pairs a < b of members of a list."""
     one = lists.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"))
@@ -151,15 +150,19 @@ def candidates(scratch: Scratch, reps: DataFrame, percent: int) -> tuple[DataFra
     listed = reps.select("id", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("key"))
     short, long = _split(listed)
     found = [_pairs(short)]
-    # pairs that share a value of a short list are found; the others share long ones only
-    rest = long.groupBy("id", "n").agg(F.sort_array(F.collect_list("key")).alias("rest")).where(F.size("rest") > 1)
-    two = _narrow(_narrow(rest.withColumn("key", F.lit(0).cast("long"))))
+    # values that stand in one list alone settle a document as those of short lists do
+    common = long.groupBy("id").agg(F.count("*").alias("common"))
+    open_ = reps.join(common, "id").where(F.least("n", F.lit(LISTED)) - F.col("common") < RARE)
+    place = F.explode(F.sequence(F.lit(1), F.greatest(F.size("sketch") - 1, F.lit(1))))
+    two = open_.where(F.size("sketch") > 1).withColumn("i", place)
+    two = two.select("id", "n", F.xxhash64(F.element_at("sketch", F.col("i")), F.element_at("sketch", F.col("i") + 1)).alias("key"), F.get("sketch", F.col("i") + 1).alias("next"))
     short, long = _split(two)
     long = scratch.cut(long)
-    found.append(_pairs(short.drop("rest")))
-    short, long = _split(_narrow(long))
-    long = scratch.cut(long.select("key", "id", "n"))
-    found.append(_pairs(short.drop("rest")))
+    found.append(_pairs(short))
+    three = long.where((F.col("n") >= SMALL[0]) & F.col("next").isNotNull()).select("id", "n", F.xxhash64("key", "next").alias("key"))
+    short, longest = _split(three)
+    found.append(_pairs(short))
+    long = scratch.cut(longest.union(long.where(F.col("n") < SMALL[1]).select("key", "id", "n")))
     members = long.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"))
     found.append(members.join(_leaders(long), "key").where("a < b").select("a", "b", "n_a", "n_b"))
     every = reduce(DataFrame.union, found)
@@ -223,7 +226,8 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     if long.limit(1).count():
         labels = long.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         labels = scratch.cut(labels)
-        heads = _leaders(labels).select("key", F.col("a").alias("id")).join(labels, ["key", "id"]).select("key", F.col("component").alias("head"))
+        sizes = labels.groupBy("key", "component").agg(F.count("*").alias("size"))
+        heads = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.component").alias("head"))
         rest = labels.join(heads, "key").where("component <> head").select("key", F.col("id").alias("x"), F.col("n").alias("n_a"), F.col("component").alias("c"))
         across = rest.join(labels.withColumnRenamed("n", "n_b"), "key").where("c <> component")
         more = scratch.cut(_fits(across.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"), "n_a", "n_b"), percent))
