@@ -75,7 +75,7 @@ def brier_ece(df: DataFrame, y: str, p: str, bins: int = 10, keys: Sequence[str]
 
 def calibration_line(df: DataFrame, y: str, p: str, steps: int = 25) -> tuple[float, float]:
     """Slope and intercept of the logistic regression of y on logit(p), by Newton steps over five Spark sums each."""
-    a, b = 1.0, 0.0
+    a, b = 0.0, 0.0
     d = df.select(F.col(y).cast("double").alias("y"), logit(F.col(p)).alias("x")).cache()
     for _ in range(steps):
         m = sigmoid(a * F.col("x") + b)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from neurotab.plans import events, sales
+from neurotab.plans import events, sales, signals, texts, vectors
 
-MODULES = (events, sales)
+MODULES = (events, sales, signals, texts, vectors)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
