@@ -20,6 +20,7 @@ encoded as a blank, and so decoded as one. Repeated rows each get a result.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -55,7 +56,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
 class Model:
     """A model's pieces, and the units that were encoded before (at most ``most``)."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 500_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -139,8 +140,8 @@ class Model:
         by = np.argsort(end * 256 - self.lengths[k], kind="stable")  # longest first
         return start[by], end[by], self.sorted_ids[k][by]
 
-    def encode_units(self, units: list[str]) -> list[list[int]]:
-        """Ids of units all of whose characters are pieces."""
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """Ids, as bytes of int32, of units all of whose characters are pieces."""
         raw = [self._bytes(u) for u in units]
         data = np.frombuffer(b"\xff" + b"\xff".join(raw) + b"\xff", np.uint8)
         size = np.array([len(r) for r in raw])
@@ -149,33 +150,36 @@ class Model:
         for s in starts.tolist():
             last[s] = -1
         n, follows = self.n, self.follows
+        find, done = follows.get, 0
         for s, e, p in zip(*(x.tolist() for x in self.edges(data))):
-            if last[e] > -2:
+            if e == done:
                 continue  # reached: no other edge can be the one
             b = last[s]
             if b > -2:
-                ok = follows.get(b * n + p)
+                ok = find(b * n + p)
                 if ok or (ok is None and self.may_follow(b, p)):
-                    last[e], back[e] = p, s
+                    last[e], back[e], done = p, s, e
         out = []
         for s, e in zip(starts.tolist(), (starts + size).tolist()):
             ids = []
             while e > s:
                 ids.append(last[e])
                 e = back[e]
-            out.append(ids[::-1])
+            ids.reverse()
+            out.append(array("i", ids).tobytes())
         return out
 
     def learn(self, units: set[str], span: int = 1 << 20) -> dict[str, bytes]:
         """Ids, as bytes of int32, of units."""
-        split = {u: [u] if not set(u) - self.single else [p for p in self.outside.split(u) if p] for u in units}
-        plain = sorted({p for ps in split.values() for p in ps if p[0] in self.single})
-        ids: dict[str, list[int]] = {}
+        odd = {u: [p for p in self.outside.split(u) if p] for u in units if self.outside.search(u)}
+        plain = sorted({*units.difference(odd), *(p for ps in odd.values() for p in ps if p[0] in self.single)})
+        ids: dict[str, bytes] = {}
         for part in grouped(plain, span):
             ids.update(zip(plain[part], self.encode_units(plain[part])))
         # what is outside the vocabulary goes byte by byte
-        take = lambda p: ids[p] if p in ids else [self.byte[b] for b in p.encode()]
-        return {u: np.array([i for p in ps for i in take(p)], np.int32).tobytes() for u, ps in split.items()}
+        take = lambda p: ids[p] if p in ids else array("i", [self.byte[b] for b in p.encode()]).tobytes()
+        ids.update([(u, b"".join(map(take, ps))) for u, ps in odd.items()])
+        return ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         units = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
@@ -211,7 +215,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         m = model(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for s in grouped(texts):
+            for s in grouped(texts, 1 << 22):
                 ids = m.encode(texts[s])
                 same = [m.decode(i.tolist()) == t.replace(MARK, " ") for i, t in zip(ids, texts[s])]
                 offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
