@@ -183,7 +183,7 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str = "q", clip: bool = True,
     place = F.row_number().over(w.orderBy(F.col(p), F.xxhash64(*df.columns)))
     d = df.withColumn("_i", place).withColumn("_r", F.col(p) * n / F.col("_i"))
     q = F.min("_r").over(w.orderBy("_i").rowsBetween(0, Window.unboundedFollowing))
-    return d.withColumn(out, F.least(q, F.lit(1.0)) if clip else q).drop("_i", "_r")
+    return d.withColumn(out, F.when(F.col(p).isNotNull(), F.least(q, F.lit(1.0)) if clip else q)).drop("_i", "_r")
 
 
 def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, least: int = 5) -> DataFrame:
