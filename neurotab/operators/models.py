@@ -172,3 +172,128 @@ def contributions(df: DataFrame, names: Sequence[str], coefficients: Sequence[fl
     sd = np.sqrt(np.diag(cov)) + 1e-12
     r = df.agg(*(F.avg(F.abs(float(b / s) * (F.col(c) - float(m)))).alias(c) for c, b, m, s in zip(names, coefficients, mean, sd)))
     return r.unpivot([], list(names), "feature", "mean_abs").orderBy(F.desc("mean_abs"))
+
+
+def grid_search(df: DataFrame, names: Sequence[str], label: str, cs: Sequence[float], ratios: Sequence[float], fold: str, parallelism: int = 4):
+    """Cross-validated elastic net over penalties and L1 ratios, on a given fold column."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    n = df.count()
+    model = LogisticRegression(labelCol=label, standardization=False)
+    grid = ParamGridBuilder().addGrid(model.regParam, [1.0 / (c * n) for c in cs]).addGrid(model.elasticNetParam, list(ratios)).build()
+    judge = MulticlassClassificationEvaluator(labelCol=label, metricName="logLoss")
+    folds = df.agg(F.max(fold)).first()[0] + 1
+    return CrossValidator(estimator=Pipeline(stages=[*prepared(names), model]), estimatorParamMaps=grid, evaluator=judge, foldCol=fold, numFolds=folds, parallelism=parallelism).fit(df)
+
+
+def forest(df: DataFrame, names: Sequence[str], label: str, kind: str = "regression", trees: int = 100, depth: int = 8, seed: int = 0):
+    """Fitted pipeline of a random forest after median imputing; classes are weighted by their inverse share."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.regression import RandomForestRegressor
+
+    if kind == "regression":
+        model = RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
+    else:
+        n = F.count("*").over(Window.partitionBy(label))
+        df = df.withColumn("_weight", df.count() / n)
+        model = RandomForestClassifier(labelCol=label, weightCol="_weight", numTrees=trees, maxDepth=depth, seed=seed)
+    return Pipeline(stages=[*prepared(names), model]).fit(df)
+
+
+def chained_impute(df: DataFrame, names: Sequence[str], rounds: int = 2) -> DataFrame:
+    """Missing values by linear regression on the other columns, column after column, from medians on."""
+    medians = df.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in names)).first()
+    d = df.withColumns({f"_m_{c}": F.col(c).isNull() for c in names}).withColumns({c: F.coalesce(c, F.lit(medians[c])) for c in names})
+    for _ in range(rounds):
+        for c in names:
+            others = [o for o in names if o != c]
+            if d.where(F.col(f"_m_{c}")).limit(1).count():
+                fit = {t["term"]: t["coef"] for t in ols_hc3(d.where(~F.col(f"_m_{c}")), c, others)}
+                d = d.withColumn(c, F.when(F.col(f"_m_{c}"), F.lit(fit["intercept"]) + linear(others, [fit[o] for o in others])).otherwise(F.col(c)))
+    return d.drop(*(f"_m_{c}" for c in names))
+
+
+def oversample(df: DataFrame, names: Sequence[str], id: str, label: str, k: int = 5, seed: int = 0, start: float = 1.0) -> DataFrame:
+    """df and synthetic rows that bring every class to the largest one: points between a row and one of its k nearest of its class.
+
+    Three columns are handled, as the neighbour search is by cells of them.
+    """
+    from neurotab.operators.ranges import knn_join
+
+    sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}  # a row a class
+    most, out = max(sizes.values()), df.select(id, label, *names).withColumn("synthetic", F.lit(False))
+    for cls, n in sizes.items():
+        if n < 2 or n == most:
+            continue
+        own = df.where(F.col(label) == cls).select(id, *names)
+        near = knn_join(own, own, id, id, min(k, n - 1) + 1, start, names).where(F.col(id) != F.col(f"{id}_r"))
+        pick = F.row_number().over(Window.partitionBy(id).orderBy(F.xxhash64(F.lit(seed), id, f"{id}_r")))
+        copies = -(-(most - n) // n)
+        d = near.withColumn("_p", pick).where(F.col("_p") <= copies).withColumn("_o", F.row_number().over(Window.orderBy("_p", F.xxhash64(F.lit(seed), id)))).where(F.col("_o") <= most - n)
+        u = (F.pmod(F.xxhash64(F.lit(seed + 1), id, f"{id}_r"), F.lit(1 << 30)) / float(1 << 30))
+        mixed = d.select(id, F.lit(cls).alias(label), *((F.col(c) + u * (F.col(f"{c}_r") - F.col(c))).alias(c) for c in names), F.lit(True).alias("synthetic"))
+        out = out.unionByName(mixed)
+    return out
+
+
+def calibrate(df: DataFrame, y: str, p: str, method: str = "platt", out: str = "calibrated") -> DataFrame:
+    """Scores mapped by a logistic curve on their logit, or by isotonic regression."""
+    from neurotab.operators.evaluate import calibration_line, logit, sigmoid
+
+    if method == "platt":
+        a, b = calibration_line(df, y, p)
+        return df.withColumn(out, sigmoid(a * logit(F.col(p)) + b))
+    from pyspark.ml.regression import IsotonicRegression
+
+    return IsotonicRegression(featuresCol=p, labelCol=y, predictionCol=out).fit(df).transform(df)
+
+
+def quadratic(df: DataFrame, x: str, y: str) -> dict:
+    """Least-squares a x^2 + b x + c from power sums, and the vertex -b / 2a."""
+    s = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(*(F.sum(F.pow(F.col(x), F.lit(float(i)))) for i in range(5)), *(F.sum(F.pow(F.col(x), F.lit(float(i))) * F.col(y)) for i in range(3))).first()
+    m = np.array([[s[i + j] for j in (2, 1, 0)] for i in (2, 1, 0)], float)
+    a, b, c = np.linalg.solve(m, np.array([s[5 + i] for i in (2, 1, 0)], float))
+    return {"a": a, "b": b, "c": c, "vertex": -b / (2 * a) if a else None}
+
+
+def best_by_anova(df: DataFrame, names: Sequence[str], label: str, k: int) -> list[str]:
+    """The k features of largest ANOVA F."""
+    from pyspark.ml.feature import UnivariateFeatureSelector
+
+    v = VectorAssembler(inputCols=list(names), outputCol="_v", handleInvalid="skip").transform(df)
+    s = UnivariateFeatureSelector(featuresCol="_v", labelCol=label, selectionMode="numTopFeatures", outputCol="_s").setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(k)
+    return [names[i] for i in s.fit(v).selectedFeatures]
+
+
+def modules(edges: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """feature and module of a correlation graph (src, dst, rho) by power iteration on |rho|."""
+    from pyspark.ml.clustering import PowerIterationClustering
+
+    w = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.abs("rho").alias("weight")).where("weight > 0")
+    return PowerIterationClustering(k=k, weightCol="weight").assignClusters(w).select(F.col("id").alias("feature"), F.col("cluster").alias("module"))
+
+
+def module_scores(df: DataFrame, members: DataFrame, sample: str, feature: str, value: str) -> DataFrame:
+    """Mean z (sample deviation) of a module's features in each sample."""
+    w = Window.partitionBy(feature)
+    z = (F.col(value) - F.avg(value).over(w)) / F.when(F.stddev_samp(value).over(w) > 0, F.stddev_samp(value).over(w))
+    return df.withColumn("_z", z).join(members, feature).groupBy(sample, "module").agg(F.avg("_z").alias("score"))
+
+
+def influence(df: DataFrame, id: str, y: str, p: str) -> DataFrame:
+    """Change of the AUC when each row is left out, from rank sums: no refit and no pair of rows."""
+    from neurotab.operators.evaluate import score_counts
+
+    c = score_counts(df, y, p)
+    low, every = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    neg = F.col("n") - F.col("pos")
+    c = c.withColumn("nb", F.coalesce(F.sum(neg).over(low), F.lit(0.0)) + neg / 2.0).withColumn("pb", F.coalesce(F.sum("pos").over(low), F.lit(0.0)) + F.col("pos") / 2.0)
+    c = c.withColumn("n_p", F.sum("pos").over(every)).withColumn("n_n", F.sum(neg).over(every)).withColumn("u_all", F.sum(F.col("pos") * F.col("nb")).over(every)).select(F.col("p").alias("_p"), "nb", "pb", "n_p", "n_n", "u_all")
+    j = df.join(c, F.col(p) == F.col("_p"))
+    less = F.when(F.col(y) == 1, F.col("nb")).otherwise(F.col("n_p") - F.col("pb"))
+    pairs = F.when(F.col(y) == 1, (F.col("n_p") - 1) * F.col("n_n")).otherwise(F.col("n_p") * (F.col("n_n") - 1))
+    return j.select(id, F.when(pairs > 0, (F.col("u_all") - less) / pairs - F.col("u_all") / (F.col("n_p") * F.col("n_n"))).alias("change"))
