@@ -239,3 +239,17 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     out = found.select("doc_id", "n_shingles", "set_id").join(whole, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+#: The same rows for two-word shingles in SQL for DuckDB, every pair that shares a shingle counted.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w)<2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i]||' '||w[i+1]) END) sh FROM d)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b ON a.sh=b.sh AND a.doc_id<b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id=a JOIN n y ON y.doc_id=b WHERE 100*c>=80*(x.n+y.n-c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b=e.a),
+m AS (SELECT a, min(b) m FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::bigint n_shingles, least(d.doc_id, coalesce(m.m, d.doc_id)) component_id, d.doc_id=least(d.doc_id, coalesce(m.m, d.doc_id)) kept
+FROM d LEFT JOIN n ON n.doc_id=d.doc_id LEFT JOIN m ON m.a=d.doc_id"""

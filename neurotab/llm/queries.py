@@ -68,4 +68,4 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_hamming_topk, op4_embedding_neardup, op5_piece_encoding, op6_warc_round_trip, op7_length_packing, op8_minhash_neardup, op9_language_id, op10_suffix_dedup)}
-ORACLES = {"op1_license_scan": licenses.oracle(), "op3_hamming_topk": hamming.ORACLE, "op4_embedding_neardup": embeddings.ORACLE, "op6_warc_round_trip": warc.ORACLE}
+ORACLES = {"op1_license_scan": licenses.oracle(), "op3_hamming_topk": hamming.ORACLE, "op4_embedding_neardup": embeddings.ORACLE, "op6_warc_round_trip": warc.ORACLE, "op8_minhash_neardup": neardup.ORACLE}
