@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +81,36 @@ def pad_groups(hits: DataFrame, key: str, right_key: str, n: int) -> DataFrame:
     g = hits.groupBy(key).agg(ids.alias("_ids"))
     full = F.concat("_ids", F.array_repeat(F.col("_ids")[0], n - F.size("_ids")))
     return g.select(key, F.posexplode(full).alias("slot", right_key))
+
+
+def surface_nodes(df: DataFrame, x: str, y: str, n: int) -> list[tuple[float, float]]:
+    """The n x n nodes of an even grid over the range of x and y; none for an empty table."""
+    r = tuple(df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first())
+    if None in r:
+        return []
+    return [(float(a), float(b)) for a in np.linspace(r[0], r[1], n) for b in np.linspace(r[2], r[3], n)]
+
+
+def kernel_surface(df: DataFrame, x: str, y: str, z: str, nodes: Sequence[tuple[float, float]], sigma: float = 4.0) -> DataFrame:
+    """(x, y, z): at each node the mean of all known z, weighted by a Gaussian of the distance; null where all weights vanish.
+
+    The nodes are the query set, whose size doesn't depend on the table. A task adds
+    up weights block by block and emits one row a node, so nothing else is shuffled.
+    Rows with a null or NaN in a column don't count.
+    """
+    at = np.array(nodes, float).reshape(-1, 2)
+
+    def sums(batches):
+        total = np.zeros((2, len(at)))
+        for batch in batches:
+            p = batch.to_numpy(float)
+            for b in range(0, len(p), 512):
+                q = p[b : b + 512]
+                w = np.exp(-((q[:, :1] - at[:, 0]) ** 2 + (q[:, 1:2] - at[:, 1]) ** 2) / (2 * sigma * sigma))
+                total += [w.sum(0), q[:, 2] @ w]
+        yield pd.DataFrame({"x": at[:, 0], "y": at[:, 1], "w": total[0], "wz": total[1]})
+
+    known = df.select(*(F.col(c).cast("double").alias(n) for c, n in zip((x, y, z), ("x", "y", "z")))).dropna()
+    parts = known.mapInPandas(sums, "x double, y double, w double, wz double")
+    total = parts.groupBy("x", "y").agg(F.sum("w").alias("w"), F.sum("wz").alias("wz"))
+    return total.select("x", "y", F.when(F.col("w") > 0, F.col("wz") / F.col("w")).alias("z"))

@@ -245,6 +245,56 @@ def waveform_features(df: DataFrame) -> DataFrame:
     return df.withColumns({"p2p": F.array_max(w) - F.array_min(w), "trough": F.array_min(w), "peak": F.array_max(w), "energy": F.aggregate(w, F.lit(0.0), lambda s, v: s + v * v)})
 
 
+def interval_violations(spikes: DataFrame, keys: Sequence[str], index: str, fs: float, refractory_ms: float = 1.5, few: float | None = 0.0) -> DataFrame:
+    """keys, n_spikes and the percentage of intervals strictly under the refractory time; ``few`` where there are less than two spikes.
+
+    An interval is too short if the spike before lies within that time, so keys are
+    cut to stretches of 1,000 refractory times with a halo of one: no key is one task.
+    """
+    from pyspark.sql import Window
+
+    gap = refractory_ms * 1e-3 * fs
+    t, width = F.col(index).cast("double"), 1000 * gap
+    s = spikes.select(*keys, t.alias("_t"), F.explode(F.sequence(F.floor(t / width), F.floor((t + gap) / width))).alias("_b"))
+    before = F.lag("_t").over(Window.partitionBy(*keys, "_b").orderBy("_t"))
+    s = s.withColumn("_short", (F.col("_t") - before) / fs < refractory_ms * 1e-3).where(F.col("_b") == F.floor(F.col("_t") / width))
+    n, short = F.count("*"), F.sum(F.coalesce(F.col("_short").cast("double"), F.lit(0.0)))
+    return s.groupBy(*keys).agg(n.alias("n_spikes"), F.when(n < 2, F.lit(few)).otherwise(short / (n - 1) * 100).cast("double").alias("isi_violation"))
+
+
+def signal_to_noise(waves: DataFrame, keys: Sequence[str], waveform: str = "waveform") -> DataFrame:
+    """Four ratios of a cluster's waveforms of equal length.
+
+    snr_baseline: mean peak to peak over twice the deviation of the first fifth of
+    samples, infinite without noise. snr_residual: peak to peak of the mean waveform
+    over twice the median over samples of the residual deviation (plus 1e-12).
+    snr_single: the same without the factor of two, null without noise. snr_peak:
+    largest mean magnitude over the deviation of the first five samples, null without
+    noise. Deviations are those of the population. Clusters without a waveform have no row.
+    """
+    w = F.col(waveform)
+    p2p = waves.where(F.size(w) > 0).withColumns({"_p2p": F.array_max(w) - F.array_min(w), "_fifth": F.greatest(F.lit(1), F.floor(F.size(w) / 5))})
+    v = p2p.select(*keys, "_p2p", "_fifth", F.posexplode(w).alias("_i", "_v"))
+    by_place = v.groupBy(*keys, "_i").agg(F.avg("_v").alias("_m"), F.stddev_pop("_v").alias("_r"))
+    shape = by_place.groupBy(*keys).agg((F.max("_m") - F.min("_m")).alias("_mp"), F.max(F.abs("_m")).alias("_top"), F.median("_r").alias("_noise"))
+    every = v.groupBy(*keys).agg(F.avg("_p2p").alias("_ap"), F.stddev_pop(F.when(F.col("_i") < F.col("_fifth"), F.col("_v"))).alias("_base"), F.stddev_pop(F.when(F.col("_i") < 5, F.col("_v"))).alias("_five"))
+    ratios = {
+        "snr_baseline": F.when(F.col("_base") <= 1e-12, F.lit(float("inf"))).otherwise(F.col("_ap") / (2 * F.col("_base"))),
+        "snr_residual": F.col("_mp") / (2 * (F.col("_noise") + 1e-12)),
+        "snr_single": F.when(F.col("_noise") > 0, F.col("_mp") / F.col("_noise")),
+        "snr_peak": F.when(F.col("_five") > 0, F.col("_top") / F.col("_five")),
+    }
+    return shape.join(every, list(keys)).select(*keys, *(c.alias(n) for n, c in ratios.items()))
+
+
+def cluster_quality(spikes: DataFrame, waves: DataFrame, keys: Sequence[str], index: str, fs: float, refractory_ms: float = 1.5, few: float | None = 0.0) -> DataFrame:
+    """Number of spikes, interval violations and signal-to-noise ratios of each cluster; ratios are NaN where it has no waveform."""
+    ratios = ("snr_baseline", "snr_residual", "snr_single", "snr_peak")
+    none = signal_to_noise(waves, keys).withColumn("_known", F.lit(True))
+    j = interval_violations(spikes, keys, index, fs, refractory_ms, few).join(none, list(keys), "left")
+    return j.withColumns({c: F.when(F.col("_known").isNull(), F.lit(float("nan"))).otherwise(F.col(c)) for c in ratios}).drop("_known")
+
+
 def average_reference(df: DataFrame, at: Sequence[str], value: str) -> DataFrame:
     """Values minus the mean over channels at the same place."""
     from pyspark.sql import Window

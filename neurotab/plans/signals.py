@@ -43,6 +43,23 @@ def signal_waveforms(spark, sf):
     return w.select("user_id", F.col("spike").cast("long").alias("spike"), *(r6(F.col(c)).alias(c) for c in ("p2p", "trough", "peak")), F.round("energy", 4).alias("energy"))
 
 
+@query("""WITH t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)-1 i, value FROM events), s AS (SELECT user_id, i s FROM t WHERE value>150),
+g AS (SELECT user_id, count(*) n_spikes, CASE WHEN count(*)<2 THEN 0.0 ELSE 100.0::double*sum(CASE WHEN d<5 THEN 1 ELSE 0 END)/(count(*)-1) END v FROM (SELECT user_id, s-lag(s) OVER (PARTITION BY user_id ORDER BY s) d FROM s) GROUP BY 1),
+w AS (SELECT user_id, s, i-s+3 k, value v, count(*) OVER (PARTITION BY user_id, s) c FROM s JOIN t USING (user_id) WHERE i>=s-3 AND i<s+5),
+p AS (SELECT user_id, s, max(v)-min(v) p2p FROM w WHERE c=8 GROUP BY 1, 2), a AS (SELECT user_id, avg(p2p) ap FROM p GROUP BY 1),
+f AS (SELECT user_id, stddev_pop(v) FILTER (k<1) base, stddev_pop(v) FILTER (k<5) five FROM w WHERE c=8 GROUP BY 1),
+m AS (SELECT user_id, k, avg(v) m, stddev_pop(v) r FROM w WHERE c=8 GROUP BY 1, 2), h AS (SELECT user_id, max(m)-min(m) mp, max(abs(m)) top, median(r) noise FROM m GROUP BY 1)
+SELECT g.user_id, n_spikes, round(v, 6) isi_violation, round(CASE WHEN base>1e-12 THEN ap/(2*base) END, 6) snr_baseline, round(CASE WHEN noise>1e-9 THEN mp/(2*(noise+1e-12)) END, 6) snr_residual, round(CASE WHEN noise>1e-9 THEN mp/noise END, 6) snr_single, round(CASE WHEN five>1e-9 THEN top/five END, 6) snr_peak
+FROM g LEFT JOIN a USING (user_id) LEFT JOIN f USING (user_id) LEFT JOIN h USING (user_id)""")
+def signal_cluster_quality(spark, sf):
+    t = traces(spark, sf)
+    spikes = t.where("value > 150").select("user_id", F.col("i").cast("double").alias("i"))
+    q = signal.cluster_quality(spikes, signal.waveforms(spikes, t, ["user_id"], "i", "value", 3, 5), ["user_id"], "i", 10.0, 500.0)
+    # ratios without noise or without waveforms are null here
+    ratio = {c: r6(F.when(F.abs(F.col(c)) < 1e9, F.col(c))) for c in ("snr_baseline", "snr_residual", "snr_single", "snr_peak")}
+    return q.withColumn("isi_violation", r6(F.col("isi_violation"))).withColumns(ratio)
+
+
 @query("""WITH t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)-1 i, value FROM events)
 SELECT user_id, i, round(value-avg(value) OVER (PARTITION BY i), 6) referenced, round(value-avg(CASE WHEN i BETWEEN 0 AND 9 THEN value END) OVER (PARTITION BY user_id), 6) corrected FROM t""")
 def signal_reference(spark, sf):
