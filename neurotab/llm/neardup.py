@@ -17,7 +17,8 @@ values of the whole sketch, and where these lists are long by three: 32 trials a
 lists that are long even then, members are checked against the smallest one first,
 and then only members outside the largest component of a list are paired, with
 members of other components, so a list that is one component costs as many checks
-as it has members.
+as it has members. These pairs are judged inside their join by sketches of ``WIDE``
+values, which are whole sets for most documents.
 
 Pairs whose sizes rule the similarity out go; then those whose union sketch (the
 ``SKETCH`` smallest hashes of both) estimates it below ``LEAST_ESTIMATE``, over
@@ -46,6 +47,7 @@ from neurotab.llm.tokens import grouped
 
 SKETCH, LISTED, LONG, LEAST_ESTIMATE = 32, 20, 64, 0.48
 RARE, SMALL = 8, (20, 25)  # values of short lists that settle a document; sizes under which pairs, and from which triples, of values are listed
+WIDE, WIDE_ESTIMATE, SALTS = 512, 0.72, 16  # the same for members of long lists across components; parts of a long list
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _BLANK = np.zeros(256, bool)
@@ -174,6 +176,24 @@ def _fits(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b").distinct()
 
 
+def full_sets(docs: DataFrame, wanted: DataFrame, size: int, most: int | None = None) -> DataFrame:
+    """(id, n, s) for the documents (id, set_id) wanted: size of the set, and as bytes all its hashes, or as an array its ``most`` smallest."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id").select("id", "set_id", "text")
+    kind = pa.list_(pa.int64()) if most else pa.binary()
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            for s in grouped(texts, 1 << 21):
+                sets = shingle_sets(texts[s], size)
+                own = [_digest(x.tobytes()) == d for x, d in zip(sets, batch.column(1)[s.start : s.stop].to_pylist())]
+                values = [x[:most] if most else x.tobytes() for x in sets]
+                columns = [batch.column(0)[s.start : s.stop], pa.array([len(x) for x in sets], pa.int64()), pa.array(values, kind)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "s"]).filter(pa.array(own, pa.bool_()))
+
+    return texts.mapInArrow(run, f"id long, n long, s {'array<long>' if most else 'binary'}").dropDuplicates(["id"])
+
+
 def verify(scratch: Scratch, pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, as (src, dst): by union sketch first, then on full sets."""
     sketch = reps.select("id", "sketch")
@@ -182,17 +202,7 @@ def verify(scratch: Scratch, pairs: DataFrame, reps: DataFrame, docs: DataFrame,
     shared = F.size(F.array_intersect(union, F.array_intersect("x", "y")))
     near = scratch.cut(both.where(shared >= LEAST_ESTIMATE * F.size(union)).select("a", "b"))
     wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct().join(reps.select("id", "set_id"), "id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id")
-
-    def full(batches):
-        for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            for s in grouped(texts, 1 << 21):
-                sets = [x.tobytes() for x in shingle_sets(texts[s], size)]
-                own = [_digest(x) == d for x, d in zip(sets, batch.column(1)[s.start : s.stop].to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], pa.array(sets, pa.binary())], ["id", "s"]).filter(pa.array(own, pa.bool_()))
-
-    sets = scratch.cut(texts.select("id", "set_id", "text").mapInArrow(full, "id long, s binary").dropDuplicates(["id"]))
+    sets = scratch.cut(full_sets(docs, wanted, size).select("id", "s"))
     joined = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
 
     def check(batches):
@@ -209,6 +219,39 @@ def verify(scratch: Scratch, pairs: DataFrame, reps: DataFrame, docs: DataFrame,
     return links
 
 
+def across(scratch: Scratch, long: DataFrame, reached: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of long lists that lie in different components and pass a sketch of ``WIDE`` values.
+
+    Lists with the same largest component are laid together, so a pair is looked at
+    once. Members are dealt by hash to ``SALTS`` parts, and those outside the largest
+    component go to every part. The sketch is compared in the join itself: pairs that
+    it rules out are never rows. Sets of up to ``WIDE`` values are compared exactly.
+    """
+    labels = long.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labels = scratch.cut(labels.select("key", "id", "component"))
+    sizes = labels.groupBy("key", "component").agg(F.count("*").alias("size"))
+    heads = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.component").alias("head"))
+    members = scratch.cut(labels.join(heads, "key").select("head", "id", "component").distinct())
+    wanted = members.select("id").distinct().join(reps.select("id", "set_id"), "id")
+    wide = scratch.cut(full_sets(docs, wanted, size, WIDE))
+    members = members.join(wide, "id")
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
+    y = members.select("head", salt.alias("salt"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("s").alias("y"))
+    x = members.where("component <> head").select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("s").alias("x"))
+    shared = F.size(F.array_intersect("x", "y"))
+    union = F.slice(F.array_sort(F.array_union("x", "y")), 1, WIDE)
+    estimate = F.size(F.array_intersect(union, F.array_intersect("x", "y"))) >= WIDE_ESTIMATE * F.size(union)
+    whole = F.greatest("n_a", "n_b") <= WIDE
+    # a pair outside the largest component is met from both sides: once is enough
+    other = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("head")) | (F.col("a") < F.col("b")))
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    alike = F.when(whole, 100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).otherwise(estimate)
+    found = x.join(y, ["head", "salt"]).where(other & fits & alike)
+    more = scratch.cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    scratch.drop(labels, wide)
+    return more
+
+
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
     ship(docs.sparkSession)
@@ -224,16 +267,10 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     scratch.drop(pairs)
     reached = components(scratch, links)
     if long.limit(1).count():
-        labels = long.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        labels = scratch.cut(labels)
-        sizes = labels.groupBy("key", "component").agg(F.count("*").alias("size"))
-        heads = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.component").alias("head"))
-        rest = labels.join(heads, "key").where("component <> head").select("key", F.col("id").alias("x"), F.col("n").alias("n_a"), F.col("component").alias("c"))
-        across = rest.join(labels.withColumnRenamed("n", "n_b"), "key").where("c <> component")
-        more = scratch.cut(_fits(across.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"), "n_a", "n_b"), percent))
+        more = across(scratch, long, reached, reps, docs, size, percent)
         links = links.union(verify(scratch, more, reps, docs, size, percent))
         reached = components(scratch, links)
-        scratch.drop(labels, more)
+        scratch.drop(more)
     # members of a class go where its smallest document goes
     whole = first.join(reached, first.id == reached.node, "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
     out = found.select("doc_id", "n_shingles", "set_id").join(whole, "set_id", "left")
