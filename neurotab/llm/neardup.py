@@ -6,19 +6,22 @@ Of two documents with Jaccard similarity s, each of the smallest values of their
 union is shared with probability s, so at s = 0.8 a pair shares none of the first
 20 with probability 0.2 ** 20.
 
-Lists of up to ``LONG`` members give all their pairs. A value of a similar pair is
-unshared with probability 0.2 at most, so a document of which ``RARE`` listed
-values stand in short lists (or in its own only) misses a similar one with
-probability 3e-6 and is settled: a passage or word pair that many documents share
-doesn't pair them. What is left consists almost whole of values of long lists, as
-members of large groups of copies do. They are listed again by two neighbouring
-values of the whole sketch, and where these lists are long by three: 32 trials at
-0.8 have no run of three with probability 2e-5 (small sets stay listed by two). In
-lists that are long even then, members are checked against the smallest one first,
-and then only members outside the largest component of a list are paired, with
-members of other components, so a list that is one component costs as many checks
-as it has members. These pairs are judged inside their join by sketches of ``WIDE``
-values, which are whole sets for most documents.
+Lists of up to ``LONG`` members give all their pairs. Of a document's listed values
+those in short lists, or in its own only, are rare. The rare values of a near copy
+may be just the ones that its edits don't share, so a document is settled only when
+it has more of them than a similar one may leave out of its list: at 0.8 these are
+at most as many as a draw of 20 from a union holds of its unshared fifth, 14 or more
+with probability 1.8e-6; small sets have fewer unshared values and need fewer rare
+ones (``settling``). A passage or word pair that many documents share doesn't pair
+the settled ones. What is left has many values of long lists, as members of large
+groups of copies do, and is listed again by two neighbouring values of the whole
+sketch, and where these lists are long by three: 32 trials at 0.8 have no run of
+three with probability 2e-5 (small sets stay listed by two). In lists that are long
+even then, members are checked against the smallest one first, and then only members
+outside the largest component of a list are paired, with members of other
+components, so a list that is one component costs as many checks as it has members.
+These pairs are judged inside their join by sketches of ``WIDE`` values, which are
+whole sets for most documents.
 
 Pairs whose sizes rule the similarity out go; then those whose union sketch (the
 ``SKETCH`` smallest hashes of both) estimates it below ``LEAST_ESTIMATE``, over
@@ -36,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +50,7 @@ from neurotab.llm.common import Scratch, components, ship
 from neurotab.llm.tokens import grouped
 
 SKETCH, LISTED, LONG, LEAST_ESTIMATE = 32, 20, 64, 0.48
-RARE, SMALL = 8, (20, 25)  # values of short lists that settle a document; sizes under which pairs, and from which triples, of values are listed
+MISS, SMALL = 2e-6, (20, 25)  # chance that a settled document misses a similar one; sizes under which pairs, and from which triples, of values are listed
 WIDE, WIDE_ESTIMATE, SALTS = 512, 0.72, 16  # the same for members of long lists across components; parts of a long list
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -147,14 +151,40 @@ def _leaders(lists: DataFrame) -> DataFrame:
     return first.select("key", F.col("f.id").alias("a"), F.col("f.n").alias("n_a"))
 
 
+def settling(percent: int) -> list[tuple[int, int]]:
+    """(size, rare values) by size: a set of that size or more is settled by so many rare values."""
+
+    def least(tail) -> int:
+        return next((r for r in range(1, LISTED + 1) if tail(r) <= MISS), LISTED + 1)
+
+    def drawn(union: int) -> int:
+        """As needed where the union has that size and ``apart`` unshared values."""
+        apart, k = union * (100 - percent) // 100, min(LISTED, union)
+        return least(lambda r: sum(comb(apart, i) * comb(union - apart, k - i) for i in range(r, k + 1)) / comb(union, k))
+
+    u = (100 - percent) / 100
+    most = least(lambda r: sum(comb(LISTED, i) * u**i * (1 - u) ** (LISTED - i) for i in range(r, LISTED + 1)))
+    out, need, n, union = [], 0, 0, 0
+    while need < most and n < 5000:
+        n, now = n + 1, need
+        while union < n * 100 // percent:
+            union += 1
+            now = max(now, drawn(union))
+        if now > need:
+            need = now
+            out.append((n, need))
+    return out if need == most else [*out, (n, most)]
+
+
 def candidates(scratch: Scratch, reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) to verify, and the long lists (key, id, n) of which so far only pairs with the smallest member are among them."""
     listed = reps.select("id", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("key"))
     short, long = _split(listed)
     found = [_pairs(short)]
-    # values that stand in one list alone settle a document as those of short lists do
+    # values that stand in one list alone are rare as those of short lists are
     common = long.groupBy("id").agg(F.count("*").alias("common"))
-    open_ = reps.join(common, "id").where(F.least("n", F.lit(LISTED)) - F.col("common") < RARE)
+    need = reduce(lambda e, step: F.when(F.col("n") >= step[0], step[1]).otherwise(e), settling(percent), F.lit(1))
+    open_ = reps.join(common, "id").where(F.least("n", F.lit(LISTED)) - F.col("common") < need)
     place = F.explode(F.sequence(F.lit(1), F.greatest(F.size("sketch") - 1, F.lit(1))))
     two = open_.where(F.size("sketch") > 1).withColumn("i", place)
     two = two.select("id", "n", F.xxhash64(F.element_at("sketch", F.col("i")), F.element_at("sketch", F.col("i") + 1)).alias("key"), F.get("sketch", F.col("i") + 1).alias("next"))

@@ -219,6 +219,34 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     assert [got[i] for i in range(len(sets))] == label
 
 
+def test_members_with_inserted_text_of_a_large_group(spark):
+    """Rare values of a near copy are those of its inserted text: they don't settle it."""
+    r = random.Random(31)
+    base = words(400, 400)
+    texts = [base] + [f"{base} {words(1000 + i, 1)}{i}" for i in range(70)]
+    texts += [f"{base} {words(2000 + i, round(400 * r.uniform(0.15, 0.25)))}" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in neardup.groups(df, 2).collect()}
+    sets = [shingles(t, 2) for t in texts]
+    label = list(range(len(sets)))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for _ in range(4):
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    assert sum(c == 0 for c in label) > 300 and [got[i] for i in range(len(sets))] == label
+
+
+def test_values_that_settle():
+    assert neardup.settling(80)[-1][1] == 14 and neardup.settling(80)[0] == (1, 1)
+    r = random.Random(5)
+    for n in (4, 12, 20, 30):  # a set of n values and one of its supersets at 0.8: fewer listed values are lost than settle
+        need = [k for low, k in neardup.settling(80) if low <= n][-1]
+        for _ in range(2000):
+            x, y = {r.random() for _ in range(n)}, {r.random() for _ in range(n // 4)}
+            a, b = sorted(x)[: neardup.LISTED], sorted(x | y)[: neardup.LISTED]
+            assert len(set(a) - set(b)) < need
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "src long, dst long")
     got = {r.node: r.component for r in components(Scratch(spark, "c"), edges).collect()}
