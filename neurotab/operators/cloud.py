@@ -18,34 +18,42 @@ def unit_sphere(df: DataFrame, keys: Sequence[str], names: Sequence[str] = ("x",
     return d.withColumn("_r", F.max(norm).over(w) + 1e-6).withColumns({c: F.col(c) / F.col("_r") for c in names}).drop("_r")
 
 
-def farthest_points(df: DataFrame, key: str, id: str, n: int, seed: int, names: Sequence[str] = ("x", "y", "z"), most: int = 1_000_000) -> DataFrame:
-    """n points of each cloud, each farthest from those before, from a seeded start; rank 0 is the start.
+def farthest_points(df: DataFrame, key: str, id: str, n: int, seed: int, names: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """n points of each cloud, each farthest from those before, from a seeded start; rank 0 is the start. Ties go to the smaller id.
 
-    A cloud is one group. Clouds of more than ``most`` points are thinned first to
-    one point, the smallest id, of each cell of a grid of about ``most`` cells.
+    All points stay in the choice and no cloud is gathered: a round joins the chosen
+    points, one small row a key, and takes the farthest by an aggregation. Rows with a
+    null or NaN coordinate are no points.
     """
-    cell = round(most ** (1 / 3))
-    every = Window.partitionBy(key)
-    lows = {c: F.floor((F.col(c) - F.min(c).over(every)) / (F.max(c).over(every) - F.min(c).over(every) + 1e-12) * cell) for c in names}
-    d = df.select(key, id, *names).withColumns({f"_{c}": v for c, v in lows.items()}).withColumn("_n", F.count("*").over(every))
-    first = F.row_number().over(Window.partitionBy(key, *(f"_{c}" for c in names)).orderBy(id))
-    d = d.withColumn("_f", first).where((F.col("_n") <= most) | (F.col("_f") == 1))
-    cols, kind = list(names), df.schema
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id)
-        x = pdf[cols].to_numpy(float)
-        at = int(np.random.default_rng(seed).integers(len(x)))
-        nearest, chosen = np.full(len(x), np.inf), []
-        for _ in range(min(n, len(x))):
-            chosen.append(at)
-            nearest = np.minimum(nearest, ((x - x[at]) ** 2).sum(1))
-            at = int(nearest.argmax())
-        out = pdf.iloc[chosen][[key, id]].copy()
-        out["rank"] = np.arange(len(chosen))
-        return out
-
-    return d.select(key, id, *names).groupBy(key).applyInPandas(pick, f"{key} {kind[key].dataType.simpleString()}, {id} {kind[id].dataType.simpleString()}, rank long")
+    d = df.select(key, id, *(F.col(c).cast("double").alias(c) for c in names)).where(_all([F.col(c).isNotNull() & ~F.isnan(c) for c in names]))
+    state = _settled(d.repartitionByRange(key, id).withColumn("_p", F.spark_partition_id()))
+    # the start is the at-th id: its part is known from the parts' counts, its place is counted there
+    of_key, by_part = Window.partitionBy(key), Window.partitionBy(key).orderBy("_p")
+
+    @F.pandas_udf("long")
+    def drawn(size: pd.Series) -> pd.Series:
+        return pd.Series([int(np.random.default_rng(seed).integers(k)) for k in size])
+
+    parts = state.groupBy(key, "_p").agg(F.count("*").alias("_c")).withColumn("_n", F.sum("_c").over(of_key)).withColumn("_b", F.sum("_c").over(by_part) - F.col("_c"))
+    at = parts.withColumn("_at", drawn("_n") - F.col("_b")).where("_at >= 0 and _at < _c").select(F.col(key).alias("_k"), F.col("_p").alias("_o"), "_at", "_n")
+    held = state.join(F.broadcast(at), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_p") == F.col("_o")))
+    start = held.withColumn("_i", F.row_number().over(Window.partitionBy(key, "_p").orderBy(id))).where("_i = _at + 1")
+    point = F.struct(id, *names)
+    chosen = _settled(start.select(F.col(key).alias("_k"), "_n", F.array(point).alias("_q")))
+
+    state, folded = state.drop("_p").withColumn("_d", F.lit(float("inf"))), 0
+    same = F.col(key).eqNullSafe(F.col("_k"))
+    for i in range(1, n):
+        new = chosen.select("_k", F.slice("_q", folded + 1, i - folded).alias("_new"))
+        near = F.array_min(F.transform("_new", lambda q: sum(((F.col(c) - q[c]) * (F.col(c) - q[c]) for c in names[1:]), (F.col(names[0]) - q[names[0]]) * (F.col(names[0]) - q[names[0]]))))
+        now = state.join(F.broadcast(new), same).select(key, id, *names, F.least("_d", near).alias("_d"))
+        if i - folded == 8:
+            state, folded = _settled(now), i
+            now = state
+        far = now.groupBy(key).agg(F.min(F.struct((-F.col("_d")).alias("_m"), id, *names)).alias("_f"))
+        chosen = _settled(chosen.join(far, same).select("_k", "_n", F.array_append("_q", F.struct(*(F.col(f"_f.{c}").alias(c) for c in (id, *names)))).alias("_q")))
+    ranked = chosen.select(F.col("_k").alias(key), "_n", F.posexplode("_q").alias("rank", "_q")).where((F.col("rank") < F.col("_n")) & (F.col("rank") < n))
+    return ranked.select(key, F.col(f"_q.{id}").alias(id), F.col("rank").cast("long").alias("rank"))
 
 
 def voxel_components(df: DataFrame, key: str, places: Sequence[str] = ("i", "j", "k"), diagonal: bool = False) -> DataFrame:

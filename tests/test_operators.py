@@ -154,6 +154,23 @@ def test_clouds(spark):
     assert len({r.id for r in far}) == 3 and next(r.id for r in far if r["rank"] == 1) == (0 if start >= 10 else 19)
 
 
+def test_farthest_points_of_a_large_cloud(spark):
+    """No point is thinned away and ties go to the smaller id, whatever the size; a small cloud gives all its points."""
+    big = 1_000_500
+    pdf = pd.DataFrame({"id": np.arange(big), "x": (np.arange(big) * 7919 % 1000003) / 1000003, "y": (np.arange(big) * 104729 % 999983) / 999983, "z": (np.arange(big) * 31 % 1000) / 1000})
+    i = F.col("id")
+    cloud_of = spark.range(big).select(F.lit(1).alias("p"), "id", (i * 7919 % 1000003 / 1000003).alias("x"), (i * 104729 % 999983 / 999983).alias("y"), (i * 31 % 1000 / 1000).alias("z"))
+    few = spark.createDataFrame([(None, 5, 0.0, 0.0, 0.0), (None, 7, 1.0, 0.0, 0.0)], "p int, id long, x double, y double, z double")
+    got = cloud.farthest_points(cloud_of.union(few), "p", "id", 11, 3).orderBy("rank").collect()
+    x = pdf[["x", "y", "z"]].to_numpy()
+    at, nearest, want = int(np.random.default_rng(3).integers(big)), np.full(big, np.inf), []
+    for _ in range(11):
+        want.append(at)
+        nearest = np.minimum(nearest, ((x - x[at]) ** 2).sum(1))
+        at = int(nearest.argmax())
+    assert [r.id for r in got if r.p == 1] == want and sorted(r.id for r in got if r.p is None) == [5, 7]
+
+
 def test_samples_of_exact_size(spark):
     df = spark.createDataFrame([(1, i) for i in range(3)] + [(2, i) for i in range(9)], "k int, id int")
     s = omics.sample_exactly(df, ["k"], "id", 5, 1).groupBy("k").agg(F.count("*"), F.count_distinct("id")).collect()
