@@ -43,7 +43,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         key = key << np.uint64(8) | padded[i : i + n].astype(np.uint64)
     have = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if have >= depth:
             return order
         rank = np.empty(n, np.uint64)
@@ -83,6 +83,7 @@ class Model:
         mask = np.where(np.arange(self.words * 8) < self.lengths[:, None], np.uint8(255), np.uint8(0))
         self.mask = np.ascontiguousarray(mask).view(">u8").astype(np.uint64)
         self.follows: dict[int, bool] = {}
+        self.pair, self.verdict = np.full(1 << 20, np.iinfo(np.int64).min), np.zeros(1 << 20, bool)
         self.known: dict[str, bytes] = {}
         self.most = most
 
@@ -103,15 +104,15 @@ class Model:
         return parts
 
     def may_follow(self, last: int, piece: int) -> bool:
-        """last: -1 where a unit begins."""
+        """Whether piece may stand after last, or, where that is -1, begin a unit."""
         if len(self.follows) > 1_000_000:
             self.follows.clear()
         t = [self.name[piece]] if last < 0 else [self.name[last], self.name[piece]]
         out = self.follows[last * self.n + piece] = self.merged("".join(t)) == t
         return out
 
-    def edges(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and id of every occurrence of every piece, sorted by end, longest first."""
+    def edges(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Place of the end in its unit, start, end and id of every occurrence of every piece, sorted by the first; starts: of the units."""
         order = suffix_array(data, self.depth)
         padded = np.concatenate([data, np.zeros(self.words * 8 + 8, np.uint8)]).astype(np.uint64)
         word = np.zeros(len(data) + self.words * 8, np.uint64)
@@ -137,37 +138,56 @@ class Model:
         k = np.repeat(np.arange(len(n)), n)
         start = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)]
         end = start + self.lengths[k]
-        by = np.argsort(end * 256 - self.lengths[k], kind="stable")  # longest first
-        return start[by], end[by], self.sorted_ids[k][by]
+        unit = np.zeros(len(data), np.int64)
+        unit[starts] = np.diff(starts, prepend=0)
+        level = end - np.cumsum(unit)[start]
+        if len(level) and level.max() < 1 << 16:
+            level = level.astype(np.uint16)  # sorts in linear time
+        by = np.argsort(level, kind="stable")
+        return level[by].astype(np.int64), start[by], end[by], self.sorted_ids[k][by]
+
+    def chosen(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """may_follow of many pairs, by a table of the pairs met before; pairs of one slot take turns in it."""
+        key = last * self.n + piece
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+        ok, miss = self.verdict[slot], np.flatnonzero(self.pair[slot] != key)
+        if len(miss):
+            every, back = np.unique(key[miss], return_inverse=True)
+            find = self.follows.get
+            got = np.array([self.may_follow(*divmod(k, self.n)) if (f := find(k)) is None else f for k in every.tolist()])
+            ok[miss] = got[back]
+            self.pair[slot[miss]], self.verdict[slot[miss]] = key[miss], ok[miss]
+        return ok
 
     def encode_units(self, units: list[str]) -> list[bytes]:
-        """Ids, as bytes of int32, of units all of whose characters are pieces."""
+        """Ids, as bytes of int32, of units all of whose characters are pieces. Edges are relaxed by their end, in all units side by side."""
         raw = [self._bytes(u) for u in units]
         data = np.frombuffer(b"\xff" + b"\xff".join(raw) + b"\xff", np.uint8)
         size = np.array([len(r) for r in raw])
         starts = np.cumsum(size + 1) - size
-        last, back = [-2] * len(data), [0] * len(data)  # -2: not reached
-        for s in starts.tolist():
-            last[s] = -1
-        n, follows = self.n, self.follows
-        find, done = follows.get, 0
-        for s, e, p in zip(*(x.tolist() for x in self.edges(data))):
-            if e == done:
-                continue  # reached: no other edge can be the one
-            b = last[s]
-            if b > -2:
-                ok = find(b * n + p)
-                if ok or (ok is None and self.may_follow(b, p)):
-                    last[e], back[e], done = p, s, e
-        out = []
-        for s, e in zip(starts.tolist(), (starts + size).tolist()):
-            ids = []
-            while e > s:
-                ids.append(last[e])
-                e = back[e]
-            ids.reverse()
-            out.append(array("i", ids).tobytes())
-        return out
+        last, back = np.full(len(data), -2), np.zeros(len(data), np.int64)  # -2: not reached
+        last[starts] = -1
+        level, start, end, piece = self.edges(data, starts)
+        border = np.flatnonzero(np.diff(level, prepend=-1, append=-1))
+        for i, j in zip(border.tolist(), border[1:].tolist()):
+            before = last[start[i:j]]
+            k = np.flatnonzero(before > -2)
+            k = k[self.chosen(before[k], piece[i + k])] + i
+            last[end[k]], back[end[k]] = piece[k], start[k]
+        n, place, open_ = np.zeros(len(units), np.int64), starts + size, np.arange(len(units))
+        found = []
+        while len(open_):
+            found.append((open_, last[place[open_]]))
+            n[open_] += 1
+            place[open_] = back[place[open_]]
+            open_ = open_[place[open_] > starts[open_]]
+        cut = np.cumsum(n)
+        ids, at = np.empty(cut[-1] if len(cut) else 0, np.int32), cut.copy()
+        for of, p in found:  # from the end of a unit to its begin
+            at[of] -= 1
+            ids[at[of]] = p
+        whole, cut = ids.tobytes(), (cut * 4).tolist()
+        return [whole[x:y] for x, y in zip([0, *cut], cut)]
 
     def learn(self, units: set[str], span: int = 1 << 20) -> dict[str, bytes]:
         """Ids, as bytes of int32, of units."""
