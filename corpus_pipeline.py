@@ -18,9 +18,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: those without text or without a letter. Learns from labelled rows that aren't held out."""
-    found = language.identify(docs.select(*COLUMNS), language.learn(docs))
-    return found.where("lang_pred <> 'und'").select(*COLUMNS)
+    """Drops documents that are rejected: those without text or without a letter. Those without a language get the predicted one.
+
+    Learns from labelled rows that aren't held out; where no row is labelled, every document is rejected.
+    """
+    found = language.identify(docs.select(*COLUMNS), language.learn(docs)).where("lang_pred <> 'und'")
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ families apart pair by pair, and languages of one family pair by pair; the class
 with most votes wins, then the sum of margins decides. Every SVM is one group of
 a grouped Spark job over a sample of labelled rows, at most about ``per_language``
 rows a language; the number of SVMs grows with the square of the languages of a
-family. The weights, 2 * ``BINS`` doubles an SVM, go to every task.
+family. Rows of the sample are sent as their bins and shares, once for each SVM that
+learns from them. The weights, 2 * ``BINS`` floats an SVM, go to every task.
 
 Cases: null text and text without a letter are ``und`` with score 0. With one
 learned language every other text gets it; with none (no labelled row) every text
@@ -71,26 +72,40 @@ def sums(texts: list[str], weights: np.ndarray) -> np.ndarray:
     return total / np.diff(np.append(starts, len(bins) + 2))[:, None]
 
 
-def frequencies(text: str) -> np.ndarray:
-    """Share of each bin among the grams of one text."""
+def frequencies(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bins that the grams of one text fall into, and the share of each."""
     bins, _ = grams([text])
-    return (np.bincount(bins.ravel(), minlength=2 * BINS) / (len(bins) + 2)).astype(np.float32)
+    n = np.bincount(bins.ravel(), minlength=2 * BINS)
+    at = np.flatnonzero(n)
+    return at.astype(np.uint16), (n[at] / (len(bins) + 2)).astype(np.float32)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, steps: int = 150, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss and equal weight of both classes, by accelerated gradient steps."""
-    mean, scale = x.mean(0), x.std(0) + 1e-4
-    z = (x - mean) / scale / np.sqrt(x.shape[1])
+def fit_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 150, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Linear SVM with squared hinge loss and equal weight of both classes, by accelerated gradient steps.
+
+    rows: bins and shares of each text. Bins are standardised, but the rows stay
+    sparse: the mean is taken off products with the weights.
+    """
+    size = np.array([len(at) for at, _ in rows])
+    at, x = np.concatenate([a for a, _ in rows]).astype(np.int64), np.concatenate([v for _, v in rows])
+    first, n = np.cumsum(size) - size, 2 * BINS
+    mean = np.bincount(at, x, n) / len(rows)
+    scale = np.sqrt(np.maximum(np.bincount(at, x.astype(np.float64) ** 2, n) / len(rows) - mean**2, 0)) + 1e-4
+    unit = 1 / (scale * np.sqrt(n))
+    x = (x * unit[at]).astype(np.float32)  # of standardised rows, but for their mean
+    centre = mean * unit
+    norm = np.add.reduceat(x * (x - 2 * centre[at]), first) + (centre**2).sum()
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    rate = 1 / (2 * float((share * ((z**2).sum(1) + 1)).sum()) + penalty)
-    w, b, v, c = np.zeros(z.shape[1]), 0.0, np.zeros(z.shape[1]), 0.0
+    rate = 1 / (2 * float((share * (norm + 1)).sum()) + penalty)
+    w, b, v, c = np.zeros(n), 0.0, np.zeros(n), 0.0
     for t in range(steps):
-        gap = np.maximum(0, 1 - y * (z @ v + c)) * y * share
-        w2, b2 = v - rate * (penalty * v - 2 * gap @ z), c + rate * 2 * gap.sum()
+        margin = np.add.reduceat(x * v.astype(np.float32)[at], first) - centre @ v + c
+        gap = np.maximum(0, 1 - y * margin) * y * share
+        pull = np.bincount(at, x * np.repeat(gap.astype(np.float32), size), n) - gap.sum() * centre
+        w2, b2 = v - rate * (penalty * v - 2 * pull), c + rate * 2 * gap.sum()
         m = t / (t + 3)
         v, c, w, b = w2 + m * (w2 - w), b2 + m * (b2 - b), w2, b2
-    w = w / scale / np.sqrt(x.shape[1])
-    return w, float(b - w @ mean)
+    return w * unit, float(b - w @ centre)
 
 
 def learn(docs: DataFrame, per_language: int = 400, seed: int = 11) -> dict:
@@ -119,15 +134,17 @@ def learn(docs: DataFrame, per_language: int = 400, seed: int = 11) -> dict:
 
     def spread(batches):
         for pdf in batches:
-            out = [(k, side, str(d), frequencies(t).tobytes()) for d, t, x in zip(pdf.doc_id, pdf.text, pdf.lang) if LETTER.search(t) for k, side in sides[x]]
-            yield pd.DataFrame(out, columns=["svm", "side", "doc", "x"])
+            for d, t, x in zip(pdf.doc_id, pdf.text, pdf.lang):
+                if LETTER.search(t):
+                    at, v = frequencies(t)
+                    yield pd.DataFrame([(k, side, str(d), at.tobytes(), v.tobytes()) for k, side in sides[x]], columns=["svm", "side", "doc", "at", "x"])
 
     def fit(pdf):
         pdf = pdf.sort_values(["doc", "side"])
-        w, b = fit_svm(np.stack([np.frombuffer(v, np.float32) for v in pdf.x]), pdf.side.to_numpy())
+        w, b = fit_svm([(np.frombuffer(a, np.uint16), np.frombuffer(v, np.float32)) for a, v in zip(pdf["at"], pdf.x)], pdf.side.to_numpy())
         return pd.DataFrame({"svm": [pdf.svm.iloc[0]], "w": [w.astype(np.float32).tobytes()], "b": [b]})
 
-    fitted = sample.mapInPandas(spread, "svm int, side double, doc string, x binary").groupBy("svm").applyInPandas(fit, "svm int, w binary, b double")
+    fitted = sample.mapInPandas(spread, "svm int, side double, doc string, at binary, x binary").groupBy("svm").applyInPandas(fit, "svm int, w binary, b double")
     for r in fitted.collect():  # a row for each SVM
         model["weights"][:, r.svm], model["bias"][r.svm] = np.frombuffer(r.w, np.float32), r.b
     return model
