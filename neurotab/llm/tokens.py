@@ -27,7 +27,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from neurotab.llm.common import ship
@@ -53,22 +52,44 @@ def _splitter() -> tuple[np.ndarray, np.ndarray]:
 TO, MARK = _splitter()
 
 
-@lru_cache(1)
-def _classes() -> np.ndarray:
-    """Class of every code point: 0 letter, 1 number, 2 other, 3 space, 4 other blank; 5 at 0x110000, the end of a text."""
-    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
-    out = np.full(0x110001, 2, np.uint8)
-    for value, pattern in ((0, r"\p{L}+"), (1, r"\p{N}+"), (4, r"\p{White_Space}+")):
-        for m in regex.finditer(pattern, every):
-            cps = np.frombuffer(m.group().encode("utf-32-le"), np.uint32)
-            out[cps] = value
-    out[0x20], out[0x110000] = 3, 5
-    return out
+class _Classes:
+    """Class of every code point: 0 letter, 1 number, 2 other, 3 space, 4 other blank; 5 at 0x110000, the end of a text.
+
+    What is a letter is asked of the tokenizer library itself, whose tables of
+    characters are of another Unicode version than Python's, plane by plane as
+    texts need it.
+    """
+
+    def __init__(self):
+        self.of, self.known = np.full(0x110001, 2, np.uint8), set()
+        self.of[0x110000] = 5
+
+    def __call__(self, cp: np.ndarray) -> np.ndarray:
+        for plane in set(np.flatnonzero(np.bincount(cp >> 16, minlength=17)[:17]).tolist()) - self.known:
+            self.learn(plane)
+        return self.of[cp]
+
+    def learn(self, plane: int) -> None:
+        from tokenizers import Regex
+        from tokenizers.pre_tokenizers import Split
+
+        cps = np.array([c for c in range(plane << 16, plane + 1 << 16) if not 0xD800 <= c < 0xE000])
+        every = "".join(map(chr, cps.tolist()))
+        for value, pattern in ((0, r"\p{L}+"), (1, r"\p{N}+"), (4, r"\s+")):
+            inside = np.ones(len(cps), bool)
+            for _, (start, end) in Split(Regex(pattern), "removed").pre_tokenize_str(every):
+                inside[start:end] = False
+            self.of[cps[inside]] = value
+        self.of[0x20] = 3
+        self.known.add(plane)
+
+
+classes = _Classes()
 
 
 def symbols(cp: np.ndarray) -> np.ndarray:
     """The splitter's symbols of code points in which 0x110000 ends each text."""
-    cls = _classes()[cp]
+    cls = classes(cp)
     after = np.append(cls[1:], 5)
     text_next = after < 3
     sym = np.choose(cls, [L, N, O, S, B, END]).astype(np.uint8)
