@@ -7,9 +7,10 @@ is the place in it where the ``GRAM`` bytes with the smallest hash begin, the fi
 of equals. Equal windows have their anchors at the same place, and neighbouring
 windows mostly share one, so one anchor stands for a run of windows.
 
-1. A pass over the texts gives the anchors with a hash of their gram and one of
-   their run's bytes. Grams that occur once settle their windows.
-2. Runs whose bytes occur again as a whole are removed as a whole.
+1. A pass over the texts gives the anchors with a hash of their gram and a digest
+   of their run's bytes. Grams that occur once settle their windows.
+2. Runs whose bytes occur again as a whole, by a BLAKE2 digest of 128 bits that
+   stands for the bytes, are removed as a whole.
 3. What is left, anchors at the edges of repeated passages, is compared: the
    bytes of these runs go to buckets of grams, where their suffixes are sorted by
    a mergesort that compares two suffixes in logarithmic time, by binary search
@@ -17,7 +18,7 @@ windows mostly share one, so one anchor stands for a run of windows.
    the order every suffix looks to both sides while the common extension suffices,
    finds the common extension to the left the same way, and what windows both give
    is compared byte by byte. Grams with more than ``CROWD`` such runs go another,
-   exact way: their windows are counted by 128-bit hashes in a Spark aggregation.
+   exact way: their windows are counted by such digests in a Spark aggregation.
 
 Cases: null counts as empty; texts under LENGTH bytes keep all. Rows that repeat
 a text are copies of each other whether or not they repeat the doc_id. Overlapping
@@ -58,11 +59,9 @@ class Hashes:
 
     up = down = np.empty(0, np.uint64)
 
-    def __init__(self, x: np.ndarray, place: np.ndarray | None = None, base: int = _ODD):
+    def __init__(self, x: np.ndarray, place: np.ndarray | None = None):
         n = int(place.max()) + 1 if place is not None and len(place) else len(x)
-        if base != _ODD:
-            self.up, self.down = _powers(n + 1, base), _powers(n + 1, pow(base, -1, 1 << 64))
-        elif len(Hashes.up) <= n:
+        if len(Hashes.up) <= n:
             Hashes.up, Hashes.down = _powers(n + 1, _ODD), _powers(n + 1, pow(_ODD, -1, 1 << 64))
         weight = self.up[: len(x)] if place is None else self.up[place]
         self.sum = np.zeros(len(x) + 1, np.uint64)
@@ -84,11 +83,18 @@ def window_minimum(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(tail[: len(v) - w + 1], head[w - 1 : len(v)])
 
 
+def digests(buffer: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the digest of each stretch of buffer."""
+    view, of = memoryview(buffer), hashlib.blake2b
+    halves = np.frombuffer(b"".join([of(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())]), np.int64)
+    return halves[::2], halves[1::2]
+
+
 def anchors(buffer: bytes, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of texts that end at ``ends`` in buffer: text, anchor, gram hash, run hash, first and last window of each anchor's run."""
+    """Of texts that end at ``ends`` in buffer: text, anchor, gram hash, digest of the run in two halves, first and last window of each anchor's run."""
     x = np.frombuffer(buffer, np.uint8).astype(np.uint64)
     if len(x) < length:
-        return (np.empty(0, np.int64),) * 6
+        return (np.empty(0, np.int64),) * 7
     h = Hashes(x)
     at = np.arange(len(x) - gram + 1)
     g = _mix(h.of(at, gram))
@@ -99,18 +105,17 @@ def anchors(buffer: bytes, ends: np.ndarray, length: int, gram: int) -> tuple[np
     text = np.searchsorted(ends, start, side="right")
     ok = np.flatnonzero(start + length <= ends[text])
     if not len(ok):
-        return (np.empty(0, np.int64),) * 6
+        return (np.empty(0, np.int64),) * 7
     new = np.append(True, (np.diff(anchor[ok]) != 0) | (np.diff(ok) != 1) | (np.diff(text[ok]) != 0))
     first = ok[new]
     last = ok[np.append(np.flatnonzero(new)[1:], len(ok)) - 1]
     a = anchor[first]
-    run = _mix(h.of(first, last + length - first) + _mix(((a - first) * 4096 + (last - first)).astype(np.uint64)))
-    return text[first], a, g[a].view(np.int64), run.view(np.int64), first, last
+    return text[first], a, g[a].view(np.int64), *digests(buffer, first, last + length), first, last
 
 
 def find_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """d, h, gram, run, pos, first, last (places of windows) of each anchor of rows d, h, text."""
-    schema = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("gram", pa.int64()), ("run", pa.int64()), ("pos", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+    """d, h, gram, run and run2 (digest), pos, first, last (places of windows) of each anchor of rows d, h, text."""
+    names = ["d", "h", "gram", "run", "run2", "pos", "first", "last"]
 
     def run(batches):
         for batch in batches:
@@ -132,11 +137,11 @@ def find_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def out(d, h, parts, owner, offset):
         ends = np.cumsum([len(p) for p in parts])
-        text, a, g, r, first, last = anchors(b"".join(parts), ends, length, gram)
+        text, a, g, r, r2, first, last = anchors(b"".join(parts), ends, length, gram)
         own, move = np.asarray(owner)[text], (np.asarray(offset) - (ends - [len(p) for p in parts]))[text]
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in (d[own], h[own], g, r, a + move, first + move, last + move)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (d[own], h[own], g, r, r2, a + move, first + move, last + move)], names)
 
-    return texts.mapInArrow(run, "d long, h long, gram long, run long, pos long, first long, last long")
+    return texts.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 class Runs:
@@ -254,13 +259,15 @@ def _solve(length: int):
 def repeated_windows(scratch: Scratch, texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(d, h, s0, s1): windows s0 to s1 of a text also stand elsewhere. texts: d, h, text and more columns."""
     found = scratch.cut(find_anchors(texts.select("d", "h", "text"), length, gram))
-    grams = found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("run") == F.max("run")).alias("same")).where("n > 1").drop("n")
+    # a table for each summary: then both sides of a join come from a plain exchange, whose large partitions Spark splits
+    alike = (F.min("run") == F.max("run")) & (F.min("run2") == F.max("run2"))
+    grams = scratch.cut(found.groupBy("gram").agg(F.count("*").alias("n"), alike.alias("same")).where("n > 1").drop("n"))
     again = scratch.cut(found.join(grams, "gram"))
     mixed = again.where("not same")
-    by_run = mixed.groupBy("gram", "run").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "pos")).alias("one"))
-    crowd = by_run.groupBy("gram").agg((F.count("*") > CROWD).alias("crowded"), F.min("n").alias("fewest"))
-    left = scratch.cut(mixed.join(by_run, ["gram", "run"]).join(crowd, "gram"))
-    scratch.drop(found)
+    by_run = scratch.cut(mixed.groupBy("gram", "run", "run2").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "pos")).alias("one")))
+    crowd = scratch.cut(by_run.groupBy("gram").agg((F.count("*") > CROWD).alias("crowded"), F.min("n").alias("fewest")))
+    left = scratch.cut(mixed.join(by_run.join(crowd, "gram"), ["gram", "run", "run2"]))
+    scratch.drop(found, grams)
     whole = again.where("same").select("d", "h", "first", "last").union(left.where("n > 1").select("d", "h", "first", "last")).toDF("d", "h", "s0", "s1")
     compare = left.where("fewest = 1 and (n = 1 or one = struct(d, h, pos))").withColumn("solved", F.col("n") > 1)
     wanted = compare.groupBy("d", "h").agg(F.collect_set(F.struct("gram", "pos", "first", "last", "solved", "crowded")).alias("runs"))
@@ -286,15 +293,14 @@ def repeated_windows(scratch: Scratch, texts: DataFrame, length: int = LENGTH, g
 
 
 def _counted(runs: DataFrame, length: int) -> DataFrame:
-    """The same for runs of crowded grams: their windows, counted by two hashes of 64 bits."""
+    """The same for runs of crowded grams: their windows, counted by digests."""
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("d", pa.int64()), ("h", pa.int64()), ("s", pa.int64()), ("solved", pa.bool_())])
 
     def windows(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                b = np.frombuffer(r["raw"], np.uint8).astype(np.uint64)
                 at = np.arange(r["last"] - r["first"] + 1)
-                x, y = (_mix(Hashes(b, base=base).of(at, length)).view(np.int64) for base in (_ODD, 0xD1342543DE82EF95))
+                x, y = digests(r["raw"], at, at + length)
                 k = len(at)
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(k, r["d"])), pa.array(np.full(k, r["h"])), pa.array(at + r["first"]), pa.array(np.full(k, r["solved"]))], schema=schema)
 
