@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; where it names none (tests), a new local one is set."""
+    """The shared folder that the session names in spark.checkpoint.dir; where a session on one machine names none (tests), a new local one is set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="neurotab-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -62,7 +65,7 @@ def lower_ascii(c: Column) -> Column:
 
 def row_key(text: str = "text", key: str = "doc_id") -> Column:
     """Key of a row of documents by which results of its text are joined back: null and repeated doc_id don't mix different texts."""
-    return F.struct(F.coalesce(F.col(key), F.lit(-1)).alias("d"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
+    return F.struct(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("d"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:

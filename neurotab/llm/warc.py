@@ -36,12 +36,16 @@ WARC_DATE = "2024-01-01T00:00:00Z"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def with_references(pages: DataFrame, least: int = 100) -> DataFrame:
-    """page_id, url, html, digest, refers_to: of equal payloads of ``least`` bytes or more all but the first refer to it."""
+def with_references(scratch: Scratch, pages: DataFrame, least: int = 100) -> DataFrame:
+    """page_id, url, html, digest, refers_to: of equal payloads of ``least`` bytes or more all but the first refer to it.
+
+    The first of each payload goes to a table, so that the join's sides come from
+    plain exchanges, whose large partitions (a payload of many pages) Spark splits.
+    """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     keys = rows.where(F.octet_length("html") >= least).select("page_id", "digest")
     first = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = keys.join(first, "digest").where("page_id > refers_to").distinct()
+    later = keys.join(scratch.cut(first), "digest").where("page_id > refers_to").distinct()
     return rows.join(later, ["page_id", "digest"], "left")
 
 
@@ -215,7 +219,7 @@ def read(packages: DataFrame, span: int = 4 << 20, keep_payload: bool = True) ->
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes a record for each page and reads the packages back."""
     scratch = Scratch(pages.sparkSession, "warc")
-    return read(write(scratch, with_references(pages)), keep_payload=False).drop("url")
+    return read(write(scratch, with_references(scratch, pages)), keep_payload=False).drop("url")
 
 
 ORACLE = """
