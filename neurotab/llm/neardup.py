@@ -1,31 +1,27 @@
 """Near-duplicate documents by bottom-k sketches of their word shingles.
 
 One hash function orders all shingles. A document's sketch is its ``SKETCH``
-smallest shingle hashes, and the first ``LISTED`` of them go to inverted lists.
-Of two documents with Jaccard similarity s, each of the smallest values of their
-union is shared with probability s, so at s = 0.8 a pair shares none of the first
-20 with probability 0.2 ** 20.
-
-Lists of up to ``LONG`` members give all their pairs. Of a document's listed values
-those in short lists, or in its own only, are rare. The rare values of a near copy
-may be just the ones that its edits don't share, so a document is settled only when
-it has more of them than a similar one may leave out of its list: at 0.8 these are
-at most as many as a draw of 20 from a union holds of its unshared fifth, 14 or more
-with probability 1.8e-6; small sets have fewer unshared values and need fewer rare
-ones (``settling``). A passage or word pair that many documents share doesn't pair
-the settled ones. What is left has many values of long lists, as members of large
-groups of copies do, and is listed again by two neighbouring values of the whole
-sketch, and where these lists are long by three: 32 trials at 0.8 have no run of
-three with probability 2e-5 (small sets stay listed by two). In lists that are long
-even then, members are checked against the smallest one first, and then only members
-outside the largest component of a list are paired, with members of other
+smallest shingle hashes. Its runs of ``RUN`` neighbouring values go to inverted
+lists: a list of one value alone would hold every document with a common word pair
+or passage. Of two documents with Jaccard similarity s, each of the smallest values
+of their union is shared with probability s, and what is shared side by side there
+stands side by side in both sketches. So at 0.8 a pair has no run of three in common
+with probability 9e-8 (48 trials without such a run), and less above. Where sets are
+so small that unshared values could break every run, a rule of counting says which
+(``runs``), they are listed by shorter runs as well; sets of up to ``SKETCH`` values
+miss nothing. For lower thresholds runs are shorter, down to single values.
+
+Lists of up to ``LONG`` members give all their pairs. In longer lists, as large groups
+of copies make them, members are checked against the smallest one first, and then only
+members outside the largest component of a list are paired, with members of other
 components, so a list that is one component costs as many checks as it has members.
 These pairs are judged inside their join by sketches of ``WIDE`` values, which are
 whole sets for most documents.
 
 Pairs whose sizes rule the similarity out go; then those whose union sketch (the
 ``SKETCH`` smallest hashes of both) estimates it below ``LEAST_ESTIMATE``, over
-four standard deviations under the threshold; the rest is verified on full sets.
+four standard deviations under the threshold; the rest is verified on full sets,
+which are sets of 64-bit hashes of the shingles.
 
 Cases: null and empty texts, and texts of blanks, have no shingle, link with
 nothing and are kept. A text of fewer words than a shingle is one shingle.
@@ -39,7 +35,6 @@ from __future__ import annotations
 
 import hashlib
 from functools import reduce
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +44,8 @@ from pyspark.sql import functions as F
 from neurotab.llm.common import Scratch, components, ship
 from neurotab.llm.tokens import grouped
 
-SKETCH, LISTED, LONG, LEAST_ESTIMATE = 32, 20, 64, 0.48
-MISS, SMALL = 2e-6, (20, 25)  # chance that a settled document misses a similar one; sizes under which pairs, and from which triples, of values are listed
+SKETCH, RUN, LONG, LEAST_ESTIMATE = 48, 3, 64, 0.54
+MISS = 1e-6  # chance that two large sets at the threshold have no run in common
 WIDE, WIDE_ESTIMATE, SALTS = 512, 0.72, 16  # the same for members of long lists across components; parts of a long list
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -131,10 +126,11 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sketch array<long>")
 
 
-def _split(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of lists of 2 to LONG rows, and of longer ones."""
-    counts = lists.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    marked = lists.join(counts, "key")
+def _split(scratch: Scratch, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of lists of 2 to LONG rows, and of longer ones. The counts are a table, so that Spark may split a long list's rows in the join."""
+    counts = scratch.cut(lists.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    marked = scratch.cut(lists.join(counts, "key"))
+    scratch.drop(counts)
     return marked.where(F.col("members") <= LONG).drop("members"), marked.where(F.col("members") > LONG).drop("members")
 
 
@@ -151,54 +147,41 @@ def _leaders(lists: DataFrame) -> DataFrame:
     return first.select("key", F.col("f.id").alias("a"), F.col("f.n").alias("n_a"))
 
 
-def settling(percent: int) -> list[tuple[int, int]]:
-    """(size, rare values) by size: a set of that size or more is settled by so many rare values."""
+def runs(percent: int) -> list[tuple[int, int | None]]:
+    """(length, size): sets of up to that size (None: all sets) are listed by runs of that length."""
+    p = percent / 100
 
-    def least(tail) -> int:
-        return next((r for r in range(1, LISTED + 1) if tail(r) <= MISS), LISTED + 1)
+    def missed(r: int) -> float:
+        """Chance of no r shared values in a row among SKETCH."""
+        at = [1.0] + [0.0] * (r - 1)  # by the shared values just before
+        for _ in range(SKETCH):
+            at = [sum(at) * (1 - p), *(x * p for x in at[:-1])]
+        return sum(at)
 
-    def drawn(union: int) -> int:
-        """As needed where the union has that size and ``apart`` unshared values."""
-        apart, k = union * (100 - percent) // 100, min(LISTED, union)
-        return least(lambda r: sum(comb(apart, i) * comb(union - apart, k - i) for i in range(r, k + 1)) / comb(union, k))
+    def broken(r: int) -> int:
+        """The largest union, of those that sketches hold whole, whose unshared values can stand so that no run of r is left."""
+        shared = lambda n: -(-n * percent // 100)
+        return max((n for n in range(1, SKETCH + 1) if shared(n) < n and shared(n) <= (r - 1) * (n - shared(n) + 1)), default=0)
 
-    u = (100 - percent) / 100
-    most = least(lambda r: sum(comb(LISTED, i) * u**i * (1 - u) ** (LISTED - i) for i in range(r, LISTED + 1)))
-    out, need, n, union = [], 0, 0, 0
-    while need < most and n < 5000:
-        n, now = n + 1, need
-        while union < n * 100 // percent:
-            union += 1
-            now = max(now, drawn(union))
-        if now > need:
-            need = now
-            out.append((n, need))
-    return out if need == most else [*out, (n, most)]
+    length = next(r for r in range(RUN, 0, -1) if r == 1 or missed(r) <= MISS)
+    out: list[tuple[int, int | None]] = [(length, None)]
+    while length > 1 and broken(length):
+        out.append((length - 1, broken(length)))
+        length -= 1
+    return out
 
 
 def candidates(scratch: Scratch, reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) to verify, and the long lists (key, id, n) of which so far only pairs with the smallest member are among them."""
-    listed = reps.select("id", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("key"))
-    short, long = _split(listed)
-    found = [_pairs(short)]
-    # values that stand in one list alone are rare as those of short lists are
-    common = long.groupBy("id").agg(F.count("*").alias("common"))
-    need = reduce(lambda e, step: F.when(F.col("n") >= step[0], step[1]).otherwise(e), settling(percent), F.lit(1))
-    open_ = reps.join(common, "id").where(F.least("n", F.lit(LISTED)) - F.col("common") < need)
-    place = F.explode(F.sequence(F.lit(1), F.greatest(F.size("sketch") - 1, F.lit(1))))
-    two = open_.where(F.size("sketch") > 1).withColumn("i", place)
-    two = two.select("id", "n", F.xxhash64(F.element_at("sketch", F.col("i")), F.element_at("sketch", F.col("i") + 1)).alias("key"), F.get("sketch", F.col("i") + 1).alias("next"))
-    short, long = _split(two)
-    long = scratch.cut(long)
-    found.append(_pairs(short))
-    three = long.where((F.col("n") >= SMALL[0]) & F.col("next").isNotNull()).select("id", "n", F.xxhash64("key", "next").alias("key"))
-    short, longest = _split(three)
-    found.append(_pairs(short))
-    long = scratch.cut(longest.union(long.where(F.col("n") < SMALL[1]).select("key", "id", "n")))
+    listed = []
+    for length, most in runs(percent):
+        rows = reps.where(F.size("sketch") >= length).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("sketch") - length + 1)))
+        key = F.xxhash64(F.lit(length), *(F.element_at("sketch", F.col("i") + k) for k in range(length)))
+        listed.append((rows if most is None else rows.where(F.col("n") <= most)).select("id", "n", key.alias("key")))
+    short, long = _split(scratch, reduce(DataFrame.union, listed))
     members = long.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"))
-    found.append(members.join(_leaders(long), "key").where("a < b").select("a", "b", "n_a", "n_b"))
-    every = reduce(DataFrame.union, found)
-    return scratch.cut(_fits(every, percent)), long
+    leading = members.join(scratch.cut(_leaders(long)), "key").where("a < b").select("a", "b", "n_a", "n_b")
+    return scratch.cut(_fits(_pairs(short).union(leading), percent)), long.select("key", "id", "n")
 
 
 def _fits(pairs: DataFrame, percent: int) -> DataFrame:
@@ -261,6 +244,7 @@ def across(scratch: Scratch, long: DataFrame, reached: DataFrame, reps: DataFram
     labels = scratch.cut(labels.select("key", "id", "component"))
     sizes = labels.groupBy("key", "component").agg(F.count("*").alias("size"))
     heads = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.component").alias("head"))
+    heads = scratch.cut(heads)
     members = scratch.cut(labels.join(heads, "key").select("head", "id", "component").distinct())
     wanted = members.select("id").distinct().join(reps.select("id", "set_id"), "id")
     wide = scratch.cut(full_sets(docs, wanted, size, WIDE))

@@ -67,6 +67,20 @@ def test_token_counts_equal_the_library(docs, none):
     assert tokens.count_tokens(none, path).count() == 0
 
 
+def test_token_counts_of_every_character():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b1{c} {c}" for c in every[i : i + 256]) for i in range(0, len(every), 256)]
+    r = random.Random(17)
+    some = [*"abest'  \n19.", "'re", "'ll", "é", "日", "\u00a0", "\u0345", "\U0001f600", "\U00020000"]
+    texts += ["".join(r.choice(some) for _ in range(r.randint(0, 60))) for _ in range(10_000)]
+    want = [len(x.ids) for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert np.concatenate([tokens.count_texts(texts[s], path) for s in tokens.grouped(texts)]).tolist() == want
+
+
 def test_token_counter_of_few_states():
     path = public_tokenizers.path("byte_bpe_50k.json")
     small, large = tokens.Counter(path, most=40), tokens.counter(path)
@@ -124,6 +138,24 @@ def test_pieces_equal_the_library(docs):
     assert back[0] == BASE and back[13] == dict(ROWS)[13].replace("▁", " ") and back[5] == ""
 
 
+def test_pieces_of_many_texts_equal_the_library():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, m = sentencepiece.SentencePieceProcessor(model_file=path), pieces.model(path)
+    r = random.Random(18)
+    some = [*"thean  \n\tZ1.,", "▁", "é", "日", "\U0001f600", "tion", "ing "]
+    texts = ["".join(r.choice(some) for _ in range(r.randint(0, 80))) for _ in range(5000)] + ["a" * 70_000 + " b", " " * 5000, "ab" * 40_000]
+    for s in pieces.grouped(texts, 1 << 16):
+        assert [x.tolist() for x in m.encode(texts[s])] == [sp.encode(x) for x in texts[s]]
+
+
+def test_pieces_of_no_rows(none):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    out = pieces.encode(none, path)
+    assert out.columns == ["doc_id", "n_tokens", "ids", "round_trip"] and out.count() == 0 and pieces.decode(out, path).count() == 0
+
+
 def test_suffix_array():
     data = np.frombuffer(b"banana bandana banana", np.uint8)
     got = pieces.suffix_array(data, 64).tolist()
@@ -138,7 +170,7 @@ def test_warc(spark, tmp_path):
     digest = hashlib.sha256(page.encode()).hexdigest()
     assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got) == sorted([("1", "response", None), ("2", "revisit", 1), ("2", "revisit", 1), ("3", "response", None), ("4", "response", None), ("5", "response", None), ("None", "response", None)], key=str)
     assert {r.payload_digest for r in got if r.record_type == "revisit"} == {digest} and {r.payload_bytes for r in got if r.page_id == 2} == {len(page.encode())}
-    whole = warc.read(warc.write(Scratch(spark, "w"), warc.with_references(pages), most=200), span=300).where("page_id = 3").first()
+    whole = warc.read(warc.write(Scratch(spark, "w"), warc.with_references(Scratch(spark, "r"), pages), most=200), span=300).where("page_id = 3").first()
     assert bytes(whole.payload) == b"short" and whole.url == "x%0D%0Ay"
     assert warc.round_trip(pages.limit(0)).count() == 0
 
@@ -236,15 +268,35 @@ def test_members_with_inserted_text_of_a_large_group(spark):
     assert sum(c == 0 for c in label) > 300 and [got[i] for i in range(len(sets))] == label
 
 
-def test_values_that_settle():
-    assert neardup.settling(80)[-1][1] == 14 and neardup.settling(80)[0] == (1, 1)
+def test_longer_copies_of_members_of_a_large_group(spark):
+    """100 near copies of a text, and 500 copies with so much more text that they are alike to 0.805 to a member: one group."""
+    r = random.Random(32)
+    base = [f"{w}{i}" for i, w in enumerate(words(500, 1001).split())]
+    near = []
+    for i in range(100):
+        w = list(base)
+        for k in r.sample(range(len(w)), 20):
+            w[k] = f"edit{i}x{k}"
+        near.append(w)
+    texts = [*near, *(near[i % 100] + [f"more{i}y{k}" for k in range(242)] for i in range(500))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {x.component_id for x in neardup.groups(df, 2).collect()} == {0}
+
+
+def test_runs_of_small_sets():
+    """Sets that a sketch holds whole have a run in common wherever their unshared values stand."""
+    assert neardup.runs(80) == [(3, None), (2, 5)] and neardup.runs(50)[0][0] < 3
     r = random.Random(5)
-    for n in (4, 12, 20, 30):  # a set of n values and one of its supersets at 0.8: fewer listed values are lost than settle
-        need = [k for low, k in neardup.settling(80) if low <= n][-1]
-        for _ in range(2000):
-            x, y = {r.random() for _ in range(n)}, {r.random() for _ in range(n // 4)}
-            a, b = sorted(x)[: neardup.LISTED], sorted(x | y)[: neardup.LISTED]
-            assert len(set(a) - set(b)) < need
+    for percent in (80, 90):
+        for n in range(2, neardup.SKETCH + 1):
+            for _ in range(200):
+                x = {r.random() for _ in range(n)}
+                apart = r.randint(0, n * (100 - percent) // 100)
+                a, b = x - set(r.sample(sorted(x), k := r.randint(0, apart))), x - set(r.sample(sorted(x), apart - k))
+                if a == b or 100 * len(a & b) < percent * len(a | b):
+                    continue
+                keys = [{tuple(sorted(s)[i : i + length]) for length, most in neardup.runs(percent) if most is None or len(s) <= most for i in range(len(s) - length + 1)} for s in (a, b)]
+                assert keys[0] & keys[1]
 
 
 def test_components_of_a_chain(spark):
@@ -264,14 +316,15 @@ def removed(texts, length):
         for i in range(len(b) - length + 1):
             if n[b[i : i + length]] > 1:
                 gone[i : i + length] = True
-        out.append((len(b), int(gone.sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
+        spans = int((np.diff(np.append(0, gone.view(np.int8))) == 1).sum())
+        out.append((len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
     return out
 
 
 @pytest.mark.parametrize("crowd", [2000, 0])
 def test_repeated_strings(docs, none, monkeypatch, crowd):
     monkeypatch.setattr(substrings, "CROWD", crowd)
-    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in substrings.deduplicate(docs).collect())
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.deduplicate(docs).collect())
     assert got == sorted((str(i), *x) for (i, _), x in zip(ROWS, removed([t for _, t in ROWS], 400)))
     assert substrings.deduplicate(none).count() == 0
 
@@ -283,10 +336,23 @@ def test_edges_of_many_passages(spark, monkeypatch, crowd):
     a, b = words(50, 200), words(51, 200)
     texts = [words(60 + k, r.randint(1, 30)) + a[r.randint(0, 300) : r.randint(600, 1200)] + b[: r.randint(300, 700)] + words(90 + k, 20) for k in range(24)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x.doc_id: (x.n_bytes, x.n_removed, x.kept_sha256) for x in substrings.deduplicate(df).collect()}
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substrings.deduplicate(df).collect()}
     assert [got[i] for i in range(len(texts))] == removed(texts, 400)
 
 
+def test_repeats_in_texts_of_several_pieces(spark):
+    """A passage that begins near the end of a piece of a text of 2.5 MiB and stands in a short one too."""
+    r = random.Random(6)
+    filler = r.randbytes(substrings.PIECE * 5 // 4).hex()
+    passage = words(7, 200)[:700]
+    cut = substrings.PIECE - 350
+    long = filler[:cut] + passage + filler[cut : 2 * cut] + passage + filler[2 * cut :]
+    df = spark.createDataFrame([(0, long), (1, "ab " + passage + " cd"), (2, "x")], "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substrings.deduplicate(df).collect()}
+    assert got[0] == (len(long), 1400, 2, hashlib.sha256(filler.encode()).hexdigest())
+    assert got[1] == (706, 700, 1, hashlib.sha256(b"ab  cd").hexdigest()) and got[2][1:3] == (0, 0)
+
+
 def test_suffix_order():
     raw = [b"xxbanana", b"xbandana", b"ban", b"xxxbanana", b"band"]
     left = np.array([2, 1, 0, 3, 0])
