@@ -189,10 +189,9 @@ def _fits(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b").distinct()
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, size: int, most: int | None = None) -> DataFrame:
-    """(id, n, s) for the documents (id, set_id) wanted: size of the set, and as bytes all its hashes, or as an array its ``most`` smallest."""
+def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(id, n, s) for the documents (id, set_id) wanted: size of the set, and as bytes all its hashes in order."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id").select("id", "set_id", "text")
-    kind = pa.list_(pa.int64()) if most else pa.binary()
 
     def run(batches):
         for batch in batches:
@@ -200,22 +199,35 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int, most: int | None =
             for s in grouped(texts, 1 << 21):
                 sets = shingle_sets(texts[s], size)
                 own = [_digest(x.tobytes()) == d for x, d in zip(sets, batch.column(1)[s.start : s.stop].to_pylist())]
-                values = [x[:most] if most else x.tobytes() for x in sets]
-                columns = [batch.column(0)[s.start : s.stop], pa.array([len(x) for x in sets], pa.int64()), pa.array(values, kind)]
+                columns = [batch.column(0)[s.start : s.stop], pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n", "s"]).filter(pa.array(own, pa.bool_()))
 
-    return texts.mapInArrow(run, f"id long, n long, s {'array<long>' if most else 'binary'}").dropDuplicates(["id"])
+    return texts.mapInArrow(run, "id long, n long, s binary").dropDuplicates(["id"])
 
 
-def verify(scratch: Scratch, pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union, as (src, dst): by union sketch first, then on full sets."""
+def smallest(sets: DataFrame, most: int) -> DataFrame:
+    """(id, n, s) with s as an array of its ``most`` smallest hashes."""
+
+    def run(batches):
+        for batch in batches:
+            values = [np.frombuffer(x.as_buffer(), np.int64)[:most] for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(values, pa.list_(pa.int64()))], ["id", "n", "s"])
+
+    return sets.select("id", "n", "s").mapInArrow(run, "id long, n long, s array<long>")
+
+
+def estimated(scratch: Scratch, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their union sketch doesn't rule out."""
     sketch = reps.select("id", "sketch")
     both = pairs.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b")
     union = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
     shared = F.size(F.array_intersect(union, F.array_intersect("x", "y")))
-    near = scratch.cut(both.where(shared >= LEAST_ESTIMATE * F.size(union)).select("a", "b"))
-    wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct().join(reps.select("id", "set_id"), "id")
-    sets = scratch.cut(full_sets(docs, wanted, size).select("id", "s"))
+    return scratch.cut(both.where(shared >= LEAST_ESTIMATE * F.size(union)).select("a", "b"))
+
+
+def verify(scratch: Scratch, near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets, as (src, dst)."""
+    sets = sets.select("id", "s")
     joined = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
 
     def check(batches):
@@ -228,11 +240,11 @@ def verify(scratch: Scratch, pairs: DataFrame, reps: DataFrame, docs: DataFrame,
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_())).rename_columns(["src", "dst"])
 
     links = scratch.cut(joined.select("a", "b", "x", "y").mapInArrow(check, "src long, dst long"))
-    scratch.drop(near, sets)
+    scratch.drop(near)
     return links
 
 
-def across(scratch: Scratch, long: DataFrame, reached: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def across(scratch: Scratch, long: DataFrame, reached: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of long lists that lie in different components and pass a sketch of ``WIDE`` values.
 
     Lists with the same largest component are laid together, so a pair is looked at
@@ -246,8 +258,7 @@ def across(scratch: Scratch, long: DataFrame, reached: DataFrame, reps: DataFram
     heads = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.component").alias("head"))
     heads = scratch.cut(heads)
     members = scratch.cut(labels.join(heads, "key").select("head", "id", "component").distinct())
-    wanted = members.select("id").distinct().join(reps.select("id", "set_id"), "id")
-    wide = scratch.cut(full_sets(docs, wanted, size, WIDE))
+    wide = scratch.cut(smallest(sets.join(members.select("id").distinct(), "id", "left_semi"), WIDE))
     members = members.join(wide, "id")
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
     y = members.select("head", salt.alias("salt"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("s").alias("y"))
@@ -272,22 +283,27 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "neardup")
     found = scratch.cut(sketches(docs, size))
     sets = found.where("set_id is not null and doc_id is not null")
-    first = sets.groupBy("set_id").agg(F.min("doc_id").alias("id"))
-    # one row for each class of equal sets
-    own = sets.join(first.withColumnRenamed("id", "doc_id"), ["set_id", "doc_id"], "left_semi")
-    reps = scratch.cut(own.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("set_id", F.col("n_shingles").alias("n"), "sketch")).alias("r")).select("id", "r.*"))
+    # one row for each class of equal sets, and of those one for each doc_id
+    classes = scratch.cut(sets.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    first = classes.select("set_id", "id")
+    reps = scratch.cut(classes.groupBy("id").agg(F.min(F.struct("set_id", "n", "sketch")).alias("r")).select("id", "r.*"))
     pairs, long = candidates(scratch, reps, percent)
-    links = verify(scratch, pairs, reps, docs, size, percent)
+    near = estimated(scratch, pairs, reps)
     scratch.drop(pairs)
+    # texts are shuffled once, for all sets that pairs and long lists need
+    wanted = near.select(F.col("a").alias("id")).union(near.select("b")).union(long.select("id")).distinct()
+    whole = scratch.cut(full_sets(docs, wanted.join(reps.select("id", "set_id"), "id"), size))
+    links = verify(scratch, near, whole, percent)
     reached = components(scratch, links)
     if long.limit(1).count():
-        more = across(scratch, long, reached, reps, docs, size, percent)
-        links = links.union(verify(scratch, more, reps, docs, size, percent))
+        more = across(scratch, long, reached, whole, percent)
+        links = links.union(verify(scratch, estimated(scratch, more, reps), whole, percent))
         reached = components(scratch, links)
         scratch.drop(more)
+    scratch.drop(whole, reps)
     # members of a class go where its smallest document goes
-    whole = first.join(reached, first.id == reached.node, "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
-    out = found.select("doc_id", "n_shingles", "set_id").join(whole, "set_id", "left")
+    component_of = first.join(reached, first.id == reached.node, "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
+    out = found.select("doc_id", "n_shingles", "set_id").join(component_of, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
