@@ -93,12 +93,16 @@ def _all(conditions):
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; the session's folder is used, one is set only where there is none."""
+    """A reliable checkpoint in the session's folder; a new local one is set only where a session on one machine names none."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
+        import re
         import tempfile
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="neurotab-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="neurotab-"))
     return df.checkpoint()
 
 

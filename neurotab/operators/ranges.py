@@ -8,6 +8,7 @@ touches, and the condition is checked inside buckets.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -59,9 +60,15 @@ def knn_join(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int
     """The k nearest right rows of each left row, or all if there are fewer, with ``rank`` and ``dist``.
 
     A ring of cells is searched; a left row is settled if its k-th distance lies
-    within the ring, and the rest is searched again with cells twice as wide.
+    within the ring, and the rest is searched again with cells twice as wide. Rows
+    without key or with a place that isn't finite have no neighbour and are no
+    neighbours; with no right row the result has no row.
     """
+    finite = reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(c) < float("inf")) for c in names))
+    left, right = left.where(finite & F.col(key).isNotNull()), right.where(finite)
     n = right.count()
+    if not n:
+        return radius_join(left, right, start, names=names).withColumn("rank", F.lit(1))
     size, open_, done = start, left, None
     order = Window.partitionBy(key).orderBy("dist", f"{right_key}_r")
     while True:

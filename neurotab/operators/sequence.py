@@ -76,21 +76,28 @@ def moving_average(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
 
 
 def weighted_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, sigma: float, out: str) -> DataFrame:
-    """Gaussian smoothing cut at four sigma, with the series reflected at its ends."""
+    """Gaussian smoothing cut at four sigma, with the series reflected at its ends (d c b a | a b c d | d c b a).
+
+    Each row takes its neighbours from a window frame, which holds all places that a
+    reflection leads to. Equal rows each keep a result; null values weigh nothing,
+    and where all are null the mean is null.
+    """
     from math import exp
 
     reach = int(4 * sigma + 0.5)
     weights = [exp(-0.5 * (i / sigma) ** 2) for i in range(-reach, reach + 1)]
     total, w = sum(weights), _over(keys, order)
-    every = Window.partitionBy(*keys)
-    d = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(every))
-    taps = d.select(*df.columns, F.col(value).alias("_x"), "_n", F.col("_i"), F.explode(F.array([F.struct(F.lit(k - reach).alias("o"), F.lit(g / total).alias("g")) for k, g in enumerate(weights)])).alias("_t"))
-    at = F.col("_i") + F.col("_t.o")
-    turn = F.pmod(at, 2 * F.col("_n"))  # d c b a | a b c d | d c b a
-    source = F.when(turn < F.col("_n"), turn).otherwise(2 * F.col("_n") - 1 - turn)
-    values = d.select(*keys, F.col("_i").alias("_s"), F.col(value).alias("_v"))
-    joined = taps.withColumn("_s", source).join(values, [*keys, "_s"])
-    return joined.groupBy(*df.columns).agg(F.sum(F.col("_v") * F.col("_t.g")).alias(out))
+    taps = F.array(*(F.struct(F.lit(k - reach).alias("o"), F.lit(g / total).alias("g")) for k, g in enumerate(weights)))
+    d = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)).cast("int"))
+    d = d.withColumn("_f", F.collect_list(F.struct(F.col(value).cast("double").alias("v"))).over(w.rowsBetween(-reach, reach)))
+
+    def term(t):
+        turn = F.pmod(F.col("_i") + t.o, 2 * F.col("_n"))
+        source = F.when(turn < F.col("_n"), turn).otherwise(2 * F.col("_n") - 1 - turn)
+        return F.coalesce(F.get("_f", source - F.greatest(F.col("_i") - reach, F.lit(0))).v * t.g, F.lit(0.0))
+
+    mean = F.aggregate(F.transform(taps, term), F.lit(0.0), lambda x, y: x + y)
+    return d.withColumn(out, F.when(F.exists("_f", lambda x: x.v.isNotNull()), mean)).drop("_i", "_n", "_f")
 
 
 def rising_edges(df: DataFrame, keys: Sequence[str], order: Sequence[str], above: Column) -> DataFrame:

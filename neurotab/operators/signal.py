@@ -126,13 +126,15 @@ def band_power(f: np.ndarray, p: np.ndarray, low: float, high: float, rule: str
 
 
 def lempel_ziv(bits: np.ndarray) -> int:
-    """Number of phrases of the Lempel-Ziv parsing of 1976."""
+    """Lempel-Ziv phrases, counted from 1: each is the shortest stretch that doesn't stand anywhere before it; an unfinished last one isn't counted."""
     s, n = bytes(bits.astype(np.uint8)), len(bits)
-    count, at = 0, 0
+    count, at = 1, 0
     while at < n:
         size = 1
-        while at + size <= n and s.find(s[at : at + size], 0, at + size - 1) >= 0:
+        while at + size <= n and s.find(s[at : at + size], 0, at) >= 0:
             size += 1
+        if at + size > n:
+            break
         count, at = count + 1, at + size
     return count
 

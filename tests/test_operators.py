@@ -85,7 +85,7 @@ def test_spectra_and_complexity():
     fs, t = 200.0, np.arange(4000) / 200.0
     f, p = signal.welch_psd(np.sin(2 * np.pi * 20 * t), fs, 400)
     assert signal.band_power(f, p, 15, 25) == pytest.approx(0.5, rel=0.05) and signal.band_power(f, p, 40, 60) < 1e-6
-    assert signal.lempel_ziv(np.zeros(64)) == 2 and signal.lempel_ziv(np.random.default_rng(0).random(512) > 0.5) > 40
+    assert signal.lempel_ziv(np.zeros(64)) == 7 and signal.lempel_ziv(np.array([0, 1, 1, 0, 1])) == 4 and signal.lempel_ziv(np.random.default_rng(0).random(512) > 0.5) > 40
     slow = np.sin(2 * np.pi * 2 * t)
     coupled, flat = (1 + slow) / 2, np.ones_like(t)
     phase = np.angle(signal.hilbert(slow))
@@ -226,3 +226,28 @@ def test_streams(spark, tmp_path):
     assert len(kept) == sequence.refractory(t, ["user_id"], "t", 3.6e9).count()
     assert _through(spark, tmp_path, e, lambda s: live.window_means(s, ["user_id"], "ts", "value", "1 day", "1 day", "1 day"), "means")
     assert _through(spark, tmp_path, e, lambda s: live.live_bouts(s, ["user_id"], "ts", "6 hours", "1 day"), "bouts")
+
+
+def test_neighbours_without_places_or_right_rows(spark):
+    kind = "id long, x double, y double, z double"
+    a = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, None, 0.0, 0.0), (3, float("nan"), 0.0, 0.0), (None, 1.0, 1.0, 1.0), (4, 90.0, 0.0, 0.0)], kind)
+    got = sorted((r.id, r["rank"], r.id_r) for r in ranges.knn_join(a, a, "id", "id", 1, 0.5).collect())
+    assert got == [(1, 1, 1), (4, 1, 4)]
+    none = ranges.knn_join(a, a.limit(0), "id", "id", 2, 0.5)
+    assert none.count() == 0 and {"rank", "dist", "id_r"} <= set(none.columns)
+
+
+def test_smoothing_of_equal_rows_and_short_series(spark):
+    rows = [("a", 1, 2.0), ("a", 1, 2.0), ("a", 2, 4.0), ("b", 1, 5.0), ("c", 1, None), *(("d", i, float(i * i % 7)) for i in range(30))]
+    got = sequence.weighted_mean(spark.createDataFrame(rows, "k string, t int, v double"), ["k"], ["t"], "v", 1.0, "m").collect()
+    assert len(got) == len(rows)
+
+    def smooth(x):
+        g = np.exp(-0.5 * np.arange(-4, 5) ** 2.0)
+        padded = np.pad(np.array(x), 4, mode="symmetric")
+        return [float((padded[i : i + 9] * g / g.sum()).sum()) for i in range(len(x))]
+
+    for k in "abd":
+        want = smooth([v for key, _, v in rows if key == k])
+        assert np.allclose([r.m for r in sorted((r for r in got if r.k == k), key=lambda r: (r.t, r.m))], want)
+    assert [r.m for r in got if r.k == "c"] == [None]
