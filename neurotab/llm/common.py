@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -37,6 +38,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.dir, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.there: set[str] = set()
 
     def path(self) -> str:
         self.n += 1
@@ -46,16 +48,31 @@ class Scratch:
         """Writes df and reads it back."""
         schema, path = df.schema, self.path()
         df.write.parquet(path)
+        self.there.add(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables of cut() that nothing reads any more."""
+        self._delete(t._scratch_path for t in tables)
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """Writes df and deletes all other tables: the result, after which nothing else is left on disk."""
+        before = list(self.there)
+        out = self.cut(df)
+        self._delete(before)
+        return out
+
+    def _delete(self, paths) -> None:
+        """Deletes tables, and lets Spark delete shuffle files: it does so when the driver collects the plans that wrote them."""
         jvm = self.spark._jvm
-        for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        for path in paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self.there.discard(path)
+        gc.collect()
+        jvm.System.gc()
 
 
 def lower_ascii(c: Column) -> Column:

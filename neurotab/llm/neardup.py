@@ -126,12 +126,12 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sketch array<long>")
 
 
-def _split(scratch: Scratch, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of lists of 2 to LONG rows, and of longer ones. The counts are a table, so that Spark may split a long list's rows in the join."""
+def _marked(scratch: Scratch, lists: DataFrame) -> DataFrame:
+    """Rows of lists of two or more, with their number as members. The counts are a table, so that Spark may split a long list's rows in the join."""
     counts = scratch.cut(lists.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
     marked = scratch.cut(lists.join(counts, "key"))
     scratch.drop(counts)
-    return marked.where(F.col("members") <= LONG).drop("members"), marked.where(F.col("members") > LONG).drop("members")
+    return marked
 
 
 def _pairs(lists: DataFrame) -> DataFrame:
@@ -178,10 +178,14 @@ def candidates(scratch: Scratch, reps: DataFrame, percent: int) -> tuple[DataFra
         rows = reps.where(F.size("sketch") >= length).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("sketch") - length + 1)))
         key = F.xxhash64(F.lit(length), *(F.element_at("sketch", F.col("i") + k) for k in range(length)))
         listed.append((rows if most is None else rows.where(F.col("n") <= most)).select("id", "n", key.alias("key")))
-    short, long = _split(scratch, reduce(DataFrame.union, listed))
+    marked = _marked(scratch, reduce(DataFrame.union, listed))
+    short, long = (marked.where(F.col("members") <= LONG).drop("members"), marked.where(F.col("members") > LONG).drop("members"))
     members = long.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"))
-    leading = members.join(scratch.cut(_leaders(long)), "key").where("a < b").select("a", "b", "n_a", "n_b")
-    return scratch.cut(_fits(_pairs(short).union(leading), percent)), long.select("key", "id", "n")
+    leaders = scratch.cut(_leaders(long))
+    leading = members.join(leaders, "key").where("a < b").select("a", "b", "n_a", "n_b")
+    pairs, long_lists = scratch.cut(_fits(_pairs(short).union(leading), percent)), scratch.cut(long.select("key", "id", "n"))
+    scratch.drop(leaders, marked)
+    return pairs, long_lists
 
 
 def _fits(pairs: DataFrame, percent: int) -> DataFrame:
@@ -273,7 +277,7 @@ def across(scratch: Scratch, long: DataFrame, reached: DataFrame, sets: DataFram
     alike = F.when(whole, 100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).otherwise(estimate)
     found = x.join(y, ["head", "salt"]).where(other & fits & alike)
     more = scratch.cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    scratch.drop(labels, wide)
+    scratch.drop(labels, heads, wide)
     return more
 
 
@@ -300,12 +304,12 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         links = links.union(verify(scratch, estimated(scratch, more, reps), whole, percent))
         reached = components(scratch, links)
         scratch.drop(more)
-    scratch.drop(whole, reps)
+    scratch.drop(whole, reps, long)
     # members of a class go where its smallest document goes
     component_of = first.join(reached, first.id == reached.node, "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
     out = found.select("doc_id", "n_shingles", "set_id").join(component_of, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return scratch.last(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
 
 
 #: The same rows for two-word shingles in SQL for DuckDB, every pair that shares a shingle counted.

@@ -64,7 +64,7 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """What is left of every document without strings of 400 bytes that stand twice."""
-    return substrings.deduplicate(_table(spark, sf, "documents"))
+    return substrings.deduplicate(_table(spark, sf, "documents"), keep_text=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_hamming_topk, op4_embedding_neardup, op5_piece_encoding, op6_warc_round_trip, op7_length_packing, op8_minhash_neardup, op9_language_id, op10_suffix_dedup)}

@@ -263,11 +263,12 @@ def repeated_windows(scratch: Scratch, texts: DataFrame, length: int = LENGTH, g
     alike = (F.min("run") == F.max("run")) & (F.min("run2") == F.max("run2"))
     grams = scratch.cut(found.groupBy("gram").agg(F.count("*").alias("n"), alike.alias("same")).where("n > 1").drop("n"))
     again = scratch.cut(found.join(grams, "gram"))
+    scratch.drop(found, grams)
     mixed = again.where("not same")
     by_run = scratch.cut(mixed.groupBy("gram", "run", "run2").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "pos")).alias("one")))
     crowd = scratch.cut(by_run.groupBy("gram").agg((F.count("*") > CROWD).alias("crowded"), F.min("n").alias("fewest")))
     left = scratch.cut(mixed.join(by_run.join(crowd, "gram"), ["gram", "run", "run2"]))
-    scratch.drop(found, grams)
+    scratch.drop(by_run, crowd)
     whole = again.where("same").select("d", "h", "first", "last").union(left.where("n > 1").select("d", "h", "first", "last")).toDF("d", "h", "s0", "s1")
     compare = left.where("fewest = 1 and (n = 1 or one = struct(d, h, pos))").withColumn("solved", F.col("n") > 1)
     wanted = compare.groupBy("d", "h").agg(F.collect_set(F.struct("gram", "pos", "first", "last", "solved", "crowded")).alias("runs"))
@@ -335,7 +336,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep_text: bool = False,
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "substrings")
     texts = _keyed(docs, *more)
-    windows = repeated_windows(scratch, texts, length).groupBy("d", "h").agg(F.collect_list(F.struct("s0", "s1")).alias("windows"))
+    windows = scratch.last(repeated_windows(scratch, texts, length).groupBy("d", "h").agg(F.collect_list(F.struct("s0", "s1")).alias("windows")))
     joined = texts.join(windows, ["d", "h"], "left").select("doc_id", "text", "windows", *more)
     kept = [docs.schema[c] for c in ("doc_id", *more)]
     from pyspark.sql.types import LongType, StringType, StructField, StructType
