@@ -12,11 +12,9 @@ so small that unshared values could break every run, a rule of counting says whi
 miss nothing. For lower thresholds runs are shorter, down to single values.
 
 Lists of up to ``LONG`` members give all their pairs. In longer lists, as large groups
-of copies make them, members are checked against the smallest one first, and then only
-members outside the largest component of a list are paired, with members of other
-components, so a list that is one component costs as many checks as it has members.
-These pairs are judged inside their join by sketches of ``WIDE`` values, which are
-whole sets for most documents.
+of copies or common passages make them, members are checked against the smallest one
+first. Where a list is then more than one component, its members are paired anew by
+their rarest values only (``across``).
 
 Pairs whose sizes rule the similarity out go; then those whose union sketch (the
 ``SKETCH`` smallest hashes of both) estimates it below ``LEAST_ESTIMATE``, over
@@ -46,7 +44,7 @@ from neurotab.llm.tokens import grouped
 
 SKETCH, RUN, LONG, LEAST_ESTIMATE = 48, 3, 64, 0.54
 MISS = 1e-6  # chance that two large sets at the threshold have no run in common
-WIDE, WIDE_ESTIMATE, SALTS = 512, 0.72, 16  # the same for members of long lists across components; parts of a long list
+WIDE, SLACK, SALTS = 512, 0.1, 16  # values of members of long lists, and what their shared share may lack; parts of a long list
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _BLANK = np.zeros(256, bool)
@@ -249,35 +247,48 @@ def verify(scratch: Scratch, near: DataFrame, sets: DataFrame, percent: int) ->
 
 
 def across(scratch: Scratch, long: DataFrame, reached: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of long lists that lie in different components and pass a sketch of ``WIDE`` values.
-
-    Lists with the same largest component are laid together, so a pair is looked at
-    once. Members are dealt by hash to ``SALTS`` parts, and those outside the largest
-    component go to every part. The sketch is compared in the join itself: pairs that
-    it rules out are never rows. Sets of up to ``WIDE`` values are compared exactly.
+    """Pairs (a, b) that may be similar, of members of long lists with several components, not in one component yet.
+
+    A prefix filter over the ``WIDE`` smallest values of each set, which are all of
+    most: of two sets that share c of their n values, the n - c + 1 that the fewest
+    members hold have one in common. So documents that share no more than a common
+    passage don't meet. Where sets are whole this misses nothing; of larger ones c is
+    taken ``SLACK`` below the threshold, five standard deviations. In the lists of
+    these values, members outside the largest component meet all others, in ``SALTS``
+    parts where a list is long; where both sets are whole, a pair whose places in the
+    order of values rule the similarity out goes.
     """
     labels = long.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     labels = scratch.cut(labels.select("key", "id", "component"))
-    sizes = labels.groupBy("key", "component").agg(F.count("*").alias("size"))
-    heads = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.component").alias("head"))
-    heads = scratch.cut(heads)
-    members = scratch.cut(labels.join(heads, "key").select("head", "id", "component").distinct())
-    wide = scratch.cut(smallest(sets.join(members.select("id").distinct(), "id", "left_semi"), WIDE))
-    members = members.join(wide, "id")
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
-    y = members.select("head", salt.alias("salt"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("s").alias("y"))
-    x = members.where("component <> head").select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("s").alias("x"))
-    shared = F.size(F.array_intersect("x", "y"))
-    union = F.slice(F.array_sort(F.array_union("x", "y")), 1, WIDE)
-    estimate = F.size(F.array_intersect(union, F.array_intersect("x", "y"))) >= WIDE_ESTIMATE * F.size(union)
-    whole = F.greatest("n_a", "n_b") <= WIDE
+    mixed = scratch.cut(labels.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key"))
+    members = scratch.cut(labels.join(mixed, "key").select("id", "component").distinct())
+    wide = scratch.cut(smallest(sets.join(members.select("id"), "id", "left_semi"), WIDE))
+    scratch.drop(labels, mixed)
+    values = wide.select("id", F.explode("s").alias("v"))
+    counts = scratch.cut(values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"))
+    held = F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "v")))
+    ordered = values.join(counts, "v", "left").groupBy("id").agg(held.alias("o"))
+    n = F.col("n")
+    of_whole = F.when(n <= WIDE, n - F.ceil(F.lit(percent) * n / 100) + 1).otherwise(0)
+    of_part = F.when(100 * n > percent * WIDE, F.least(n, F.lit(WIDE)) - int((percent / 100 - SLACK) * WIDE) + 1).otherwise(0)
+    prefix = F.slice("o", F.lit(1), F.greatest(of_whole, of_part).cast("int"))
+    rows = ordered.join(wide.select("id", "n"), "id").join(members, "id").select("id", "n", "component", F.posexplode(prefix).alias("i", "e"))
+    listed = scratch.cut(rows.where("e.c > 1").select(F.col("e.v").alias("v"), "id", "n", "i", "component"))
+    sizes = listed.groupBy("v", "component").agg(F.count("*").alias("m"))
+    heads = sizes.groupBy("v").agg(F.max(F.struct("m", "component")).alias("h"), F.count("*").alias("k"), F.sum("m").alias("members")).where("k > 1")
+    heads = scratch.cut(heads.select("v", F.col("h.component").alias("head"), F.when(F.col("members") > LONG, SALTS).otherwise(1).alias("parts")))
+    members = listed.join(heads, "v")
+    y = members.select("v", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("j"), F.col("component").alias("c_b"))
+    every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    x = members.where("component <> head").select("v", every_part, F.col("id").alias("a"), F.col("n").alias("n_a"), "i", F.col("component").alias("c_a"), "head")
     # a pair outside the largest component is met from both sides: once is enough
     other = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("head")) | (F.col("a") < F.col("b")))
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    alike = F.when(whole, 100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).otherwise(estimate)
-    found = x.join(y, ["head", "salt"]).where(other & fits & alike)
+    most = F.least("i", "j") + F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j"))
+    placed = (F.greatest("n_a", "n_b") > WIDE) | ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
+    found = x.join(y, ["v", "part"]).where(other & fits & placed)
     more = scratch.cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    scratch.drop(labels, heads, wide)
+    scratch.drop(wide, counts, listed, heads)
     return more
 
 
