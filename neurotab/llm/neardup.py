@@ -36,7 +36,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from neurotab.llm.common import Scratch, components, ship
@@ -44,7 +44,8 @@ from neurotab.llm.tokens import grouped
 
 SKETCH, RUN, LONG, LEAST_ESTIMATE = 48, 3, 64, 0.54
 MISS = 1e-6  # chance that two large sets at the threshold have no run in common
-WIDE, SLACK, SALTS = 512, 0.1, 16  # values of members of long lists, and what their shared share may lack; parts of a long list
+WIDE, SLACK, SALTS, PART = 512, 0.1, 16, 256  # values of members of long lists, and what their shared share may lack; parts of a long list, at least so many members each
+ODD = 1024  # bits of an odd sketch
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _BLANK = np.zeros(256, bool)
@@ -208,14 +209,29 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def smallest(sets: DataFrame, most: int) -> DataFrame:
-    """(id, n, s) with s as an array of its ``most`` smallest hashes."""
+    """(id, n, s, odd) with s as an array of its ``most`` smallest hashes, and odd the odd sketch of the whole set: bit i says whether an odd number of hashes end in i."""
 
     def run(batches):
         for batch in batches:
-            values = [np.frombuffer(x.as_buffer(), np.int64)[:most] for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(values, pa.list_(pa.int64()))], ["id", "n", "s"])
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
+            odd = [np.packbits((np.bincount(x & (ODD - 1), minlength=ODD) & 1).astype(np.uint8)).view(np.int64) for x in sets]
+            lists = [pa.array(v, pa.list_(pa.int64())) for v in ([x[:most] for x in sets], odd)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *lists], ["id", "n", "s", "odd"])
 
-    return sets.select("id", "n", "s").mapInArrow(run, "id long, n long, s array<long>")
+    return sets.select("id", "n", "s").mapInArrow(run, "id long, n long, s array<long>, odd array<long>")
+
+
+def odd_fits(a: list[Column], b: list[Column], n_a: Column, n_b: Column, percent: int) -> Column:
+    """Whether two odd sketches (the words of each) leave the similarity possible.
+
+    They differ in one bit at most for each value that only one set holds, which
+    alike sets have ``most`` of. Where these are many, bits cancel out: the number of
+    different bits is then 5 standard deviations over its mean at most.
+    """
+    differ = reduce(Column.__add__, (F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)))
+    most = (n_a + n_b) * (100 - percent) / float(100 + percent)
+    mean, deviation = ODD / 2 * (1 - F.exp(-most * (2 / ODD))), ODD**0.5 / 2 * F.sqrt(1 - F.exp(-most * (4 / ODD)))
+    return (differ <= most) & (differ <= mean + 5 * deviation)
 
 
 def estimated(scratch: Scratch, pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -256,7 +272,8 @@ def across(scratch: Scratch, long: DataFrame, reached: DataFrame, sets: DataFram
     taken ``SLACK`` below the threshold, five standard deviations. In the lists of
     these values, members outside the largest component meet all others, in ``SALTS``
     parts where a list is long; where both sets are whole, a pair whose places in the
-    order of values rule the similarity out goes.
+    order of values rule the similarity out goes. Inside that join the odd sketches of
+    the whole sets (``odd_fits``) keep only pairs close to the threshold or above it.
     """
     labels = long.join(reached.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     labels = scratch.cut(labels.select("key", "id", "component"))
@@ -272,21 +289,24 @@ def across(scratch: Scratch, long: DataFrame, reached: DataFrame, sets: DataFram
     of_whole = F.when(n <= WIDE, n - F.ceil(F.lit(percent) * n / 100) + 1).otherwise(0)
     of_part = F.when(100 * n > percent * WIDE, F.least(n, F.lit(WIDE)) - int((percent / 100 - SLACK) * WIDE) + 1).otherwise(0)
     prefix = F.slice("o", F.lit(1), F.greatest(of_whole, of_part).cast("int"))
-    rows = ordered.join(wide.select("id", "n"), "id").join(members, "id").select("id", "n", "component", F.posexplode(prefix).alias("i", "e"))
-    listed = scratch.cut(rows.where("e.c > 1").select(F.col("e.v").alias("v"), "id", "n", "i", "component"))
+    words = range(ODD // 64)
+    odd = [F.col("odd")[k].alias(f"o{k}") for k in words]
+    rows = ordered.join(wide.select("id", "n", *odd), "id").join(members, "id").select("id", "n", "component", *(f"o{k}" for k in words), F.posexplode(prefix).alias("i", "e"))
+    listed = scratch.cut(rows.where("e.c > 1").select(F.col("e.v").alias("v"), "id", "n", "i", "component", *(f"o{k}" for k in words)))
     sizes = listed.groupBy("v", "component").agg(F.count("*").alias("m"))
     heads = sizes.groupBy("v").agg(F.max(F.struct("m", "component")).alias("h"), F.count("*").alias("k"), F.sum("m").alias("members")).where("k > 1")
-    heads = scratch.cut(heads.select("v", F.col("h.component").alias("head"), F.when(F.col("members") > LONG, SALTS).otherwise(1).alias("parts")))
+    heads = scratch.cut(heads.select("v", F.col("h.component").alias("head"), F.least(F.lit(SALTS), F.ceil(F.col("members") / PART)).cast("int").alias("parts")))
     members = listed.join(heads, "v")
-    y = members.select("v", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("j"), F.col("component").alias("c_b"))
+    y = members.select("v", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("j"), F.col("component").alias("c_b"), *(F.col(f"o{k}").alias(f"y{k}") for k in words))
     every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    x = members.where("component <> head").select("v", every_part, F.col("id").alias("a"), F.col("n").alias("n_a"), "i", F.col("component").alias("c_a"), "head")
+    x = members.where("component <> head").select("v", every_part, F.col("id").alias("a"), F.col("n").alias("n_a"), "i", F.col("component").alias("c_a"), "head", *(F.col(f"o{k}").alias(f"x{k}") for k in words))
     # a pair outside the largest component is met from both sides: once is enough
     other = (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("head")) | (F.col("a") < F.col("b")))
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     most = F.least("i", "j") + F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j"))
     placed = (F.greatest("n_a", "n_b") > WIDE) | ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
-    found = x.join(y, ["v", "part"]).where(other & fits & placed)
+    close = odd_fits(*([F.col(f"{side}{k}") for k in words] for side in "xy"), F.col("n_a"), F.col("n_b"), percent)
+    found = x.join(y, ["v", "part"]).where(other & fits & placed & close)
     more = scratch.cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     scratch.drop(wide, counts, listed, heads)
     return more

@@ -393,3 +393,28 @@ def test_queries_are_registered():
 
     names = set(__spark_entry__.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names and {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_odd_sketches_keep_similar_sets(spark):
+    """Of 400 pairs at or over the threshold, whole bits or cancelled ones, none goes; nearly all far ones do."""
+    from neurotab.llm import neardup
+
+    r = np.random.default_rng(3)
+    rows, alike = [], []
+    for i in range(800):
+        n = int(r.integers(5, 4000))
+        shared = -(-8 * n // 10) if i % 2 else n // 2
+        values = r.integers(-(2**63), 2**63 - 1, 2 * n, dtype=np.int64)
+        rest = n - shared
+        a = np.concatenate([values[:shared], values[shared : shared + rest // 2]])
+        b = np.concatenate([values[:shared], values[shared + rest // 2 : n]])
+        alike.append(100 * shared >= 80 * n)
+        rows += [(2 * i, len(a), np.sort(a).tobytes()), (2 * i + 1, len(b), np.sort(b).tobytes())]
+    sets = spark.createDataFrame([(i, n, bytearray(s)) for i, n, s in rows], "id long, n long, s binary")
+    words = range(neardup.ODD // 64)
+    side = neardup.smallest(sets, 8).select((F.col("id") / 2).cast("long").alias("pair"), (F.col("id") % 2).alias("side"), "n", "odd")
+    both = side.where("side = 0").alias("a").join(side.where("side = 1").alias("b"), "pair")
+    keep = neardup.odd_fits([F.col("a.odd")[k] for k in words], [F.col("b.odd")[k] for k in words], F.col("a.n"), F.col("b.n"), 80)
+    got = {x.pair: x.keep for x in both.select("pair", keep.alias("keep")).collect()}
+    assert all(got[i] for i in range(800) if alike[i])
+    assert sum(got[i] for i in range(800) if not alike[i]) < 60
