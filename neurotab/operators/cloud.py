@@ -138,3 +138,23 @@ def centre_zone(df: DataFrame, keys: Sequence[str], ratio: float, x: str = "x",
     g = df.groupBy(*keys).agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
     side = lambda a, b, s: (F.col(a) + F.col(b)) / 2.0 + s * (F.col(b) - F.col(a)) * ratio / 2.0
     return g.select(*keys, side("x0", "x1", -1.0).alias("left"), side("x0", "x1", 1.0).alias("right"), side("y0", "y1", -1.0).alias("low"), side("y0", "y1", 1.0).alias("high"))
+
+
+def region_coverage(pixels: DataFrame, masks: dict[str, DataFrame], at: Sequence[str], keys: Sequence[str], least: float = 0.2) -> DataFrame:
+    """Of each region: pixels, share_<mask> that lies in a mask, <mask> whether that is more than ``least``, and all_positive."""
+    d = pixels
+    for name, mask in masks.items():
+        d = d.join(mask.select(*at).distinct().withColumn(f"_{name}", F.lit(1.0)), list(at), "left")
+    share = {name: F.avg(F.coalesce(f"_{name}", F.lit(0.0))) for name in masks}
+    every = F.lit(True)
+    for c in share.values():
+        every = every & (c > least)
+    flags = [x for name, c in share.items() for x in (c.alias(f"share_{name}"), (c > least).alias(name))]
+    return d.groupBy(*keys).agg(F.count("*").alias("n"), *flags, every.alias("all_positive"))
+
+
+def puncta_summary(puncta: DataFrame, tissue: DataFrame, keys: Sequence[str], area: str, intensity: str, near: str, pixels: str) -> DataFrame:
+    """Of each image of ``tissue``: number of puncta, mean area and intensity, density per tissue pixel, share of puncta near a partner; 0 without puncta or tissue."""
+    g = puncta.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(area).alias("mean_area"), F.avg(intensity).alias("mean_intensity"), F.avg(F.coalesce(F.col(near), F.lit(False)).cast("double")).alias("coloc_ratio"))
+    j = tissue.select(*keys, pixels).join(g, list(keys), "left").fillna(0, ["n", "mean_area", "mean_intensity", "coloc_ratio"])
+    return j.withColumn("density", F.when(F.col(pixels) > 0, F.col("n") / F.col(pixels)).otherwise(0.0)).drop(pixels)

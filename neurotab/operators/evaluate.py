@@ -132,3 +132,17 @@ def normalise(df: DataFrame, keys: Sequence[str], p: str, out: str) -> DataFrame
     c = F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0))
     total = F.sum(c).over(Window.partitionBy(*keys))
     return df.withColumn(out, c / F.when(total > 0, total).otherwise(1.0))
+
+
+def class_counts(df: DataFrame, label: str, wanted: int = 5) -> DataFrame:
+    """label, n, smallest (rows of the smallest class) and the number of folds that these allow, ``wanted`` at most; missing labels don't count."""
+    n = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+    # one row for each class, so the window is small
+    smallest = F.min("n").over(Window.partitionBy(F.lit(1)))
+    return n.withColumn("smallest", smallest).withColumn("folds", F.least(F.col("smallest"), F.lit(wanted)))
+
+
+def with_risk(clinical: DataFrame, scores: DataFrame, key: str, risk: str = "risk", healthy: str = "p_NC") -> DataFrame:
+    """All clinical rows with their out-of-fold scores; where the scores have no risk it is 1 minus the healthy probability."""
+    given = F.col(risk) if risk in scores.columns else F.lit(None).cast("double")
+    return clinical.join(scores.withColumn(risk, F.coalesce(given, 1 - F.col(healthy))), key, "left")

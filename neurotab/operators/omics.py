@@ -102,3 +102,23 @@ def sample_exactly(df: DataFrame, keys: Sequence[str], id: str, n: int, seed: in
     # row i of m stands for slots i, i + m, i + 2m .. under n
     copies = F.when(F.col("_i") < n, F.floor((n - 1 - F.col("_i")) / F.col("_n")) + 1).otherwise(0)
     return d.withColumn("_c", copies.cast("int")).where("_c > 0").withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_c") - 1))).withColumn("slot", (F.col("_i") + F.col("_k") * F.col("_n")).cast("long")).drop("_i", "_n", "_c", "_k")
+
+
+def significant(df: DataFrame, p: str, vip: str, p_below: float = 0.05, vip_least: float = 1.0, classes: Sequence[str] = (), regulation: str | None = None) -> DataFrame:
+    """Rows with p < p_below and vip >= vip_least; null classes are Unclassified, a regulation other than Up or Down is NA."""
+    d = df.where((F.col(p) < p_below) & (F.col(vip) >= vip_least)).withColumns({c: F.coalesce(F.col(c), F.lit("Unclassified")) for c in classes})
+    if regulation is None:
+        return d
+    word = F.initcap(F.trim(regulation))
+    return d.withColumn(regulation, F.when(word.isin("Up", "Down"), word).otherwise("NA"))
+
+
+def top_edges(edges: DataFrame, weight: str, k: int) -> DataFrame:
+    """The k edges of largest magnitude, equal ones by their ends."""
+    return edges.where(F.col(weight).isNotNull()).orderBy(F.desc(F.abs(weight)), "src", "dst").limit(k)
+
+
+def selection_frequency(df: DataFrame, feature: str, fold: str, folds: int) -> DataFrame:
+    """Number and share of folds that chose a feature; a feature chosen twice in a fold counts once."""
+    g = df.select(feature, fold).distinct().groupBy(feature).agg(F.count(fold).alias("n"))
+    return g.withColumn("frequency", F.col("n") / F.lit(folds))

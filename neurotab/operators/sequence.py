@@ -175,3 +175,10 @@ def trapezoid(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str) -> D
 def transition_entropy(trans: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sum of -p log2 p over the transitions of each key."""
     return trans.groupBy(*keys).agg(F.sum(-F.col("prob") * F.log2("prob")).alias("entropy"))
+
+
+def append_after(pre: DataFrame, post: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+    """Both recordings on one time axis: post starts where the last time of pre with its keys is; keys without pre start at 0."""
+    end = pre.groupBy(*keys).agg(F.max(time).alias("_end"))
+    moved = post.join(end, list(keys), "left").withColumn(time, F.col(time) + F.coalesce("_end", F.lit(0)))
+    return pre.withColumn("segment", F.lit("pre")).unionByName(moved.drop("_end").withColumn("segment", F.lit("post")))

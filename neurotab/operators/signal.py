@@ -32,7 +32,8 @@ def fir_bandpass(low: float, high: float, fs: float, taps: int) -> np.ndarray:
 def butterworth_sections(order: int, low: float, high: float, fs: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """Second-order sections (b, a) of a digital Butterworth band-pass, by prewarping and the bilinear transform.
 
-    The limits are kept at 0.01 Hz and 0.999 of half the rate.
+    The limits are kept at 0.01 Hz and 0.999 of half the rate. Of a wide band with an
+    odd order, two poles are real; they make one section.
     """
     low, high = max(low, 0.01), min(high, 0.999 * fs / 2)
     w1, w2 = (2 * fs * np.tan(np.pi * f / fs) for f in (low, high))
@@ -43,11 +44,13 @@ def butterworth_sections(order: int, low: float, high: float, fs: float) -> list
         root = np.sqrt(p * p - centre)
         poles += [p + root, p - root]
     z = [(2 * fs + p) / (2 * fs - p) for p in poles]
-    upper = sorted((p for p in z if p.imag > 0), key=lambda p: p.real)
+    real = [p.real for p in z if abs(p.imag) < 1e-12]
+    pairs = [(2 * p.real, abs(p) ** 2) for p in sorted((p for p in z if p.imag >= 1e-12), key=lambda p: p.real)]
+    pairs += [(p + q, p * q) for p, q in zip(real[::2], real[1::2])]
     sections = []
     middle = np.exp(2j * np.pi * np.sqrt(low * high) / fs) if low > 0 else 1.0
-    for p in upper:
-        a = np.array([1.0, -2 * p.real, abs(p) ** 2])
+    for both, product in pairs:
+        a = np.array([1.0, -both, product])
         b = np.array([1.0, 0.0, -1.0])
         gain = abs(np.polyval(b, middle) / np.polyval(a, middle))
         sections.append((b / gain, a))
@@ -87,7 +90,7 @@ def zero_phase(x: np.ndarray, sections) -> np.ndarray:
 
 def decay(sections, small: float = 1e-8) -> int:
     """Samples after which the slowest pole has died down."""
-    r = max(np.sqrt(a[2]) for _, a in sections)
+    r = max(abs(np.roots(a)).max() for _, a in sections)
     return int(np.ceil(np.log(small) / np.log(r)))
 
 
@@ -317,3 +320,97 @@ def laterality(df: DataFrame, keys: Sequence[str], channel: str, value: str, ips
     a, b = (F.avg(F.when(F.col(channel).isin(*s), F.col(value))) for s in (ipsi, contra))
     size = F.abs(a) + F.abs(b)
     return df.groupBy(*keys).agg(F.when(size == 0, 0.0).otherwise(-(a - b) / size).alias("laterality"))
+
+
+def fir_filter(df: DataFrame, keys: Sequence[str], index: str, value: str, taps: np.ndarray, size: int = 1 << 16) -> DataFrame:
+    """keys, index and ``filtered``: convolution with symmetric taps, the delay taken out, in chunks with a halo of half the taps.
+
+    The ends of a recording are reflected oddly, and padded with zeros where it is shorter than half the taps.
+    """
+    half = len(taps) // 2
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (*keys, index))
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(index)
+        x = pdf[value].to_numpy(float)
+        pad = min(half, len(x) - 1)
+        around = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) if pad > 0 else x
+        pdf["filtered"] = np.convolve(np.pad(around, half - pad), taps, "valid")[: len(x)]
+        return pdf.loc[pdf.inside, [*keys, index, "filtered"]]
+
+    c = chunks(df.select(*keys, index, value), index, size, half)
+    return c.groupBy(*keys, "chunk").applyInPandas(kernel, f"{kinds}, filtered double")
+
+
+def clean_lfp(df: DataFrame, keys: Sequence[str], index: str, value: str, fs: float, target: float = 500.0, low: float = 1.0, high: float = 150.0, order: int = 3, size: int = 1 << 16) -> DataFrame:
+    """keys, index (at the lower rate) and ``cleaned``: zeros and missing values are interpolated, then band-passed, then every q-th sample stays.
+
+    The upper limit is kept at 0.8 of half the target rate, so that nothing aliases.
+    Gaps at the ends take the nearest value, as do gaps longer than a chunk's halo;
+    a chunk without any value gives nulls.
+    """
+    q = max(1, round(fs / target))
+    sections = butterworth_sections(order, low, min(high, 0.8 * fs / q / 2), fs)
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys)
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(index)
+        x = pdf[value].to_numpy(float)
+        there = np.isfinite(x) & (x != 0)
+        at = np.arange(len(x))
+        pdf["cleaned"] = zero_phase(np.interp(at, at[there], x[there]), sections) if there.any() else np.nan
+        out = pdf.loc[pdf.inside & (pdf[index] % q == 0), [*keys, index, "cleaned"]]
+        return out.assign(**{index: out[index] // q})
+
+    c = chunks(df.select(*keys, index, value), index, size, decay(sections))
+    return c.groupBy(*keys, "chunk").applyInPandas(kernel, f"{kinds}, {index} long, cleaned double")
+
+
+def synchrony(df: DataFrame, keys: Sequence[str], channel: str, index: str, value: str, fs: float, width: int, step: int, bands: dict[str, tuple[float, float]]) -> DataFrame:
+    """keys, win, n_channels and sync_<band>: mean coherence over all pairs of channels in each whole window; null with one channel."""
+    from neurotab.operators.sequence import sliding_windows
+
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys)
+    names = list(bands)
+
+    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.pivot_table(index=channel, columns=index, values=value).dropna().to_numpy(float)
+        n = min(int(2 * fs), x.shape[1])
+        w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+        segments = np.lib.stride_tricks.sliding_window_view(x, n, axis=1)[:, :: max(1, n // 2)]
+        spectra = np.fft.rfft((segments - segments.mean(2, keepdims=True)) * w)
+        f, power = np.fft.rfftfreq(n, 1 / fs), (abs(spectra) ** 2).mean(1)
+        a, b = np.triu_indices(len(x), 1)
+        row = {k: [v] for k, v in zip([*keys, "win"], key)} | {"n_channels": [len(x)]}
+        for name in names:
+            k = (f >= bands[name][0]) & (f <= bands[name][1])
+            pairs = [np.mean(abs((spectra[i][:, k] * spectra[j][:, k].conj()).mean(0)) ** 2 / np.maximum(power[i, k] * power[j, k], 1e-300)) for i, j in zip(a, b)] if k.any() else []
+            row[f"sync_{name}"] = [float(np.mean(pairs)) if pairs else None]
+        return pd.DataFrame(row)
+
+    w = sliding_windows(df.select(*keys, channel, index, value), [*keys, channel], index, width, step)
+    return w.groupBy(*keys, "win").applyInPandas(kernel, f"{kinds}, win long, n_channels long, " + ", ".join(f"sync_{n} double" for n in names))
+
+
+def stage_rates(spikes: DataFrame, keys: Sequence[str], time: str, stages: dict[str, tuple[float, float]]) -> DataFrame:
+    """n_<stage> and rate_<stage> of each key: spikes with start <= time < end, and these over the stage's length."""
+    out = []
+    for name, (start, end) in stages.items():
+        n = F.count(F.when((F.col(time) >= start) & (F.col(time) < end), 1))
+        out += [n.alias(f"n_{name}"), (n / F.lit(float(end - start)) if end > start else F.lit(None).cast("double")).alias(f"rate_{name}")]
+    return spikes.groupBy(*keys).agg(*out)
+
+
+def population(tables: dict[str, DataFrame], cluster: str = "cluster", count: str = "spike_count", more_than: int = 50) -> DataFrame:
+    """Units of all recordings with more than so many spikes, as recording, neuron_id (recording_c and the cluster) and their columns.
+
+    Tables without the two columns are skipped, columns that a table lacks are null.
+    """
+    whole = {name: t for name, t in tables.items() if {cluster, count} <= set(t.columns)}
+    if not whole:
+        raise ValueError(f"no table has the columns {cluster} and {count}")
+    parts = [t.where(F.col(count) > more_than).withColumn("recording", F.lit(name)) for name, t in whole.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.withColumn("neuron_id", F.concat("recording", F.lit("_c"), F.col(cluster).cast("string")))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from neurotab.plans import events, lookups, sales, signals, texts, tracks, vectors
+from neurotab.plans import events, lookups, sales, signals, summaries, texts, tracks, vectors
 
-MODULES = (events, lookups, sales, signals, texts, tracks, vectors)
+MODULES = (events, lookups, sales, signals, summaries, texts, tracks, vectors)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
