@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neurotab.llm import embeddings, hamming, language, licenses, neardup, packing, pieces, substrings, tokens, warc
+from neurotab.llm import clusters, embeddings, hamming, language, licenses, neardup, packing, phrases, pieces, secrets, substrings, tokens, warc
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -67,5 +67,20 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.deduplicate(_table(spark, sf, "documents"), keep_text=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_hamming_topk, op4_embedding_neardup, op5_piece_encoding, op6_warc_round_trip, op7_length_packing, op8_minhash_neardup, op9_language_id, op10_suffix_dedup)}
-ORACLES = {"op1_license_scan": licenses.oracle(), "op3_hamming_topk": hamming.ORACLE, "op4_embedding_neardup": embeddings.ORACLE, "op6_warc_round_trip": warc.ORACLE, "op8_minhash_neardup": neardup.ORACLE}
+def op11_centroid_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Forty clusters of the integer vectors after five rounds."""
+    return clusters.cluster(_table(spark, sf, "embeddings"))
+
+
+def op12_phrase_mining(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 2,000 collocations of every language."""
+    return phrases.mine(_table(spark, sf, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets in every document by patterns and by how random strings look."""
+    return secrets.scan(_table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_hamming_topk, op4_embedding_neardup, op5_piece_encoding, op6_warc_round_trip, op7_length_packing, op8_minhash_neardup, op9_language_id, op10_suffix_dedup, op11_centroid_clusters, op12_phrase_mining, op13_secret_scan)}
+ORACLES = {"op1_license_scan": licenses.oracle(), "op3_hamming_topk": hamming.ORACLE, "op4_embedding_neardup": embeddings.ORACLE, "op6_warc_round_trip": warc.ORACLE, "op8_minhash_neardup": neardup.ORACLE, "op11_centroid_clusters": clusters.oracle(), "op12_phrase_mining": phrases.oracle()}
