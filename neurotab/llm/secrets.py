@@ -8,7 +8,7 @@ or more it is a span of kind ``random``.
 The models are trained from labelled samples of distinct strings. Labelled random
 are what the patterns match in the corpus (hex and access keys; assigned values with
 letters and digits) and generated strings over common alphabets; labelled ordinary
-are all other runs of 12 or more characters. Of each label the ``samples`` strings of
+are all other runs of 12 or more characters with a letter. Of each label the ``samples`` strings of
 smallest hash are taken, wherever they stand, so repeated ones count once and the
 models don't depend on how rows are dealt out; transitions are counted by Spark.
 
@@ -39,7 +39,7 @@ KINDS = ("assign", "access", "hex", "random")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 START = len(ALPHABET)
-LEAST, ODDS = 16, 12.0
+LEAST, ODDS, BACKOFF = 16, 20.0, 5.0
 RUN = re.compile("(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}")
 LETTER, DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 GENERATED = ("0123456789abcdef", "0123456789ABCDEF", ALPHABET[:62], ALPHABET[:64], ALPHABET[:52] + "0123456789_-", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789")
@@ -79,7 +79,8 @@ def _labelled(texts: pa.Array):
                 if kind or (LETTER.search(value) and DIGIT.search(value)):
                     yield 1, value
             for m in other_runs(text, base, 0):
-                yield 0, m[0]
+                if LETTER.search(m[0]):
+                    yield 0, m[0]
 
 
 def samples(docs: DataFrame, n: int) -> DataFrame:
@@ -115,7 +116,7 @@ def generated(n: int, seed: int = 13) -> list[tuple[int, str]]:
 
 
 def train(labelled: DataFrame) -> np.ndarray:
-    """Log-likelihood ratios of transitions (row: character before, the last one the start) from rows of (label, value), counted with half a count more each."""
+    """Log-likelihood ratios of transitions (row: character before, the last one the start) from rows of (label, value); a character seen seldom leans on the shares of single characters, and these on half a count more each."""
 
     def run(batches):
         n = np.zeros((2, START + 1, START), np.int64)
@@ -127,10 +128,12 @@ def train(labelled: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([*(pa.array(a, pa.int32()) for a in at), pa.array(n[at])], ["label", "a", "b", "n"])
 
     usable = labelled.select(F.col("label").cast("int"), "value").where(F.col("label").isin(0, 1) & F.col("value").rlike("^[A-Za-z0-9+/_=-]+$"))
-    counts = np.full((2, START + 1, START), 0.5)
+    counts = np.zeros((2, START + 1, START))
     for r in usable.mapInArrow(run, "label int, a int, b int, n long").groupBy("label", "a", "b").agg(F.sum("n").alias("n")).collect():  # a row a transition
         counts[r.label, r.a, r.b] += r.n
-    p = np.log(counts / counts.sum(2, keepdims=True))
+    alone = counts.sum(1, keepdims=True) + 0.5
+    alone /= alone.sum(2, keepdims=True)
+    p = np.log((counts + BACKOFF * alone) / (counts.sum(2, keepdims=True) + BACKOFF))
     return p[1] - p[0]
 
 
