@@ -5,10 +5,12 @@ Counts come from tries of phrases. A task keeps word ids in a shallow trie
 hold the remaining words with a count, and a container that grows over ``BURST``
 entries becomes a node of containers. A window of up to five words is one entry, as
 each phrase is the beginning of exactly one window at each place where it stands.
-When a task's trie is full, its largest subtrees are written whole as sorted runs.
-The runs of all tasks are dealt out by ranges of prefixes and merged in order; the
-phrases of a range are the prefixes of its windows. A prefix that spans two ranges is
-added up afterwards, so no prefix has to fit one task.
+When a task's trie is full, its largest subtrees are written whole, each one row: a
+sorted run of what follows a first word. The runs of a first word are merged in
+order; its phrases are the beginnings of its windows. The subtree of a very frequent
+first word is cut into buckets by the two words after it (``crowded``), as many as its
+share of all words asks for, so no prefix has to fit one task; its pairs, which then
+lie in several buckets, are added up afterwards.
 
 Two passes before keep the tries small without changing a count: a phrase that
 stands ``least`` times has words and neighbouring pairs that do so, too. Words are
@@ -32,8 +34,9 @@ from pyspark.sql import functions as F
 
 from neurotab.llm.common import LOWER, UPPER, Scratch, ship
 
-BURST, DEPTH, ENTRIES, VOCABULARY = 512, 3, 400_000, 1_000_000  # entries of a container, levels of nodes, entries and words of a task
+BURST, DEPTH, ENTRIES, VOCABULARY = 512, 3, 400_000, 500_000  # entries of a container, levels of nodes, entries and words of a task
 SLICE, PAIRS = 1 << 20, 1 << 22
+WHOLE = -1  # the bucket of a subtree that isn't cut
 WORD_BITS, PAIR_BITS = 26, 27
 MASK = (1 << 63) - 1
 MARKS = bytes(ord(".") if chr(i) in ".,;:!?\n\v\f\r" else i for i in range(256))
@@ -263,33 +266,54 @@ def windows(ids: np.ndarray, linked: np.ndarray, longest: int, keys: np.ndarray)
     return w[first], n
 
 
-def runs(docs: DataFrame, frequent, pairs, longest: int) -> DataFrame:
-    """lang, window (words joined by zero bytes), n: sorted runs of the tasks' tries."""
+def crowded(often: DataFrame, words: DataFrame) -> dict[int, int]:
+    """By key, into how many buckets the windows that begin with a very frequent word are dealt: no bucket holds much more than an eighth of a task's share."""
+    parts = 8 * max(int(often.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    total = words.agg(F.sum("n")).first()[0] or 0
+    return {r.key: -(-r.n * parts // total) for r in often.where(F.col("n") * parts > total).select("key", "n").collect()}  # fewer than parts rows
+
+
+def runs(docs: DataFrame, frequent, pairs, buckets, longest: int) -> DataFrame:
+    """lang, first, bucket, tails, counts: subtrees of the tasks' tries, each a sorted run of what follows the first word."""
 
     def run(batches):
         table, trie = Table(frequent.value), PhraseTrie()
 
-        def sorted_run(entries):
-            part = sorted((table.langs[ids[0]], b"\0".join([table.words[x] for x in ids]), n) for ids, n in entries)
-            langs, keys, counts = zip(*part)
-            columns = [pa.array(langs), pa.array(keys, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["lang", "window", "n"])
+        def rows(share):
+            for tree in trie.spill(share):
+                head = tree[0][0][0]
+                split = buckets.value.get(int(table.keys[head]), 1)
+                dealt: dict[int, list] = {}
+                for ids, n in tree:
+                    bucket = (int(table.keys[ids[1]]) + (3 * int(table.keys[ids[2]]) if len(ids) > 2 else 0)) % split if split > 1 else WHOLE
+                    dealt.setdefault(bucket, []).append((b"\0".join([table.words[x] for x in ids[1:]]), n))
+                for bucket, entries in dealt.items():
+                    entries.sort()
+                    yield table.langs[head], table.words[head], bucket, entries
 
         def out(share):
-            held = []
-            for tree in trie.spill(share):
-                held += tree
-                if len(held) > 50_000:
-                    yield sorted_run(held)
-                    held = []
+            held, size = [], 0
+            for row in rows(share):
+                held.append(row)
+                size += len(row[3])
+                if size > 50_000:
+                    yield batch(held)
+                    held, size = [], 0
             if held:
-                yield sorted_run(held)
+                yield batch(held)
+
+        def batch(held):
+            offsets = pa.array(np.cumsum([0, *(len(r[3]) for r in held)]), pa.int32())
+            tails = pa.array([k for r in held for k, _ in r[3]], pa.binary()).cast(pa.string())
+            counts = pa.array([n for r in held for _, n in r[3]], pa.int64())
+            columns = [pa.array([r[0] for r in held]), pa.array([r[1] for r in held], pa.binary()).cast(pa.string()), pa.array([r[2] for r in held], pa.int32())]
+            return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, tails), pa.ListArray.from_arrays(offsets, counts)], ["lang", "first", "bucket", "tails", "counts"])
 
         for lang, tokens in slices(batches):
             ids = table.ids(lang, tokens)
             keys = pair_keys(table.keys, ids)
-            rows, counts = windows(ids, (keys >= 0) & within(pairs.value, keys), longest, table.keys)
-            for row, n in zip(rows.tolist(), counts.tolist()):
+            found, counts = windows(ids, (keys >= 0) & within(pairs.value, keys), longest, table.keys)
+            for row, n in zip(found.tolist(), counts.tolist()):
                 trie.add(tuple(row[: row.index(0)] if row[-1] == 0 else row), n)
             if trie.size > ENTRIES:
                 yield from out(0.5)
@@ -298,50 +322,64 @@ def runs(docs: DataFrame, frequent, pairs, longest: int) -> DataFrame:
                 table = Table(frequent.value)
         yield from out(1.0)
 
-    return _texts(docs).mapInArrow(run, "lang string, window string, n long")
+    return _texts(docs).mapInArrow(run, "lang string, first string, bucket int, tails array<string>, counts array<long>")
+
+
+def prefixes(entries: list[tuple[bytes, int]], least: int, part: bool):
+    """(beginning, count) of all beginnings of sorted windows that stand least times, and of part of a subtree those of one word anyhow, as it goes on elsewhere."""
+    path: list[bytes] = []
+    sums: list[int] = []
+    for window, n in [*entries, (None, 0)]:
+        words = window.split(b"\0") if window is not None else []
+        same = 0
+        while same < len(path) and same < len(words) and path[same] == words[same]:
+            same += 1
+        while len(path) > same:
+            count = sums.pop()
+            if count >= least or (part and len(path) == 1):
+                yield b" ".join(path), count
+            path.pop()
+        for k in range(same):
+            sums[k] += n
+        path.extend(words[same:])
+        sums.extend([n] * (len(words) - same))
 
 
 def merge(spilled: DataFrame, least: int) -> DataFrame:
-    """lang, phrase, n of all phrases of two words or more that stand least times, from runs."""
+    """lang, phrase, n of all phrases of two words or more that stand least times: the runs of a prefix partition are merged in order."""
     parts = max(int(spilled.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def run(batches):
-        lang, path, sums, first, rows = None, [], [], (), []
+        at, held, found = None, [], []
 
-        def close(depth, last=False):
-            while len(path) > depth:
-                n, k = sums.pop(), len(path)
-                if k > 1 and (n >= least or last or (lang, *path) == first[: k + 1]):
-                    rows.append((lang, b" ".join(path).replace(b"\1\1", b"\0").replace(b"\1\2", b"\1"), n))
-                path.pop()
+        def close():
+            if at is not None:
+                held.sort()  # merges sorted runs
+                plain = lambda w: w.replace(b"\1\1", b"\0").replace(b"\1\2", b"\1")
+                found.extend((at[0], plain(at[1] + b" " + phrase), n) for phrase, n in prefixes(held, least, at[2] != WHOLE))
+                held.clear()
 
         def out():
-            columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()).cast(pa.string()), pa.array([r[2] for r in rows], pa.int64())]
-            rows.clear()
+            columns = [pa.array([r[0] for r in found], pa.string()), pa.array([r[1] for r in found], pa.binary()).cast(pa.string()), pa.array([r[2] for r in found], pa.int64())]
+            found.clear()
             return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
 
         for b in batches:
-            for at, window, n in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
-                words = window.split(b"\0")
-                if at != lang:
-                    close(0)
-                    lang = at
-                    first = first or (at, *words)  # what begins a range may have begun in the one before
-                same = 0
-                while same < len(path) and same < len(words) and path[same] == words[same]:
-                    same += 1
-                close(same)
-                for k in range(same):
-                    sums[k] += n
-                path.extend(words[same:])
-                sums.extend([n] * (len(words) - same))
-            if len(rows) > 10_000:
+            tails, counts = b.column("tails"), b.column("counts")
+            keys = zip(b.column("lang").to_pylist(), b.column("first").cast(pa.binary()).to_pylist(), b.column("bucket").to_pylist())
+            for i, key in enumerate(keys):
+                if key != at:
+                    close()
+                    at = key
+                held.extend(zip(tails[i].values.cast(pa.binary()).to_pylist(), counts[i].values.to_pylist()))
+            if len(found) > 10_000:
                 yield out()
-        close(0, last=True)  # what ends it may go on in the next one
+        close()
         yield out()
 
-    sorted_ = spilled.repartitionByRange(parts, "lang", "window").sortWithinPartitions("lang", "window")
-    return sorted_.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    by = ["lang", "first", "bucket"]
+    found = spilled.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(run, "lang string, phrase string, n long")
+    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def mine(docs: DataFrame, longest: int = 5, least: int = 100, share: int = 100, top: int = 2000) -> DataFrame:
@@ -358,7 +396,8 @@ def mine(docs: DataFrame, longest: int = 5, least: int = 100, share: int = 100,
     often = scratch.cut(words.where(F.col("n") >= least))
     frequent = spark.sparkContext.broadcast(bitmap(often, WORD_BITS))
     pairs = spark.sparkContext.broadcast(bitmap(count_pairs(docs, frequent).where(F.col("n") >= least), PAIR_BITS))
-    spilled = scratch.cut(runs(docs, frequent, pairs, longest))
+    buckets = spark.sparkContext.broadcast(crowded(often, words))
+    spilled = scratch.cut(runs(docs, frequent, pairs, buckets, longest))
     long_ = scratch.cut(merge(spilled, least))
     scratch.drop(words, spilled)
 
