@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from neurotab.sources.shared import settled
+
 
 def unit_sphere(df: DataFrame, keys: Sequence[str], names: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """Points centred by key and divided by the largest norm + 1e-6."""
@@ -26,7 +28,7 @@ def farthest_points(df: DataFrame, key: str, id: str, n: int, seed: int, names:
     null or NaN coordinate are no points.
     """
     d = df.select(key, id, *(F.col(c).cast("double").alias(c) for c in names)).where(_all([F.col(c).isNotNull() & ~F.isnan(c) for c in names]))
-    state = _settled(d.repartitionByRange(key, id).withColumn("_p", F.spark_partition_id()))
+    state = settled(d.repartitionByRange(key, id).withColumn("_p", F.spark_partition_id()))
     # the start is the at-th id: its part is known from the parts' counts, its place is counted there
     of_key, by_part = Window.partitionBy(key), Window.partitionBy(key).orderBy("_p")
 
@@ -39,7 +41,7 @@ def farthest_points(df: DataFrame, key: str, id: str, n: int, seed: int, names:
     held = state.join(F.broadcast(at), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_p") == F.col("_o")))
     start = held.withColumn("_i", F.row_number().over(Window.partitionBy(key, "_p").orderBy(id))).where("_i = _at + 1")
     point = F.struct(id, *names)
-    chosen = _settled(start.select(F.col(key).alias("_k"), "_n", F.array(point).alias("_q")))
+    chosen = settled(start.select(F.col(key).alias("_k"), "_n", F.array(point).alias("_q")))
 
     state, folded = state.drop("_p").withColumn("_d", F.lit(float("inf"))), 0
     same = F.col(key).eqNullSafe(F.col("_k"))
@@ -48,10 +50,10 @@ def farthest_points(df: DataFrame, key: str, id: str, n: int, seed: int, names:
         near = F.array_min(F.transform("_new", lambda q: sum(((F.col(c) - q[c]) * (F.col(c) - q[c]) for c in names[1:]), (F.col(names[0]) - q[names[0]]) * (F.col(names[0]) - q[names[0]]))))
         now = state.join(F.broadcast(new), same).select(key, id, *names, F.least("_d", near).alias("_d"))
         if i - folded == 8:
-            state, folded = _settled(now), i
+            state, folded = settled(now), i
             now = state
         far = now.groupBy(key).agg(F.min(F.struct((-F.col("_d")).alias("_m"), id, *names)).alias("_f"))
-        chosen = _settled(chosen.join(far, same).select("_k", "_n", F.array_append("_q", F.struct(*(F.col(f"_f.{c}").alias(c) for c in (id, *names)))).alias("_q")))
+        chosen = settled(chosen.join(far, same).select("_k", "_n", F.array_append("_q", F.struct(*(F.col(f"_f.{c}").alias(c) for c in (id, *names)))).alias("_q")))
     ranked = chosen.select(F.col("_k").alias(key), "_n", F.posexplode("_q").alias("rank", "_q")).where((F.col("rank") < F.col("_n")) & (F.col("rank") < n))
     return ranked.select(key, F.col(f"_q.{id}").alias(id), F.col("rank").cast("long").alias("rank"))
 
@@ -77,7 +79,7 @@ def voxel_components(df: DataFrame, key: str, places: Sequence[str] = ("i", "j",
         hop = label.join(near, "_id", "left").select("_id", "component", F.least("component", F.coalesce("_n", "component")).alias("_h"))
         jump = label.select(F.col("_id").alias("_j"), F.col("component").alias("_c"))
         new = hop.join(jump, F.col("_h") == F.col("_j")).select("_id", F.least("_h", "_c").alias("new"), "component")
-        new = _settled(new)
+        new = settled(new)
         changed = new.where("new <> component").limit(1).count()
         label = new.select("_id", F.col("new").alias("component"))
         if not changed:
@@ -92,20 +94,6 @@ def _all(conditions):
     return out
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's folder; a new local one is set only where a session on one machine names none."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import re
-        import tempfile
-
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="neurotab-"))
-    return df.checkpoint()
-
-
 def principal_axis(df: DataFrame, keys: Sequence[str], names: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """Centre, first principal axis and lowest point (by the last coordinate) of each key: nine sums and a 3 x 3 eigenproblem a key."""
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]

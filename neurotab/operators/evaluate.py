@@ -1,6 +1,7 @@
 """Evaluation of scores against labels from sorted distinct scores: (score, rows, positives).
 
-Scores are counted before they are ordered, so windows run over distinct scores.
+Scores are counted before they are ordered, so running sums go over distinct scores,
+in ranges where there is no key.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from neurotab.operators.order import before
+
 
 def logit(p: Column, eps: float = 1e-6) -> Column:
     q = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
@@ -27,22 +30,18 @@ def score_counts(df: DataFrame, y: str, p: str, keys: Sequence[str] = (), weight
 
 def curve(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
     """Threshold, true and false positive rate, precision and recall at each distinct score, from the highest."""
-    c = score_counts(df, y, p, keys)
-    down = Window.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*keys)
-    tp, fp = F.sum("pos").over(down), F.sum(F.col("n") - F.col("pos")).over(down)
-    all_p, all_n = F.sum("pos").over(every), F.sum(F.col("n") - F.col("pos")).over(every)
+    c = before(score_counts(df, y, p, keys), keys, ["p"], {"_pos": F.col("pos"), "_neg": F.col("n") - F.col("pos")})
+    all_p, all_n = F.col("all__pos"), F.col("all__neg")
+    tp, fp = all_p - F.col("_pos"), all_n - F.col("_neg")
     return c.select(*keys, F.col("p").alias("threshold"), "n", "pos", tp.alias("tp"), fp.alias("fp"), (tp / all_p).alias("tpr"), (fp / F.when(all_n > 0, all_n)).alias("fpr"), (tp / (tp + fp)).alias("precision"))
 
 
 def auc(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by rank sums (ties count half) and average precision; null with one class only."""
-    c = score_counts(df, y, p, keys)
-    up = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
     neg = F.col("n") - F.col("pos")
-    c = c.withColumn("_below", F.coalesce(F.sum(neg).over(up), F.lit(0.0))).withColumn("_tp", F.sum("pos").over(down)).withColumn("_all", F.sum("n").over(down))
-    g = c.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("_below") + neg / 2.0)).alias("_u"), F.sum("pos").alias("n_pos"), F.sum(neg).alias("n_neg"), F.sum(F.col("pos") * F.col("_tp") / F.col("_all")).alias("_ap"))
+    c = before(score_counts(df, y, p, keys), keys, ["p"], {"_pos": F.col("pos"), "_neg": neg})
+    tp, reached = F.col("all__pos") - F.col("_pos"), F.col("all__pos") + F.col("all__neg") - F.col("_pos") - F.col("_neg")
+    g = c.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("_neg") + neg / 2.0)).alias("_u"), F.sum("pos").alias("n_pos"), F.sum(neg).alias("n_neg"), F.sum(F.col("pos") * tp / reached).alias("_ap"))
     ok = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     return g.select(*keys, F.when(ok, F.col("_u") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"), F.when(ok, F.col("_ap") / F.col("n_pos")).alias("ap"), "n_pos", "n_neg")
 

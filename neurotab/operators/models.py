@@ -217,29 +217,6 @@ def chained_impute(df: DataFrame, names: Sequence[str], rounds: int = 2) -> Data
     return d.drop(*(f"_m_{c}" for c in names))
 
 
-def oversample(df: DataFrame, names: Sequence[str], id: str, label: str, k: int = 5, seed: int = 0, start: float = 1.0) -> DataFrame:
-    """df and synthetic rows that bring every class to the largest one: points between a row and one of its k nearest of its class.
-
-    Three columns are handled, as the neighbour search is by cells of them.
-    """
-    from neurotab.operators.ranges import knn_join
-
-    sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}  # a row a class
-    most, out = max(sizes.values()), df.select(id, label, *names).withColumn("synthetic", F.lit(False))
-    for cls, n in sizes.items():
-        if n < 2 or n == most:
-            continue
-        own = df.where(F.col(label) == cls).select(id, *names)
-        near = knn_join(own, own, id, id, min(k, n - 1) + 1, start, names).where(F.col(id) != F.col(f"{id}_r"))
-        pick = F.row_number().over(Window.partitionBy(id).orderBy(F.xxhash64(F.lit(seed), id, f"{id}_r")))
-        copies = -(-(most - n) // n)
-        d = near.withColumn("_p", pick).where(F.col("_p") <= copies).withColumn("_o", F.row_number().over(Window.orderBy("_p", F.xxhash64(F.lit(seed), id)))).where(F.col("_o") <= most - n)
-        u = (F.pmod(F.xxhash64(F.lit(seed + 1), id, f"{id}_r"), F.lit(1 << 30)) / float(1 << 30))
-        mixed = d.select(id, F.lit(cls).alias(label), *((F.col(c) + u * (F.col(f"{c}_r") - F.col(c))).alias(c) for c in names), F.lit(True).alias("synthetic"))
-        out = out.unionByName(mixed)
-    return out
-
-
 def calibrate(df: DataFrame, y: str, p: str, method: str = "platt", out: str = "calibrated") -> DataFrame:
     """Scores mapped by a logistic curve on their logit, or by isotonic regression."""
     from neurotab.operators.evaluate import calibration_line, logit, sigmoid
@@ -287,13 +264,13 @@ def module_scores(df: DataFrame, members: DataFrame, sample: str, feature: str,
 def influence(df: DataFrame, id: str, y: str, p: str) -> DataFrame:
     """Change of the AUC when each row is left out, from rank sums: no refit and no pair of rows."""
     from neurotab.operators.evaluate import score_counts
+    from neurotab.operators.order import before
 
-    c = score_counts(df, y, p)
-    low, every = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     neg = F.col("n") - F.col("pos")
-    c = c.withColumn("nb", F.coalesce(F.sum(neg).over(low), F.lit(0.0)) + neg / 2.0).withColumn("pb", F.coalesce(F.sum("pos").over(low), F.lit(0.0)) + F.col("pos") / 2.0)
-    c = c.withColumn("n_p", F.sum("pos").over(every)).withColumn("n_n", F.sum(neg).over(every)).withColumn("u_all", F.sum(F.col("pos") * F.col("nb")).over(every)).select(F.col("p").alias("_p"), "nb", "pb", "n_p", "n_n", "u_all")
-    j = df.join(c, F.col(p) == F.col("_p"))
+    c = before(score_counts(df, y, p), [], ["p"], {"_neg": neg, "_pos": F.col("pos")})
+    c = c.select(F.col("p").alias("_p"), "pos", (F.col("_neg") + neg / 2.0).alias("nb"), (F.col("_pos") + F.col("pos") / 2.0).alias("pb"), F.col("all__pos").alias("n_p"), F.col("all__neg").alias("n_n"))
+    whole = c.agg(F.sum(F.col("pos") * F.col("nb")).alias("u_all"))
+    j = df.join(c.drop("pos"), F.col(p) == F.col("_p")).join(F.broadcast(whole), F.lit(True))  # one row
     less = F.when(F.col(y) == 1, F.col("nb")).otherwise(F.col("n_p") - F.col("pb"))
     pairs = F.when(F.col(y) == 1, (F.col("n_p") - 1) * F.col("n_n")).otherwise(F.col("n_p") * (F.col("n_n") - 1))
     return j.select(id, F.when(pairs > 0, (F.col("u_all") - less) / pairs - F.col("u_all") / (F.col("n_p") * F.col("n_n"))).alias("change"))

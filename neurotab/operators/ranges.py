@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from neurotab.sources.shared import settled
+
 
 def interval_join(events: DataFrame, samples: DataFrame, keys: Sequence[str], at: str, time: str, before: float, after: float, width: float | None = None) -> DataFrame:
     """Samples with at - before <= time < at + after for each event, with ``rel`` = time - at."""
@@ -65,20 +67,22 @@ def knn_join(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int
     neighbours; with no right row the result has no row.
     """
     finite = reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(c) < float("inf")) for c in names))
-    left, right = left.where(finite & F.col(key).isNotNull()), right.where(finite)
+    right = right.where(finite)
     n = right.count()
     if not n:
-        return radius_join(left, right, start, names=names).withColumn("rank", F.lit(1))
-    size, open_, done = start, left, None
-    order = Window.partitionBy(key).orderBy("dist", f"{right_key}_r")
+        return radius_join(left.where(finite & F.col(key).isNotNull()), right, start, names=names).withColumn("rank", F.lit(1))
+    # rows are numbered, so rows that repeat a key have k neighbours each
+    open_ = settled(left.where(finite & F.col(key).isNotNull()).withColumn("_row", F.monotonically_increasing_id()))
+    size, done = start, None
+    order = Window.partitionBy("_row").orderBy("dist", f"{right_key}_r")
     while True:
         near = radius_join(open_, right, size, names=names).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        near = near.withColumn("_n", F.count("*").over(Window.partitionBy(key)))
-        settled = near.where(F.col("_n") >= min(k, n)).drop("_n").persist()
-        done = settled if done is None else done.union(settled)
-        open_ = open_.join(settled.select(key).distinct(), key, "left_anti").persist()
+        near = near.withColumn("_n", F.count("*").over(Window.partitionBy("_row")))
+        found = settled(near.where(F.col("_n") >= min(k, n)).drop("_n"))
+        done = found if done is None else done.union(found)
+        open_ = settled(open_.join(found.select("_row").distinct(), "_row", "left_anti").select(*left.columns, "_row"))
         if not open_.limit(1).count():
-            return done
+            return done.drop("_row")
         size *= 2
 
 

@@ -146,16 +146,10 @@ def interpolate(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
 
 
 def refractory(df: DataFrame, keys: Sequence[str], time: str, dead: float) -> DataFrame:
-    """Times kept greedily: each more than ``dead`` after the last one kept.
+    """Times kept greedily: each more than ``dead`` after the last one kept; by chunks, however long a run without a gap is."""
+    from neurotab.operators import scan
 
-    A gap of more than ``dead`` between candidates restarts the rule, so only the
-    candidates of a gapless run are folded together.
-    """
-    w = _over(keys, ["_t"])
-    d = df.select(*keys, F.col(time).alias("_t")).withColumn("_new", F.coalesce((F.col("_t") - F.lag("_t").over(w) > dead).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w))
-    runs = d.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
-    keep = F.aggregate("_ts", F.array().cast("array<double>"), lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) > dead), F.array_append(kept, t)).otherwise(kept))
-    return runs.select(*keys, F.explode(keep).alias(time))
+    return scan.refractory(df, keys, time, dead)
 
 
 def segments(df: DataFrame, time: str, pre: float, stim: float, post: float) -> DataFrame:

@@ -58,34 +58,36 @@ def butterworth_sections(order: int, low: float, high: float, fs: float) -> list
 
 
 def _run_section(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """One section over a chunk in blocks: the recursion of a block is one matrix product."""
-    n, size = len(x), 256
+    """One section along the last axis in blocks: the recursion of a block is one matrix product."""
+    n, size = x.shape[-1], 256
     impulse = np.zeros(size)
     h0 = h1 = 0.0
     for i in range(size):
         impulse[i] = (1.0 if i == 0 else 0.0) - a[1] * h0 - a[2] * h1
         h0, h1 = impulse[i], h0
     i = np.arange(size)
-    mix = np.where(i[:, None] >= i[None, :], impulse[np.abs(i[:, None] - i[None, :])], 0.0)
+    mix = np.where(i[:, None] >= i[None, :], impulse[np.abs(i[:, None] - i[None, :])], 0.0).T
     first, second = -a[1] * impulse - a[2] * np.append(0.0, impulse[:-1]), -a[2] * impulse
-    v = b[0] * x + b[1] * np.append(0.0, x[:-1]) + b[2] * np.append([0.0, 0.0], x[:-2])[:n]
-    y, y1, y2 = np.empty(n), 0.0, 0.0
+    v = b[0] * x
+    v[..., 1:] += b[1] * x[..., :-1]
+    v[..., 2:] += b[2] * x[..., :-2]
+    y, y1, y2 = np.empty(x.shape), np.zeros((*x.shape[:-1], 1)), np.zeros((*x.shape[:-1], 1))
     for s in range(0, n, size):
         m = min(size, n - s)
-        y[s : s + m] = mix[:m, :m] @ v[s : s + m] + first[:m] * y1 + second[:m] * y2
-        y1, y2 = y[s + m - 1], y[s + m - 2] if m > 1 else y1
+        y[..., s : s + m] = v[..., s : s + m] @ mix[:m, :m] + first[:m] * y1 + second[:m] * y2
+        y1, y2 = y[..., s + m - 1 : s + m], y[..., s + m - 2 : s + m - 1] if m > 1 else y1
     return y
 
 
 def zero_phase(x: np.ndarray, sections) -> np.ndarray:
-    """Forward and backward through all sections, with ends reflected oddly."""
-    pad = min(len(x) - 1, 3 * (2 * len(sections) + 1))
-    y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) if pad > 0 else x
+    """Forward and backward through all sections along the last axis, with ends reflected oddly."""
+    pad = min(x.shape[-1] - 1, 3 * (2 * len(sections) + 1))
+    y = np.concatenate([2 * x[..., :1] - x[..., pad:0:-1], x, 2 * x[..., -1:] - x[..., -2 : -pad - 2 : -1]], -1) if pad > 0 else x.astype(float)
     for _ in range(2):
         for b, a in sections:
             y = _run_section(b, a, y)
-        y = y[::-1]
-    return y[pad : len(y) - pad] if pad > 0 else y
+        y = y[..., ::-1]
+    return y[..., pad : y.shape[-1] - pad] if pad > 0 else y
 
 
 def decay(sections, small: float = 1e-8) -> int:
@@ -108,15 +110,21 @@ def bandpass(df: DataFrame, keys: Sequence[str], index: str, value: str, fs: flo
     return c.groupBy(*keys, "chunk").applyInPandas(kernel, f"{kinds}, filtered double")
 
 
-def welch_psd(x: np.ndarray, fs: float, nperseg: int, overlap: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Power density by averaged Hann-windowed, mean-free segments."""
-    n = min(nperseg, len(x))
-    step = max(1, n - int(n * overlap))
+def segment_spectra(x: np.ndarray, nperseg: int, overlap: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Spectra of the Hann-windowed, mean-free segments along the last axis (a new axis before it), and the window."""
+    n = min(nperseg, x.shape[-1])
     w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-    segments = np.lib.stride_tricks.sliding_window_view(x, n)[::step]
-    spectrum = np.abs(np.fft.rfft((segments - segments.mean(1, keepdims=True)) * w)) ** 2 / (fs * (w**2).sum())
-    spectrum[:, 1 : (None if n % 2 else -1)] *= 2
-    return np.fft.rfftfreq(n, 1 / fs), spectrum.mean(0)
+    segments = np.lib.stride_tricks.sliding_window_view(x, n, axis=-1)[..., :: max(1, n - int(n * overlap)), :]
+    return np.fft.rfft((segments - segments.mean(-1, keepdims=True)) * w), w
+
+
+def welch_psd(x: np.ndarray, fs: float, nperseg: int, overlap: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Power density along the last axis by averaged Hann-windowed, mean-free segments."""
+    spectra, w = segment_spectra(x, nperseg, overlap)
+    n = len(w)
+    density = np.abs(spectra) ** 2 / (fs * (w**2).sum())
+    density[..., 1 : (None if n % 2 else -1)] *= 2
+    return np.fft.rfftfreq(n, 1 / fs), density.mean(-2)
 
 
 def band_power(f: np.ndarray, p: np.ndarray, low: float, high: float, rule: str = "trapezoid") -> float:
@@ -143,8 +151,8 @@ def lempel_ziv(bits: np.ndarray) -> int:
 
 
 def hilbert(x: np.ndarray) -> np.ndarray:
-    """Analytic signal."""
-    n = len(x)
+    """Analytic signal along the last axis."""
+    n = x.shape[-1]
     h = np.zeros(n)
     h[0] = 1
     h[1 : (n + 1) // 2] = 2
@@ -188,43 +196,6 @@ def morlet_power(x: np.ndarray, fs: float, freqs: Sequence[float], cycles: float
     return out
 
 
-def window_features(df: DataFrame, keys: Sequence[str], index: str, value: str, fs: float, width: int, step: int, bands: dict[str, tuple[float, float]], rule: str = "trapezoid") -> DataFrame:
-    """Log band powers, phase-amplitude coupling and Lempel-Ziv complexity of each whole window of the series."""
-    from neurotab.operators.sequence import sliding_windows
-
-    names = list(bands)
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys)
-
-    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(index)[value].to_numpy(float)
-        f, p = welch_psd(x, fs, min(int(2 * fs), len(x)))
-        power = {f"log_{n}": [np.log(band_power(f, p, *bands[n], rule) + 1e-12)] for n in names}
-        slow, fast = (zero_phase(x, butterworth_sections(2, *bands[n], fs)) for n in (names[0], names[-1]))
-        c = lempel_ziv(x > np.median(x))
-        row = {k: [v] for k, v in zip([*keys, "win"], key)} | power
-        return pd.DataFrame(row | {"coupling": [coupling(np.angle(hilbert(slow)), abs(hilbert(fast)))], "lzc": [c / (len(x) / np.log2(len(x)))]})
-
-    w = sliding_windows(df.select(*keys, index, value), keys, index, width, step)
-    more = ", ".join(f"log_{n} double" for n in names)
-    return w.groupBy(*keys, "win").applyInPandas(kernel, f"{kinds}, win long, {more}, coupling double, lzc double")
-
-
-def spectrogram(df: DataFrame, keys: Sequence[str], index: str, value: str, fs: float, width: int, step: int, top: float) -> DataFrame:
-    """keys, win, freq, db of each whole window, up to ``top`` Hz."""
-    from neurotab.operators.sequence import sliding_windows
-
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys)
-
-    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        f, p = welch_psd(pdf.sort_values(index)[value].to_numpy(float), fs, width)
-        k = f <= top
-        row = {c: v for c, v in zip([*keys, "win"], key)}
-        return pd.DataFrame({**{c: [v] * int(k.sum()) for c, v in row.items()}, "freq": f[k], "db": 10 * np.log10(p[k] + 1e-20)})
-
-    w = sliding_windows(df.select(*keys, index, value), keys, index, width, step)
-    return w.groupBy(*keys, "win").applyInPandas(kernel, f"{kinds}, win long, freq double, db double")
-
-
 def detect_spikes(df: DataFrame, keys: Sequence[str], index: str, value: str, k: float = 4.0, dead: int = 30) -> DataFrame:
     """Samples under -k times the MAD scale, kept greedily more than ``dead`` samples apart."""
     from neurotab.operators.sequence import refractory
@@ -366,32 +337,6 @@ def clean_lfp(df: DataFrame, keys: Sequence[str], index: str, value: str, fs: fl
     return c.groupBy(*keys, "chunk").applyInPandas(kernel, f"{kinds}, {index} long, cleaned double")
 
 
-def synchrony(df: DataFrame, keys: Sequence[str], channel: str, index: str, value: str, fs: float, width: int, step: int, bands: dict[str, tuple[float, float]]) -> DataFrame:
-    """keys, win, n_channels and sync_<band>: mean coherence over all pairs of channels in each whole window; null with one channel."""
-    from neurotab.operators.sequence import sliding_windows
-
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys)
-    names = list(bands)
-
-    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.pivot_table(index=channel, columns=index, values=value).dropna().to_numpy(float)
-        n = min(int(2 * fs), x.shape[1])
-        w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-        segments = np.lib.stride_tricks.sliding_window_view(x, n, axis=1)[:, :: max(1, n // 2)]
-        spectra = np.fft.rfft((segments - segments.mean(2, keepdims=True)) * w)
-        f, power = np.fft.rfftfreq(n, 1 / fs), (abs(spectra) ** 2).mean(1)
-        a, b = np.triu_indices(len(x), 1)
-        row = {k: [v] for k, v in zip([*keys, "win"], key)} | {"n_channels": [len(x)]}
-        for name in names:
-            k = (f >= bands[name][0]) & (f <= bands[name][1])
-            pairs = [np.mean(abs((spectra[i][:, k] * spectra[j][:, k].conj()).mean(0)) ** 2 / np.maximum(power[i, k] * power[j, k], 1e-300)) for i, j in zip(a, b)] if k.any() else []
-            row[f"sync_{name}"] = [float(np.mean(pairs)) if pairs else None]
-        return pd.DataFrame(row)
-
-    w = sliding_windows(df.select(*keys, channel, index, value), [*keys, channel], index, width, step)
-    return w.groupBy(*keys, "win").applyInPandas(kernel, f"{kinds}, win long, n_channels long, " + ", ".join(f"sync_{n} double" for n in names))
-
-
 def stage_rates(spikes: DataFrame, keys: Sequence[str], time: str, stages: dict[str, tuple[float, float]]) -> DataFrame:
     """n_<stage> and rate_<stage> of each key: spikes with start <= time < end, and these over the stage's length."""
     out = []

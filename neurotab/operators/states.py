@@ -1,6 +1,6 @@
 """Hidden states: Gaussian HMM by EM over Spark, decoding, stationary shares, labels by meaning.
 
-The expectation step runs by sequence in grouped tasks and emits sums sized by
+The expectation step runs by chunks of a sequence (``scan``) and emits sums sized by
 states and features; Spark adds them up, and the driver holds only the model.
 """
 
@@ -13,59 +13,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _log_density(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
-    out = np.empty((len(x), len(means)))
-    for k, (m, c) in enumerate(zip(means, covs)):
-        low = np.linalg.cholesky(c)
-        z = np.linalg.solve(low, (x - m).T)
-        out[:, k] = -0.5 * ((z**2).sum(0) + len(m) * np.log(2 * np.pi)) - np.log(np.diag(low)).sum()
-    return out
-
-
-def _forward_backward(logb, start, trans):
-    """Posteriors, expected transitions and log-likelihood, with scaling at each step."""
-    n, k = logb.shape
-    top = logb.max(1)
-    b = np.exp(logb - top[:, None])
-    alpha, scale = np.empty((n, k)), np.empty(n)
-    a = start * b[0]
-    for t in range(n):
-        a = a if t == 0 else (alpha[t - 1] @ trans) * b[t]
-        scale[t] = max(a.sum(), 1e-300)
-        alpha[t] = a / scale[t]
-    beta = np.ones((n, k))
-    for t in range(n - 2, -1, -1):
-        beta[t] = trans @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
-    moves = sum((np.outer(alpha[t], b[t + 1] * beta[t + 1]) * trans / scale[t + 1] for t in range(n - 1)), np.zeros((k, k)))
-    return alpha * beta, moves, float(np.log(scale).sum() + top.sum())
+from neurotab.operators import scan
 
 
 def fit_hmm(df: DataFrame, keys: Sequence[str], order: Sequence[str], names: Sequence[str], k: int, steps: int = 30, seed: int = 0, tol: float = 1e-4) -> dict:
     """start, trans, means, covs, log-likelihood. Starts from quantiles of the first feature; states are ordered by their mean of it."""
     cols, p = list(names), len(names)
-    d = df.select(*keys, *order, *cols).dropna(subset=cols).persist()
+    d = df.select(*keys, *order, *cols).dropna(subset=cols)
+    chunks = scan.packed(d, keys, order, cols)
     q = d.agg(*(F.percentile(c, F.array(*(F.lit((i + 0.5) / k) for i in range(k)))) for c in cols), *(F.var_pop(c) for c in cols)).first()
     means = np.array([[q[j][i] if j == 0 else np.median(q[j]) for j in range(p)] for i in range(k)])
     floor = 1e-6 * np.diag([v or 1.0 for v in q[p:]]) + 1e-12 * np.eye(p)
     covs = np.array([np.diag([max(v or 1.0, 1e-9) for v in q[p:]])] * k)
     start, trans, before = np.full(k, 1 / k), np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1)), -np.inf
     for _ in range(steps):
-        model = (start, trans, means, covs)
-
-        def expect(pdf: pd.DataFrame, model=model) -> pd.DataFrame:
-            s, t, m, c = model
-            x = pdf.sort_values(list(order))[cols].to_numpy(float)
-            g, moves, ll = _forward_backward(_log_density(x, m, c), s, t)
-            second = np.einsum("nk,ni,nj->kij", g, x, x)
-            flat = np.concatenate([g[0], moves.ravel(), g.sum(0), (g.T @ x).ravel(), second.ravel(), [ll]])
-            return pd.DataFrame({"at": np.arange(len(flat)), "v": flat})
-
-        def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-            return expect(pdf)
-
-        got = d.groupBy(*keys).applyInPandas(kernel, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").collect()  # sized by states and features
-        v = np.array([r.v for r in got])
+        v = scan.expectations(chunks, keys, cols, {"start": start, "trans": trans, "means": means, "covs": covs})
         cut = np.cumsum([k, k * k, k, k * p, k * p * p])
         s, moves, n, first, second = np.split(v[:-1], cut[:-1])
         n = np.maximum(n, 1e-12)
@@ -75,36 +37,13 @@ def fit_hmm(df: DataFrame, keys: Sequence[str], order: Sequence[str], names: Seq
         if v[-1] - before < tol * abs(v[-1]):
             break
         before = v[-1]
-    d.unpersist()
     o = np.argsort(means[:, 0])
     return {"start": start[o], "trans": trans[np.ix_(o, o)], "means": means[o], "covs": covs[o], "loglik": float(v[-1])}
 
 
 def decode_hmm(df: DataFrame, keys: Sequence[str], order: Sequence[str], names: Sequence[str], model: dict) -> DataFrame:
     """keys, order, ``state`` of the most probable path, ``posterior`` of that state."""
-    cols = list(names)
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (*keys, *order))
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order))
-        logb = _log_density(pdf[cols].to_numpy(float), model["means"], model["covs"])
-        with np.errstate(divide="ignore"):
-            s, t = np.log(model["start"]), np.log(model["trans"])
-        score, back = s + logb[0], np.zeros(logb.shape, int)
-        for i in range(1, len(logb)):
-            step = score[:, None] + t
-            back[i] = step.argmax(0)
-            score = step.max(0) + logb[i]
-        path = np.empty(len(logb), int)
-        path[-1] = score.argmax()
-        for i in range(len(logb) - 1, 0, -1):
-            path[i - 1] = back[i, path[i]]
-        g, _, _ = _forward_backward(logb, model["start"], model["trans"])
-        out = pdf[[*keys, *order]].copy()
-        out["state"], out["posterior"] = path, g[np.arange(len(path)), path]
-        return out
-
-    return df.select(*keys, *order, *cols).dropna(subset=cols).groupBy(*keys).applyInPandas(kernel, f"{kinds}, state long, posterior double")
+    return scan.decode(df, keys, order, names, model)
 
 
 def stationary(trans: DataFrame, keys: Sequence[str], source: str = "from_state", target: str = "to_state", prob: str = "prob") -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from neurotab.operators.order import before, least_from_here
+
 
 def _beta_fraction(a, b, x):
     """Continued fraction of the incomplete beta function by the modified Lentz method, elementwise."""
@@ -111,16 +113,15 @@ def welch(df: DataFrame, keys: Sequence[str], group: Column, value: str) -> Data
 
 
 def ranked(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """df with ``rank`` (average of ties), ``ties`` (t ** 3 - t at one row of each tie) and ``total`` rows, by key.
+    """df with ``rank`` (average of ties), ``_tie`` (sum of t ** 3 - t over all ties) and ``total`` rows, by key.
 
-    Values are counted first, so a key's window runs over its distinct values.
+    Values are counted first, so running sums go over a key's distinct values, in ranges where there is no key.
     """
-    v = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*keys)
     c = F.col("_c").cast("double")
-    v = v.withColumn("rank", F.sum(c).over(upto) - (c - 1) / 2.0).withColumn("_tie", F.sum(c * c * c - c).over(every)).withColumn("total", F.sum("_c").over(every))
-    return df.join(v.drop("_c"), [*keys, value])
+    v = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    v = before(v, keys, [value], {"_below": c, "_ties": c * c * c - c})
+    v = v.select(*keys, value, (F.col("_below") + (c + 1) / 2.0).alias("rank"), F.col("all__ties").alias("_tie"), F.col("all__below").cast("long").alias("total"))
+    return df.join(v, [*keys, value])
 
 
 def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
@@ -132,24 +133,33 @@ def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataF
     return h.select(*keys, F.when((F.col("least") >= 2) & (F.col("tie") < n * n * n - n), raw / (1 - F.col("tie") / (n * n * n - n))).alias("h"), (F.col("k") - 1).alias("df"))
 
 
+def rank_sums(df: DataFrame, keys: Sequence[str], group: Column, value: str) -> DataFrame:
+    """keys, r1 (rank sum of the group), n1, n0 and tie."""
+    r = ranked(df.withColumn("_g", group), keys, value)
+    return r.groupBy(*keys).agg(F.sum(F.when(F.col("_g"), F.col("rank"))).alias("r1"), F.count(F.when(F.col("_g"), 1)).cast("double").alias("n1"), F.count(F.when(~F.col("_g"), 1)).cast("double").alias("n0"), F.first("_tie").alias("tie"))
+
+
 def rank_sum(df: DataFrame, keys: Sequence[str], group: Column, value: str) -> DataFrame:
     """Mann-Whitney U of the group, its normal statistic with tie and continuity correction, Cliff's delta."""
-    r = ranked(df.withColumn("_g", group), keys, value)
-    g = r.groupBy(*keys).agg(F.sum(F.when(F.col("_g"), F.col("rank"))).alias("r1"), F.count(F.when(F.col("_g"), 1)).cast("double").alias("n1"), F.count(F.when(~F.col("_g"), 1)).cast("double").alias("n0"), F.first("_tie").alias("tie"))
     n1, n0 = F.col("n1"), F.col("n0")
     u, n = F.col("r1") - n1 * (n1 + 1) / 2.0, n1 + n0
-    sd = F.sqrt(n1 * n0 / 12.0 * ((n + 1) - F.col("tie") / (n * (n - 1))))
+    sd = F.sqrt(n1 * n0 / 12.0 * ((n + 1) - F.col("tie") / F.when(n > 1, n * (n - 1))))
     z = F.when((n1 > 0) & (n0 > 0) & (sd > 0), (F.abs(u - n1 * n0 / 2.0) - 0.5) / sd)
-    return g.select(*keys, u.alias("u"), F.greatest(z, F.lit(0.0)).alias("z"), F.when((n1 > 0) & (n0 > 0), 2.0 * u / (n1 * n0) - 1.0).alias("delta"))
+    return rank_sums(df, keys, group, value).select(*keys, u.alias("u"), F.greatest(z, F.lit(0.0)).alias("z"), F.when((n1 > 0) & (n0 > 0), 2.0 * u / (n1 * n0) - 1.0).alias("delta"))
+
+
+def signed_rank_sums(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
+    """keys, w_plus, w_minus, n and tie (sum of t ** 3 - t) of the ranks of |a - b| without zeros."""
+    d = df.withColumn("_d", F.col(a) - F.col(b)).where("_d <> 0").withColumn("_a", F.abs("_d"))
+    side = lambda on: F.sum(F.when(on, F.col("rank")).otherwise(0.0))
+    return ranked(d, keys, "_a").groupBy(*keys).agg(side(F.col("_d") > 0).alias("w_plus"), side(F.col("_d") < 0).alias("w_minus"), F.count("*").cast("double").alias("n"), F.first("_tie").alias("tie"))
 
 
 def signed_rank(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """Wilcoxon signed-rank sums of a - b without zeros, and the normal statistic with tie correction."""
-    d = df.withColumn("_d", F.col(a) - F.col(b)).where("_d <> 0").withColumn("_a", F.abs("_d"))
-    g = ranked(d, keys, "_a").groupBy(*keys).agg(F.sum(F.when(F.col("_d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("_d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"), F.count("*").cast("double").alias("n"), F.first("_tie").alias("tie"))
     n = F.col("n")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("tie") / 48.0)
-    return g.select(*keys, "w_plus", "w_minus", F.when(sd > 0, (F.least("w_plus", "w_minus") - n * (n + 1) / 4.0) / sd).alias("z"))
+    return signed_rank_sums(df, keys, a, b).select(*keys, "w_plus", "w_minus", F.when(sd > 0, (F.least("w_plus", "w_minus") - n * (n + 1) / 4.0) / sd).alias("z"))
 
 
 def paired(df: DataFrame, keys: Sequence[str], before: str, after: str) -> DataFrame:
@@ -166,24 +176,33 @@ def paired(df: DataFrame, keys: Sequence[str], before: str, after: str) -> DataF
 
 
 def ks_normal(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Kolmogorov-Smirnov distance of the standardised values to the normal distribution; null where they are constant."""
+    """Kolmogorov-Smirnov distance of the values, standardised by mean and sample deviation, to the normal distribution; 1 where they are constant, null with one value.
+
+    ``exact.normality`` gives the p-value, with the population deviation.
+    """
     every = Window.partitionBy(*keys)
-    z = (F.col(value) - F.avg(value).over(every)) / F.stddev_samp(value).over(every)
-    d = df.where(F.col(value).isNotNull()).select(*keys, z.alias("_z"), F.row_number().over(Window.partitionBy(*keys).orderBy(value)).alias("_i"), F.count("*").over(every).alias("_n"))
+    sd = F.stddev_samp(value).over(every)
+    z = F.when(sd > 0, (F.col(value) - F.avg(value).over(every)) / sd)
+    d = df.where(F.col(value).isNotNull()).select(*keys, z.alias("_z"), sd.alias("_s"), F.row_number().over(Window.partitionBy(*keys).orderBy(value)).alias("_i"), F.count("*").over(every).alias("_n"))
     tail = p_normal(F.col("_z")) / 2.0
     cdf = F.when(F.col("_z") >= 0, 1.0 - tail).otherwise(tail)
     gap = F.greatest(F.abs(F.col("_i") / F.col("_n") - cdf), F.abs(cdf - (F.col("_i") - 1) / F.col("_n")))
-    return d.groupBy(*keys).agg(F.max(gap).alias("distance"), F.count("*").alias("n"))
+    return d.groupBy(*keys).agg(F.coalesce(F.max(gap), F.max(F.when(F.col("_s") == 0, F.lit(1.0)))).alias("distance"), F.count("*").alias("n"))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, out: str = "q", clip: bool = True, keys: Sequence[str] = ()) -> DataFrame:
-    """False discovery rate of each p; null stays null and isn't counted. One row a test is expected."""
-    w = Window.partitionBy(*keys, F.col(p).isNull())
-    n = F.count(p).over(w)
-    place = F.row_number().over(w.orderBy(F.col(p), F.xxhash64(*df.columns)))
-    d = df.withColumn("_i", place).withColumn("_r", F.col(p) * n / F.col("_i"))
-    q = F.min("_r").over(w.orderBy("_i").rowsBetween(0, Window.unboundedFollowing))
-    return d.withColumn(out, F.when(F.col(p).isNotNull(), F.least(q, F.lit(1.0)) if clip else q)).drop("_i", "_r")
+    """False discovery rate of each p; null stays null and isn't counted.
+
+    p values are counted first, so equal ones share the largest of their places, and running sums go over distinct values, in ranges where there is no key.
+    """
+    v = before(df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_c")), keys, [p], {"_below": F.col("_c").cast("double")})
+    v = v.withColumn("_r", F.col(p) * F.col("all__below") / (F.col("_below") + F.col("_c")))
+    q = least_from_here(v, keys, [p], "_r", "_q").select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(p).alias("_p"), "_q")
+    same = F.col(p) == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    j = df.join(q, same, "left")
+    return j.withColumn(out, F.least("_q", F.lit(1.0)) if clip else F.col("_q")).withColumn(out, F.when(F.col(p).isNotNull(), F.col(out))).select(*df.columns, out)
 
 
 def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, least: int = 5) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from neurotab.functions.columns import r6
-from neurotab.operators import signal
+from neurotab.operators import signal, windows
 from neurotab.plans.registry import registry, table
 
 QUERIES, ORACLES, query = registry()
@@ -26,12 +26,12 @@ def signal_bandpass(spark, sf):
 
 @query()
 def signal_window_features(spark, sf):
-    return signal.window_features(traces(spark, sf), ["user_id"], "i", "value", 10.0, 40, 20, BANDS)
+    return windows.window_features(traces(spark, sf), ["user_id"], "i", "value", 10.0, 40, 20, BANDS)
 
 
 @query()
 def signal_spectrogram(spark, sf):
-    return signal.spectrogram(traces(spark, sf), ["user_id"], "i", "value", 10.0, 32, 16, 4.0)
+    return windows.spectrogram(traces(spark, sf), ["user_id"], "i", "value", 10.0, 32, 16, 4.0)
 
 
 @query("""WITH t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)-1 i, value FROM events), p AS (SELECT user_id, i s FROM t WHERE value>150)

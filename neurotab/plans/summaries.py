@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from neurotab.functions import text as tx
 from neurotab.functions.columns import r6
-from neurotab.operators import cloud, evaluate, omics, signal
+from neurotab.operators import cloud, evaluate, omics, signal, windows
 from neurotab.plans.registry import registry, table
 from neurotab.plans.signals import traces
 
@@ -74,9 +74,15 @@ def supplier_names(spark, sf):
     return s.withColumn("group", tx.group_by_words(F.col("s_name"), {"seven": ("7",), "low": ("1", "2")}, "rest")).drop("s_name")
 
 
-@query()
+TAPS = signal.fir_bandpass(0.5, 3.0, 10.0, 31)
+
+
+@query(f"""WITH t AS (SELECT user_id, list(value ORDER BY ts, event_id) v, count(*) n FROM events GROUP BY 1), h AS (SELECT [{", ".join(f"{h!r}::double" for h in TAPS.tolist())}] h),
+e AS (SELECT user_id, n, list_transform(range(-15, n+15), lambda j: CASE WHEN j<0 THEN 2*v[1]-v[1-j] WHEN j>n-1 THEN 2*v[n]-v[2*n-1-j] ELSE v[j+1] END) e FROM t)
+SELECT user_id, i, round(list_dot_product(e[i+1:i+31], h), 6) filtered FROM (SELECT user_id, unnest(range(0, n)) i, e FROM e), h""")
 def signal_fir(spark, sf):
-    return signal.fir_filter(traces(spark, sf), ["user_id"], "i", "value", signal.fir_bandpass(0.5, 3.0, 10.0, 31), 4096)
+    f = signal.fir_filter(traces(spark, sf), ["user_id"], "i", "value", TAPS, 4096)
+    return f.withColumn("filtered", r6(F.col("filtered")))
 
 
 @query()
@@ -87,4 +93,4 @@ def signal_clean(spark, sf):
 @query()
 def signal_synchrony(spark, sf):
     t = traces(spark, sf).withColumn("recording", F.floor(F.col("user_id") / 8))
-    return signal.synchrony(t, ["recording"], "user_id", "i", "value", 10.0, 40, 20, {"mid": (1.0, 2.0), "fast": (2.0, 4.0)})
+    return windows.synchrony(t, ["recording"], "user_id", "i", "value", 10.0, 40, 20, {"mid": (1.0, 2.0), "fast": (2.0, 4.0)})

@@ -106,9 +106,19 @@ def label_bootstrap_auc(spark, sf):
     return per.agg(F.percentile("auc", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("interval"), F.count("auc").alias("draws"))
 
 
-@query()
+OD = "(-log10(({}+1.0::double)/256.0::double))"
+
+
+@query(f"""WITH l AS (SELECT source origin, unnest(regexp_extract_all(hex(encode(text)), '.{{48}}')) h FROM documents),
+p AS (SELECT origin, ('0x'||substr(h, 6*x+5, 2))::int r, ('0x'||substr(h, 6*x+3, 2))::int g, ('0x'||substr(h, 6*x+1, 2))::int b FROM l, range(0, 8) t(x)),
+m AS (SELECT *, greatest(r, g, b)::double top, (greatest(r, g, b)-least(r, g, b))::double d FROM p),
+h AS (SELECT *, CASE WHEN d=0 THEN 0 WHEN top=r THEN 60.0::double*(g-b)/d WHEN top=g THEN 120+60.0::double*(b-r)/d ELSE 240+60.0::double*(r-g)/d END hue, round(CASE WHEN top=0 THEN 0 ELSE d/top*255 END) sat, round(0.299::double*r+0.587::double*g+0.114::double*b)<245 tissue,
+ greatest({{}}, 0) od FROM m),
+o AS (SELECT *, tissue AND round(CASE WHEN hue<0 THEN hue+360 ELSE hue END/2) BETWEEN 5 AND 30 AND sat>=40 AND top BETWEEN 20 AND 220 positive FROM h)
+SELECT origin, count(*) FILTER (tissue) tissue, count(*) FILTER (positive) positive, round(avg(od) FILTER (positive), 6) mean, round(sum(od) FILTER (positive), 4) integrated, round(count(*) FILTER (positive)/(count(*) FILTER (tissue)+1e-9::double), 6) area_ratio FROM o GROUP BY 1""".replace("{}", "+".join(f"({w}::double)*" + OD.format(c) for w, c in zip(pixels.DAB, "rgb"))))
 def pixel_markers(spark, sf):
-    """Colour metrics where the bytes of a document's text are the pixels of an image row, eight to a line."""
+    """Colour metrics where the bytes of a document's text are the pixels of an image row, eight to a line; the bytes of a last line that isn't full are no pixels."""
     rows = documents(spark, sf).select(F.col("source").alias("origin"), F.encode("text", "utf-8").alias("data"))
     image = rows.select("origin", F.floor(F.octet_length("data") / 24.0).cast("int").alias("height"), F.lit(8).alias("width"), F.lit(3).alias("nChannels"), "data").where("height > 0")
-    return pixels.marker_metrics(pixels.unpack(image), ["origin"], pixels.colour_mask("brown"), pixels.stain_density())
+    m = pixels.marker_metrics(pixels.unpack(image), ["origin"], pixels.colour_mask("brown"), pixels.stain_density())
+    return m.withColumns({"mean": r6(F.col("mean")), "integrated": F.round("integrated", 4), "area_ratio": r6(F.col("area_ratio"))})

@@ -40,10 +40,15 @@ def track_motion(spark, sf):
     return track.motion_states(s, ["user_id"], ORDER, 30, 300.0, 350.0).groupBy("user_id", "motion").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH s AS ({STEPS}), b AS (SELECT user_id, min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM s GROUP BY 1),
+z AS (SELECT s.*, x BETWEEN (x0+x1)/2-(x1-x0)/4 AND (x0+x1)/2+(x1-x0)/4 AND y BETWEEN (y0+y1)/2-(y1-y0)/4 AND (y0+y1)/2+(y1-y0)/4 inside FROM s JOIN b USING (user_id)),
+e AS (SELECT *, lag(inside) OVER (PARTITION BY user_id ORDER BY ts, event_id) was FROM z)
+SELECT user_id, round(count(*)/10.0::double, 6) duration, round(sum(dist), 5) distance, round(avg(dist*10), 5) mean_speed, round(nullif(count(*) FILTER (inside), 0)/10.0::double, 6) centre_duration, round(sum(dist) FILTER (inside), 5) centre_distance,
+ CASE WHEN count(*) FILTER (inside)>0 THEN count(*) FILTER (inside AND NOT was) END centre_entries FROM e GROUP BY 1""")
 def track_open_field(spark, sf):
     frames = placed(spark, sf).withColumn("frame", F.struct(*ORDER))
-    return track.open_field(frames, ["user_id"], "frame", 10.0, 0.5)
+    o = track.open_field(frames, ["user_id"], "frame", 10.0, 0.5)
+    return o.withColumns({c: F.round(c, 6 if c.endswith("duration") else 5) for c in ("duration", "distance", "mean_speed", "centre_duration", "centre_distance")})
 
 
 @query(f"""WITH s AS ({SCORED}), v AS (SELECT *, (SELECT sum(CASE WHEN b.p<a.p THEN 1.0 WHEN b.p=a.p THEN 0.5 ELSE 0 END) FROM s b WHERE b.y=0) nb, (SELECT sum(CASE WHEN b.p>a.p THEN 1.0 WHEN b.p=a.p THEN 0.5 ELSE 0 END) FROM s b WHERE b.y=1) pa FROM s a),
@@ -53,7 +58,11 @@ def label_influence(spark, sf):
     return models.influence(scored(spark, sf), "doc_id", "y", "p").select("doc_id", F.round("change", 7).alias("change"))
 
 
-@query()
+@query("""WITH s AS (SELECT count(*)::double n, sum(l_quantity) x, sum(l_quantity**2) x2, sum(l_quantity**3) x3, sum(l_quantity**4) x4, sum(l_extendedprice) y, sum(l_quantity*l_extendedprice) xy, sum(l_quantity**2*l_extendedprice) x2y FROM lineitem),
+d AS (SELECT *, x4*(x2*n-x*x)-x3*(x3*n-x*x2)+x2*(x3*x-x2*x2) d FROM s),
+c AS (SELECT (x2y*(x2*n-x*x)-x3*(xy*n-x*y)+x2*(xy*x-x2*y))/d a, (x4*(xy*n-x*y)-x2y*(x3*n-x*x2)+x2*(x3*y-xy*x2))/d b, (x4*(x2*y-x*xy)-x3*(x3*y-xy*x2)+x2y*(x3*x-x2*x2))/d c FROM d)
+SELECT round(a, 4) a, round(b, 3) b, round(c, 2) c, round(-b/(2*a), 1) vertex FROM c""")
 def price_quadratic(spark, sf):
     q = models.quadratic(table("lineitem")(spark, sf), "l_quantity", "l_extendedprice")
-    return spark.createDataFrame([tuple(float(v) for v in q.values())], "a double, b double, c double, vertex double")
+    q = spark.createDataFrame([tuple(float(v) for v in q.values())], "a double, b double, c double, vertex double")
+    return q.select(*(F.round(c, n).alias(c) for c, n in (("a", 4), ("b", 3), ("c", 2), ("vertex", 1))))

@@ -112,7 +112,11 @@ def vector_farthest_points(spark, sf):
     return cloud.farthest_points(points(spark, sf), "label", "vec_id", 16, 3)
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT DISTINCT label, floor(embedding[1]::double/0.05::double)::int i, floor(embedding[2]::double/0.05::double)::int j, floor(embedding[3]::double/0.05::double)::int k FROM embeddings),
+r AS (SELECT label, i, j, k, i ri, j rj, k rk FROM c UNION SELECT r.label, c.i, c.j, c.k, ri, rj, rk FROM r JOIN c ON r.label=c.label AND abs(r.i-c.i)+abs(r.j-c.j)+abs(r.k-c.k)=1),
+g AS (SELECT label, i, j, k, min((ri, rj, rk)) root FROM r GROUP BY ALL)
+SELECT label, root[1] first_i, root[2] first_j, root[3] first_k, count(*) area, round(avg(i), 6) ci, round(avg(j), 6) cj, round(avg(k), 6) ck FROM (SELECT *, row(root[1], root[2], root[3]) q FROM g) GROUP BY label, root""")
 def vector_components(spark, sf):
     grid = points(spark, sf).select("label", *(F.floor(F.col(c) / 0.05).cast("int").alias(n) for c, n in zip("xyz", "ijk"))).distinct()
-    return cloud.voxel_components(grid, "label").groupBy("label", "component").agg(F.count("*").alias("area"), F.avg("i").alias("ci"), F.avg("j").alias("cj"), F.avg("k").alias("ck"))
+    g = cloud.voxel_components(grid, "label").groupBy("label", "component").agg(F.min(F.struct("i", "j", "k")).alias("first"), F.count("*").alias("area"), *(r6(F.avg(c)).alias(f"c{c}") for c in "ijk"))
+    return g.select("label", *(F.col(f"first.{c}").alias(f"first_{c}") for c in "ijk"), "area", "ci", "cj", "ck")

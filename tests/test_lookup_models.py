@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from neurotab.operators import evaluate, lookup, models, ranges, signal
+from neurotab.operators import evaluate, lookup, models, neighbours, ranges, signal
 
 
 def test_labels_fall_back_and_later_tables_win(spark):
@@ -94,7 +94,7 @@ def test_chained_impute_restores_a_linear_column(spark):
 def test_oversampling_fills_small_classes_between_neighbours(spark):
     rows = [(i, "big", float(i), 0.0, 0.0) for i in range(20)] + [(100 + i, "small", float(i), 1.0, 2.0) for i in range(6)] + [(200, "one", 0.0, 0.0, 0.0)]
     df = spark.createDataFrame(rows, "id long, g string, x double, y double, z double")
-    got = models.oversample(df, ["x", "y", "z"], "id", "g", k=5)
+    got = neighbours.oversample(df, ["x", "y", "z"], "id", "g", k=5)
     new = got.where("synthetic")
     assert {r.g: r["count"] for r in got.groupBy("g").count().collect()} == {"big": 20, "small": 20, "one": 1}
     assert new.where("g = 'small' and y = 1 and z = 2 and x between 0 and 5").count() == 14

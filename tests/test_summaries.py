@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from neurotab.functions import text
-from neurotab.operators import cloud, evaluate, omics, sequence, signal
+from neurotab.operators import cloud, evaluate, omics, sequence, signal, windows
 
 
 def test_fir_by_chunks_equals_whole(spark):
@@ -37,7 +37,7 @@ def test_synchrony_is_mean_coherence(spark):
     x = r.normal(size=(3, 200))
     rows = [(1, c, i, float(x[c, i])) for c in range(3) for i in range(200)] + [(2, 0, i, float(i)) for i in range(200)]
     df = spark.createDataFrame(rows, "k int, c int, i int, v double")
-    got = {g.k: g for g in signal.synchrony(df, ["k"], "c", "i", "v", 50.0, 200, 200, {"b": (5.0, 20.0)}).collect()}
+    got = {g.k: g for g in windows.synchrony(df, ["k"], "c", "i", "v", 50.0, 200, 200, {"b": (5.0, 20.0)}).collect()}
     want = np.mean([signal.coherence(x[a], x[b], 50.0, 100, 5.0, 20.0) for a, b in ((0, 1), (0, 2), (1, 2))])
     assert got[1].sync_b == pytest.approx(want) and got[1].n_channels == 3 and got[2].sync_b is None
 
