@@ -23,10 +23,11 @@ from neurotab.sources.shared import settled
 BLOCK = 4096  # queries and points compared at once
 
 
-def _numbered(df: DataFrame, id: str, names: Sequence[str], prefix: str) -> DataFrame:
+def _numbered(df: DataFrame, id: str, names: Sequence[str], prefix: str, within: str | None) -> DataFrame:
     point = F.array(*(F.col(c).cast("double") for c in names))
     whole = ~F.exists(point, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return df.select(F.monotonically_increasing_id().alias(f"{prefix}n"), F.col(id).alias(f"{prefix}id"), point.alias(f"{prefix}x")).where(whole)
+    group = F.xxhash64(F.col(within).cast("string")) if within else F.lit(0).cast("long")
+    return df.select(F.monotonically_increasing_id().alias(f"{prefix}n"), F.col(id).alias(f"{prefix}id"), group.alias(f"{prefix}g"), point.alias(f"{prefix}x")).where(whole)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -40,27 +41,28 @@ def _points(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
 
 
 def _placed(points: DataFrame, prefix: str, pivots: np.ndarray) -> DataFrame:
-    """points with the number of their nearest pivot and the distance to it."""
+    """points with the number of their nearest pivot, their cell (of that pivot and their group) and the distance to the pivot."""
 
     def run(batches):
         for b in batches:
             d = _distances(_points(b.column(f"{prefix}x"), pivots.shape[1]), pivots) if b.num_rows else np.empty((0, len(pivots)))
             cell = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell])], [*b.schema.names, f"{prefix}cell", f"{prefix}far"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell])], [*b.schema.names, f"{prefix}pivot", f"{prefix}far"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
-    return points.mapInArrow(run, f"{kinds}, {prefix}cell int, {prefix}far double")
+    return points.mapInArrow(run, f"{kinds}, {prefix}pivot int, {prefix}far double").withColumn(f"{prefix}cell", F.xxhash64(f"{prefix}g", f"{prefix}pivot"))
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, names: Sequence[str], k: int, itself: bool = True, pivots: int = 64, split: int = 20_000, seed: int = 0) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, names: Sequence[str], k: int, itself: bool = True, within: str | None = None, pivots: int = 64, split: int = 20_000, seed: int = 0) -> DataFrame:
     """left_id, right_id (with _r), distance and rank of the k nearest rows of right for each row of left; ties go to the smaller id.
 
-    ``itself`` False leaves out rows of the same id. Rows of left that repeat an id
+    ``itself`` False leaves out rows of the same id; with ``within``, a column of few
+    values (classes), rows meet those of their own value only. Rows of left that repeat an id
     get k rows each. Rows with a missing or infinite coordinate take no part. Cells of
     more than ``split`` points are cut by hash, so that none is one task.
     """
     d = len(names)
-    one, two = settled(_numbered(left, left_id, names, "l")), settled(_numbered(right, right_id, names, "r"))
+    one, two = settled(_numbered(left, left_id, names, "l", within)), settled(_numbered(right, right_id, names, "r", within))
     centres = [r.rx for r in two.select("rx").distinct().orderBy(F.xxhash64(F.lit(seed), "rx"), "rx").limit(pivots).collect()]
     kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((left, left_id), (right, right_id))}
     result = f"ln long, lid {kinds[left_id]}, rn long, rid {kinds[right_id]}, distance double"
@@ -69,9 +71,9 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name
         return out.select(F.col("lid").alias(left_id), F.col("rid").alias(f"{right_id}_r"), "distance", F.lit(0).alias("rank"))
     p = np.array(centres)
     points = settled(_placed(two, "r", p))
-    cells = {r.rcell: r for r in points.groupBy("rcell").agg(F.count("*").alias("n"), F.min("rfar").alias("low"), F.max("rfar").alias("high")).collect()}  # a row a pivot
+    cells = {r.rcell: r for r in points.groupBy("rcell", "rg", "rpivot").agg(F.count("*").alias("n"), F.min("rfar").alias("low"), F.max("rfar").alias("high")).collect()}  # a row a pivot and class
     parts = {c: -(-r.n // split) for c, r in cells.items()}
-    shards = F.broadcast(left.sparkSession.createDataFrame([(c, n) for c, n in parts.items()], "rcell int, parts int"))  # a row a pivot
+    shards = F.broadcast(left.sparkSession.createDataFrame([(c, n) for c, n in parts.items()], "rcell long, parts int"))  # a row a pivot and class
     points = points.join(shards, "rcell").withColumn("shard", F.pmod(F.xxhash64("rn"), F.col("parts")).cast("int")).drop("parts")
     queries = settled(_placed(one, "l", p))
 
@@ -115,20 +117,20 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name
     first = settled(best(asked(queries.withColumns({"bound": F.lit(float("inf")), "to": F.col("lfar")}))))
     bounds = first.groupBy("ln").agg(F.max("distance").alias("b"), F.count("*").alias("c")).select("ln", F.when(F.col("c") >= k, F.col("b")).otherwise(F.lit(float("inf"))).alias("bound"))
     known = queries.join(bounds, "ln", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    limits = [(c, r.low, r.high) for c, r in sorted(cells.items())]
+    limits = [(c, r.rg, r.rpivot, r.low, r.high) for c, r in sorted(cells.items())]
 
     def others(batches):
         for b in batches:
-            x, bound, own = _points(b.column("lx"), d), b.column("bound").to_numpy(), b.column("lcell").to_numpy()
+            x, bound, own, group = _points(b.column("lx"), d), b.column("bound").to_numpy(), b.column("lcell").to_numpy(), b.column("lg").to_numpy()
             to = _distances(x, p) if len(x) else np.empty((0, len(p)))
             slack = bound * (1 + 1e-9) + 1e-12
-            for c, low, high in limits:
-                at = np.flatnonzero((own != c) & (to[:, c] - slack <= high) & (to[:, c] + slack >= low))
+            for c, g, pivot, low, high in limits:
+                at = np.flatnonzero((own != c) & (group == g) & (to[:, pivot] - slack <= high) & (to[:, pivot] + slack >= low))
                 if len(at):
                     take = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([b.column("ln").take(take), b.column("lid").take(take), b.column("lx").take(take), pa.array([c] * len(at), pa.int32()), pa.array(bound[at]), pa.array(to[at, c])], ["ln", "lid", "lx", "lcell", "bound", "to"])
+                    yield pa.RecordBatch.from_arrays([b.column("ln").take(take), b.column("lid").take(take), b.column("lx").take(take), pa.array([c] * len(at), pa.int64()), pa.array(bound[at]), pa.array(to[at, pivot])], ["ln", "lid", "lx", "lcell", "bound", "to"])
 
-    more = known.mapInArrow(others, f"ln long, lid {kinds[left_id]}, lx array<double>, lcell int, bound double, to double")
+    more = known.mapInArrow(others, f"ln long, lid {kinds[left_id]}, lx array<double>, lcell long, bound double, to double")
     every = best(first.drop("rank").unionByName(asked(more)))
     return every.select(F.col("lid").alias(left_id), F.col("rid").alias(f"{right_id}_r"), "distance", "rank")
 
@@ -164,20 +166,20 @@ def oversample(df: DataFrame, names: Sequence[str], id: str, label: str, k: int
     if sizes and noise and min(sizes.values()) < 2:
         return noisy_copies(df, names, id, label, noise, seed=seed)
     most, near = max(sizes.values(), default=0), min(k, min((n for n in sizes.values() if n > 1), default=2) - 1)
-    out = base
-    for cls, n in sorted(sizes.items(), key=str):
-        if n in (1, most):
-            continue
-        own = settled(df.where(F.col(label) == cls).select(F.monotonically_increasing_id().alias("_n"), id, *names))
-        pairs = nearest(own, own, "_n", "_n", names, near, itself=False, seed=seed)
-        # rows of the class in a fixed order by hash; each makes the same number of points, and the first ones one more
-        copies, extra = divmod(most - n, n)
-        place = before(own.select("_n", F.xxhash64(F.lit(seed), "_n").alias("_h")), [], ["_h", "_n"], {"_b": F.lit(1.0)})
-        want = F.lit(copies) + F.when(F.col("_b") < extra, 1).otherwise(0)
-        made = place.withColumn("_c", want).where("_c > 0").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
-        made = made.withColumn("rank", (F.pmod(F.xxhash64(F.lit(seed + 1), "_n") + F.col("_i"), F.lit(near)) + 1).cast("int"))
-        j = made.join(pairs.select("_n", "rank", "_n_r"), ["_n", "rank"]).join(own.drop(id).toDF("_n_r", *(f"{c}_r" for c in names)), "_n_r").join(own, "_n")
-        u = F.pmod(F.xxhash64(F.lit(seed + 2), "_n", "_i"), F.lit(1 << 30)) / float(1 << 30)
-        mixed = j.select(id, F.lit(cls).alias(label), *((F.col(c) + u * (F.col(f"{c}_r") - F.col(c))).alias(c) for c in names), F.lit(True).alias("synthetic"))
-        out = out.unionByName(mixed)
-    return out
+    wanted = {cls: divmod(most - n, n) for cls, n in sizes.items() if n not in (1, most)}
+    if not wanted:
+        return base
+    # rows of a class in a fixed order by hash; each makes the same number of points, and the first ones one more
+    kind = df.schema[label].dataType.simpleString()
+    plan = df.sparkSession.createDataFrame([(cls, each, extra) for cls, (each, extra) in wanted.items()], f"_g {kind}, _each int, _extra int")
+    own = settled(df.join(F.broadcast(plan), F.col(label) == F.col("_g")).select(F.monotonically_increasing_id().alias("_n"), id, label, *names, "_each", "_extra"))  # a row a class
+    pairs = nearest(own, own, "_n", "_n", names, near, itself=False, within=label, seed=seed)
+    place = before(own.select("_n", label, "_each", "_extra", F.xxhash64(F.lit(seed), "_n").alias("_h")), [], [label, "_h", "_n"], {"_b": F.lit(1.0)})
+    starts = place.groupBy(label).agg(F.min("_b").alias("_s"))  # a row a class
+    place = place.join(F.broadcast(starts), label).withColumn("_b", F.col("_b") - F.col("_s"))
+    made = place.withColumn("_c", F.col("_each") + F.when(F.col("_b") < F.col("_extra"), 1).otherwise(0)).where("_c > 0").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
+    made = made.select("_n", "_i", (F.pmod(F.xxhash64(F.lit(seed + 1), "_n") + F.col("_i"), F.lit(near)) + 1).cast("int").alias("rank"))
+    j = made.join(pairs.select("_n", "rank", "_n_r"), ["_n", "rank"]).join(own.select("_n", *names).toDF("_n_r", *(f"{c}_r" for c in names)), "_n_r").join(own, "_n")
+    u = F.pmod(F.xxhash64(F.lit(seed + 2), "_n", "_i"), F.lit(1 << 30)) / float(1 << 30)
+    return base.unionByName(j.select(id, label, *((F.col(c) + u * (F.col(f"{c}_r") - F.col(c))).alias(c) for c in names), F.lit(True).alias("synthetic")))
+
