@@ -146,3 +146,14 @@ def puncta_summary(puncta: DataFrame, tissue: DataFrame, keys: Sequence[str], ar
     g = puncta.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(area).alias("mean_area"), F.avg(intensity).alias("mean_intensity"), F.avg(F.coalesce(F.col(near), F.lit(False)).cast("double")).alias("coloc_ratio"))
     j = tissue.select(*keys, pixels).join(g, list(keys), "left").fillna(0, ["n", "mean_area", "mean_intensity", "coloc_ratio"])
     return j.withColumn("density", F.when(F.col(pixels) > 0, F.col("n") / F.col(pixels)).otherwise(0.0)).drop(pixels)
+
+
+def field_quality(points: DataFrame, keys: Sequence[str], value: str, mean: str, label: str, least: int = 1, labels: Sequence[int] = (-1, 0, 1)) -> DataFrame:
+    """Checks of each key's points: n, r (correlation of the interpolated value with the mean over nearest nodes), missing values, labels that aren't known, and ok.
+
+    ok: at least ``least`` points, no missing value, only known labels.
+    """
+    gone = F.col(value).isNull() | F.isnan(F.col(value).cast("double"))
+    odd = ~F.coalesce(F.col(label).isin(*labels), F.lit(False))
+    g = points.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(F.when(~gone, F.col(value)), mean).alias("r"), F.count(F.when(gone, 1)).alias("missing"), F.count(F.when(odd, 1)).alias("unknown_labels"))
+    return g.withColumn("ok", (F.col("n") >= least) & (F.col("missing") == 0) & (F.col("unknown_labels") == 0))

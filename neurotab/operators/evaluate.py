@@ -145,3 +145,46 @@ def with_risk(clinical: DataFrame, scores: DataFrame, key: str, risk: str = "ris
     """All clinical rows with their out-of-fold scores; where the scores have no risk it is 1 minus the healthy probability."""
     given = F.col(risk) if risk in scores.columns else F.lit(None).cast("double")
     return clinical.join(scores.withColumn(risk, F.coalesce(given, 1 - F.col(healthy))), key, "left")
+
+
+def softmax(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Shares exp(v) / sum(exp(v)) over the rows of a key, from differences to its largest value."""
+    w = Window.partitionBy(*keys)
+    e = F.exp(F.col(value) - F.max(value).over(w))
+    return df.withColumn("_e", e).withColumn(out, F.col("_e") / F.sum("_e").over(w)).drop("_e")
+
+
+def calibration_table(df: DataFrame, y: str, p: str, how: str = "uniform", bins: int = 10, least: int = 1) -> DataFrame:
+    """low, high, n, mean_p, share of each bin of the score.
+
+    Bins are [low, high), the last one closed: equal widths over 0 to 1 (uniform),
+    equal shares of rows (quantile), or equal widths merged from the left until each
+    has ``least`` rows (adaptive, by ``merge_bins`` over the counts of bins). Otherwise
+    bins of fewer than ``least`` rows are left out.
+    """
+    d = df.where(F.col(y).isNotNull() & F.col(p).between(0.0, 1.0))
+    edges = [i / bins for i in range(bins + 1)]
+    if how == "quantile":
+        inner = d.agg(F.percentile(p, F.array(*(F.lit(e) for e in edges))).alias("q")).first().q
+        edges = sorted(set(inner)) if inner else edges
+        edges = edges if len(edges) > 1 else [edges[0], edges[0]]
+
+    def placed(edges: Sequence[float]) -> DataFrame:
+        at = F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges[1:-1])), lambda e: e <= F.col(p))) if len(edges) > 2 else F.lit(0)
+        return d.withColumn("_bin", at)
+
+    if how == "adaptive":
+        counts = {r["_bin"]: r["count"] for r in placed(edges).groupBy("_bin").count().collect()}  # a row a bin
+        edges = merge_bins(edges, [counts.get(i, 0) for i in range(bins)], least)
+    ends = [F.element_at(F.array(*(F.lit(float(e)) for e in edges)), F.col("_bin") + i) for i in (1, 2)]
+    g = placed(edges).groupBy("_bin").agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("share"))
+    return g.where(F.lit(how == "adaptive") | (F.col("n") >= least)).select(ends[0].alias("low"), ends[1].alias("high"), "n", "mean_p", "share")
+
+
+def interval_table(metrics: DataFrame, name: str, value: str, low: str, high: str, names: Sequence[str]) -> DataFrame:
+    """place, name, value, low, high and their text, ordered as the list of names; metrics that aren't in it come after, those without a value are left out."""
+    from neurotab.functions.text import place_in
+
+    text = F.format_string("%.3f (%.3f, %.3f)", F.col(value), F.col(low), F.col(high))
+    w = Window.partitionBy(F.lit(0)).orderBy(place_in(F.col(name), names), name)  # a row a metric
+    return metrics.where(F.col(value).isNotNull()).select(F.row_number().over(w).alias("place"), name, value, low, high, F.when(F.col(low).isNotNull() & F.col(high).isNotNull(), text).otherwise(F.format_string("%.3f", F.col(value))).alias("text"))

@@ -274,3 +274,13 @@ def influence(df: DataFrame, id: str, y: str, p: str) -> DataFrame:
     less = F.when(F.col(y) == 1, F.col("nb")).otherwise(F.col("n_p") - F.col("pb"))
     pairs = F.when(F.col(y) == 1, (F.col("n_p") - 1) * F.col("n_n")).otherwise(F.col("n_p") * (F.col("n_n") - 1))
     return j.select(id, F.when(pairs > 0, (F.col("u_all") - less) / pairs - F.col("u_all") / (F.col("n_p") * F.col("n_n"))).alias("change"))
+
+
+def joint_scaled(parts: dict[str, DataFrame], names: Sequence[str], name: str = "segment") -> DataFrame:
+    """All segments as one table with z-scores by the mean and population deviation of all their rows together; a constant column is 0. What is fitted on it (PCA, states) then shares one scale."""
+    out = None
+    for part, df in parts.items():
+        named = df.withColumn(name, F.lit(part))
+        out = named if out is None else out.unionByName(named, allowMissingColumns=True)
+    s = out.agg(*(F.avg(c).alias(f"m_{c}") for c in names), *(F.stddev_pop(c).alias(f"s_{c}") for c in names)).first()
+    return out.withColumns({c: (F.col(c) - F.lit(s[f"m_{c}"])) / s[f"s_{c}"] if s[f"s_{c}"] else F.when(F.col(c).isNotNull(), 0.0) for c in names})

@@ -122,3 +122,44 @@ def selection_frequency(df: DataFrame, feature: str, fold: str, folds: int) -> D
     """Number and share of folds that chose a feature; a feature chosen twice in a fold counts once."""
     g = df.select(feature, fold).distinct().groupBy(feature).agg(F.count(fold).alias("n"))
     return g.withColumn("frequency", F.col("n") / F.lit(folds))
+
+
+def rsd_filter(df: DataFrame, feature: str, value: str, qc: Column, below: float = 30.0) -> DataFrame:
+    """Rows of features whose deviation over the QC rows is known and under the limit (percent)."""
+    ok = relative_deviation(df.where(qc), [feature], value).where(F.col("rsd").isNotNull() & (F.col("rsd") < below)).select(feature)
+    return df.join(ok, feature, "left_semi")
+
+
+def mean_se(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """n, mean and standard error (sample deviation over the root of n; null with one value) by key."""
+    n = F.count(value)
+    return df.groupBy(*keys).agg(n.alias("n"), F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(n)).alias("se"))
+
+
+def joined_correlation(a: DataFrame, b: DataFrame, keys: Sequence[str], value_a: str, value_b: str) -> DataFrame:
+    """n and Pearson r of two tables' values over the keys that both have, each key's mean where it repeats."""
+    of = lambda d, v, c: d.groupBy(*keys).agg(F.avg(v).alias(c))
+    return of(a, value_a, "_a").join(of(b, value_b, "_b"), list(keys)).where("_a is not null and _b is not null").agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("r"))
+
+
+def profile(parts: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Summaries of the same conditions side by side: conditions that all of them have, their columns named part_column."""
+    out = None
+    for name, part in parts.items():
+        named = part.select(*keys, *(F.col(c).alias(f"{name}_{c}") for c in part.columns if c not in keys))
+        out = named if out is None else out.join(named, list(keys))
+    return out
+
+
+def top_variance(df: DataFrame, feature: str, value: str, k: int) -> DataFrame:
+    """The k features of largest sample variance, equal ones by name."""
+    return df.groupBy(feature).agg(F.var_samp(value).alias("variance")).where("variance is not null").orderBy(F.desc("variance"), feature).limit(k)
+
+
+def centroid_distances(df: DataFrame, group: str, names: Sequence[str], reference: str) -> DataFrame:
+    """Rows with ``own`` and ``to_reference``: distances to the centre of their group and of the reference group."""
+    centres = df.groupBy(group).agg(*(F.avg(c).alias(f"_c_{c}") for c in names))  # a row a group
+    origin = centres.where(F.col(group) == reference).select(*(F.col(f"_c_{c}").alias(f"_r_{c}") for c in names))
+    far = lambda p: F.sqrt(sum(((F.col(c) - F.col(f"{p}{c}")) * (F.col(c) - F.col(f"{p}{c}")) for c in names), F.lit(0.0)))
+    j = df.join(F.broadcast(centres), group).join(F.broadcast(origin), F.lit(True), "left")
+    return j.withColumns({"own": far("_c_"), "to_reference": far("_r_")}).drop(*(f"_{p}_{c}" for p in "cr" for c in names))

@@ -176,3 +176,65 @@ def append_after(pre: DataFrame, post: DataFrame, keys: Sequence[str], time: str
     end = pre.groupBy(*keys).agg(F.max(time).alias("_end"))
     moved = post.join(end, list(keys), "left").withColumn(time, F.col(time) + F.coalesce("_end", F.lit(0)))
     return pre.withColumn("segment", F.lit("pre")).unionByName(moved.drop("_end").withColumn("segment", F.lit("post")))
+
+
+def segments_by_bounds(df: DataFrame, time: str, bounds: dict[str, tuple[float, float]], names: Sequence[str] = ("pre", "stim", "post")) -> DataFrame:
+    """Rows of [start, end) of each named segment; other rows go. An error if one of the six bounds is missing or a segment ends before it starts."""
+    gone = [n for n in names if n not in bounds or None in bounds[n]]
+    if gone:
+        raise ValueError(f"bounds are missing for {', '.join(gone)}")
+    wrong = [n for n in names if bounds[n][1] < bounds[n][0]]
+    if wrong:
+        raise ValueError(f"segments end before they start: {', '.join(wrong)}")
+    label = F.lit(None).cast("string")
+    for n in reversed(names):  # where two overlap, the first in order has the row
+        label = F.when((F.col(time) >= bounds[n][0]) & (F.col(time) < bounds[n][1]), n).otherwise(label)
+    return df.withColumn("segment", label).where("segment is not null")
+
+
+def in_order(parts: dict[str, DataFrame], keys: Sequence[str], time: str, step: float = 0.0) -> DataFrame:
+    """Any number of segments on one time axis, in the order given: each starts ``step`` after the last time of its key before it."""
+    ends, out = None, None
+    for name, part in parts.items():
+        moved = part.withColumn("segment", F.lit(name))
+        if ends is not None:
+            moved = moved.join(ends, list(keys), "left").withColumn(time, F.col(time) + F.coalesce(F.col("_end") + step, F.lit(0.0))).drop("_end")
+        out = moved if out is None else out.unionByName(moved, allowMissingColumns=True)
+        ends = out.groupBy(*keys).agg(F.max(time).alias("_end"))
+    return out
+
+
+def transition_table(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, states: Sequence, eps: float = 0.0) -> DataFrame:
+    """keys, from_state, to_state, n, prob for every pair of states: row-normalised counts, eps added to each sum; a row without transitions is 0. States that aren't in the list (noise) are taken out first."""
+    kept = df.where(F.col(label).isin(*states))
+    seen = transitions(kept, keys, order, label).select(*keys, "from_state", "to_state", "n")
+    listed = F.array(*map(F.lit, states))
+    grid = kept.select(*keys).distinct().withColumn("from_state", F.explode(listed)).withColumn("to_state", F.explode(listed))
+    d = grid.join(seen, [*keys, "from_state", "to_state"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    total = F.sum("n").over(Window.partitionBy(*keys, "from_state")) + F.lit(float(eps))
+    return d.withColumn("prob", F.when(total > 0, F.col("n") / total).otherwise(0.0))
+
+
+def pick_evenly(df: DataFrame, keys: Sequence[str], index: str, n: int) -> DataFrame:
+    """At most n rows of each key, evenly spread over its zero-based index: those at floor(i * (m - 1) / (n - 1)) of m rows, the first and last ones included."""
+    m = df.groupBy(*keys).agg(F.count("*").alias("_m"))
+    at = F.floor(F.col("_i") * (F.col("_m") - 1) / F.lit(float(max(n - 1, 1))))
+    wanted = m.withColumn("_i", F.explode(F.sequence(F.lit(0), F.least(F.lit(n), F.col("_m").cast("int")) - 1)))
+    wanted = wanted.withColumn(index, F.when(F.col("_m") > n, at).otherwise(F.col("_i")).cast(df.schema[index].dataType)).select(*keys, index).distinct()
+    return df.join(wanted, [*keys, index], "left_semi")
+
+
+def stability(windows: DataFrame, keys: Sequence[str], mean: str = "mean") -> DataFrame:
+    """Windows with ``stability``: how far each window's mean lies from the mean over the key's windows."""
+    own = windows.groupBy(*keys).agg(F.avg(mean).alias("_c"))
+    return windows.join(own, list(keys)).withColumn("stability", F.abs(F.col(mean) - F.col("_c"))).drop("_c")
+
+
+def change_index(df: DataFrame, keys: Sequence[str], time: str, value: str, early: float) -> DataFrame:
+    """change: mean of rows with time >= 0 minus the mean of those before; early_gradient: mean slope between neighbouring rows with 0 <= time <= early, null with under two."""
+    w = _over(keys, [time])
+    inside = (F.col(time) >= 0) & (F.col(time) <= early)
+    slope = (F.lead(value).over(w) - F.col(value)) / F.when(F.lead(time).over(w) > F.col(time), F.lead(time).over(w) - F.col(time))
+    d = df.select(*keys, time, value, F.when(inside & (F.lead(time).over(w) <= early), slope).alias("_g"))
+    mean = lambda on: F.avg(F.when(on, F.col(value)))
+    return d.groupBy(*keys).agg((mean(F.col(time) >= 0) - mean(F.col(time) < 0)).alias("change"), F.avg("_g").alias("early_gradient"))
