@@ -1,8 +1,9 @@
 """Near-duplicate vectors by counting collisions of random projections.
 
 A trial draws one-dimensional projections. All of them but the last put vectors
-in cells of one width; inside a cell the vectors are sorted by the last one, and
-two collide if each lies in the window around the other. One projection alone
+in cells of one width; of the vectors of a cell, two collide if each lies in the
+window around the other by the last one (a join forms the pairs of a cell and keeps
+those in the window; nothing is sorted). One projection alone
 can't tell a cosine of 0.9 from none: its spread differs by a factor of 3.2 only,
 so pairs would grow with the square of the input. A trial therefore has as many
 projections as bring the chance of two unrelated vectors under one in the number

@@ -10,7 +10,7 @@ code; a code that many rows share is kept once, with its k + 1 smallest ids.
 
 Cases: rows without code are neither queries nor found; a query with fewer than k
 other rows gets all of them. A row isn't its own neighbour; rows that repeat an id
-count as one. Ties in distance go to the smaller id.
+count as one. Ties in distance go to the smaller id. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ def sign_code(vector: str) -> Column:
 def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, neighbor_id, distance: the k nearest (id, code) of rows for each (id, code) of queries."""
     scratch = Scratch(rows.sparkSession, "hamming")
+    rows = rows.select("id", "code")
     by_id = Window.partitionBy("code").orderBy("id")
     first = rows.where("id is not null and code is not null").distinct().withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1)
     codes = scratch.cut(first.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
