@@ -199,8 +199,9 @@ def in_order(parts: dict[str, DataFrame], keys: Sequence[str], time: str, step:
         moved = part.withColumn("segment", F.lit(name))
         if ends is not None:
             moved = moved.join(ends, list(keys), "left").withColumn(time, F.col(time) + F.coalesce(F.col("_end") + step, F.lit(0.0))).drop("_end")
+        own = moved.groupBy(*keys).agg(F.max(time).alias("_own"))
+        ends = own.withColumnRenamed("_own", "_end") if ends is None else ends.join(own, list(keys), "full").select(*keys, F.greatest("_end", "_own").alias("_end"))
         out = moved if out is None else out.unionByName(moved, allowMissingColumns=True)
-        ends = out.groupBy(*keys).agg(F.max(time).alias("_end"))
     return out
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from neurotab.plans import events, lookups, measures, sales, signals, summaries, texts, tracks, trials, vectors
+from neurotab.plans import built, events, lookups, measures, sales, signals, summaries, texts, tracks, trials, vectors
 
-MODULES = (events, lookups, measures, sales, signals, summaries, texts, tracks, trials, vectors)
+MODULES = (built, events, lookups, measures, sales, signals, summaries, texts, tracks, trials, vectors)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
