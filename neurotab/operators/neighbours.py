@@ -152,6 +152,33 @@ def noisy_copies(df: DataFrame, names: Sequence[str], id: str, label: str, n: in
     return df.select(id, label, *names).withColumn("synthetic", F.lit(False)).unionByName(made)
 
 
+def proportional_copies(df: DataFrame, names: Sequence[str], id: str, label: str, target: int, scale: float = 0.05, seed: int = 0) -> DataFrame:
+    """df and noisy copies that bring it to about ``target`` rows, each class keeping its share; noise is scale * the class's population deviation of a column."""
+    n = df.count()
+    rate = max(target - n, 0) / n if n else 0.0
+    spread = df.groupBy(label).agg(*(F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(f"_s_{c}") for c in names))  # a row a class
+    u = F.pmod(F.xxhash64(F.lit(seed), id), F.lit(1 << 30)) / float(1 << 30)
+    copies = int(rate) + (u < rate - int(rate)).cast("int")
+    d = df.select(id, label, *names).join(F.broadcast(spread), label).withColumn("_c", copies).where("_c > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_c"))))
+    made = d.withColumns({c: F.col(c) + F.randn(seed + j) * scale * F.col(f"_s_{c}") for j, c in enumerate(names)})
+    return df.select(id, label, *names).withColumn("synthetic", F.lit(False)).unionByName(made.select(id, label, *names, F.lit(True).alias("synthetic")))
+
+
+def mad_copies(df: DataFrame, names: Sequence[str], copies: int, scale: float = 0.05, seed: int = 0) -> DataFrame:
+    """Rows (copy 0) and ``copies`` of each with noise of scale * 1.4826 * the column's median absolute deviation."""
+    middle = df.agg(*(F.median(c).alias(c) for c in names)).first()
+    mad = df.agg(*(F.median(F.abs(F.col(c) - F.lit(middle[c]))).alias(c) for c in names)).first()
+    d = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies))))
+    return d.withColumns({c: F.when(F.col("copy") == 0, F.col(c)).otherwise(F.col(c) + F.randn(seed + j) * (scale * 1.4826 * (mad[c] or 0.0))) for j, c in enumerate(names)})
+
+
+def pseudo_samples(df: DataFrame, names: Sequence[str], group: str, n: int, seed: int = 0) -> DataFrame:
+    """group, sample and values of n made samples of each group: normal around its mean with its sample deviation (0 with one row)."""
+    g = df.groupBy(group).agg(*(F.avg(c).alias(f"_m_{c}") for c in names), *(F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"_s_{c}") for c in names))
+    g = g.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    return g.select(group, "sample", *((F.col(f"_m_{c}") + F.randn(seed + j) * F.col(f"_s_{c}")).alias(c) for j, c in enumerate(names)))
+
+
 def oversample(df: DataFrame, names: Sequence[str], id: str, label: str, k: int = 5, noise: int = 0, seed: int = 0) -> DataFrame:
     """df and synthetic rows that bring every class to the largest one: points between a row and one of its nearest of its class.
 

@@ -128,9 +128,9 @@ def welch_psd(x: np.ndarray, fs: float, nperseg: int, overlap: float = 0.5) -> t
 
 
 def band_power(f: np.ndarray, p: np.ndarray, low: float, high: float, rule: str = "trapezoid") -> float:
-    """Power of a band: trapezoid over both limits, sum or mean of bins below the upper limit."""
-    if rule == "trapezoid":
-        k = (f >= low) & (f <= high)
+    """Power of a band: trapezoid over both limits, or over frequencies strictly between them (strict); sum or mean of bins below the upper limit."""
+    if rule in ("trapezoid", "strict"):
+        k = (f >= low) & (f <= high) if rule == "trapezoid" else (f > low) & (f < high)
         return float(np.sum((p[k][1:] + p[k][:-1]) / 2 * np.diff(f[k]))) if k.sum() > 1 else 0.0
     k = (f >= low) & (f < high)
     return float(p[k].sum() if rule == "sum" else p[k].mean()) if k.any() else 0.0

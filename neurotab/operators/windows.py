@@ -72,21 +72,25 @@ def _over_windows(df: DataFrame, keys: Sequence[str], index: str, value: str, wi
     return cut.groupBy(*keys, "_block").applyInPandas(run, ", ".join(filter(None, [_kinds(df, keys), "win long", schema])))
 
 
-def window_features(df: DataFrame, keys: Sequence[str], index: str, value: str, fs: float, width: int, step: int, bands: dict[str, tuple[float, float]], rule: str = "trapezoid") -> DataFrame:
-    """Log band powers, phase-amplitude coupling (first band, last band) and Lempel-Ziv complexity of each whole window of the series."""
+def window_features(df: DataFrame, keys: Sequence[str], index: str, value: str, fs: float, width: int, step: int, bands: dict[str, tuple[float, float]], rule: str = "trapezoid", nperseg: int | None = None, per_sample: bool = False) -> DataFrame:
+    """Log band powers, phase-amplitude coupling (first band, last band) and Lempel-Ziv complexity of each whole window of the series.
+
+    Segments of the spectrum last two seconds or ``nperseg`` samples. The complexity is
+    c / (n / log2 n) of c phrases in n samples, or c / n with ``per_sample``.
+    """
     names = list(bands)
     slow, fast = (signal.butterworth_sections(2, *bands[n], fs) for n in (names[0], names[-1]))
 
     def kernel(x: np.ndarray) -> pd.DataFrame:
         out = {"_w": np.arange(len(x))}
         if len(x):
-            f, p = signal.welch_psd(x, fs, min(int(2 * fs), width))
+            f, p = signal.welch_psd(x, fs, min(nperseg or int(2 * fs), width))
             for n in names:
                 out[f"log_{n}"] = np.log(np.array([signal.band_power(f, row, *bands[n], rule) for row in p]) + 1e-12)
             phase, size = np.angle(signal.hilbert(signal.zero_phase(x, slow))), abs(signal.hilbert(signal.zero_phase(x, fast)))
             out["coupling"] = [signal.coupling(a, b) for a, b in zip(phase, size)]
             high = x > np.median(x, 1, keepdims=True)
-            out["lzc"] = [signal.lempel_ziv(bits) / (width / np.log2(width)) for bits in high]
+            out["lzc"] = [signal.lempel_ziv(bits) / (width if per_sample else width / np.log2(width)) for bits in high]
         return pd.DataFrame(out, columns=["_w", *(f"log_{n}" for n in names), "coupling", "lzc"])
 
     more = ", ".join(f"log_{n} double" for n in names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLE = r"(?i)^(NC|HS|ZS|QC)\d+$"
@@ -25,10 +25,25 @@ def read_trace(spark: SparkSession, path: str, time: str = "Filtered (1) Timesta
     return df.select(F.input_file_name().alias("recording_id"), cell(time).alias("t_sec"), cell(value).alias("value"))
 
 
-def read_headerless_trace(spark: SparkSession, path: str) -> DataFrame:
-    """The same from the first two columns; rows that aren't numbers, headers among them, are dropped."""
-    df = spark.read.csv(path, header=False)
-    return df.select(F.input_file_name().alias("recording_id"), F.col("_c0").try_cast("double").alias("t_sec"), F.col("_c1").try_cast("double").alias("value")).where("t_sec is not null and value is not null")
+def read_headerless_trace(spark: SparkSession, path: str, pick: str = "second", fs: float | None = None) -> DataFrame:
+    """The same from files without a header; rows whose picked cells aren't numbers, headers among them, are dropped.
+
+    pick ``second``: time is column 1 and the value column 2. ``third``: the value is
+    column 3 of three or more, else column 1. ``last``: the last column. Of the latter
+    two, time is the row's number in its file over ``fs`` (null without fs); each
+    file's rows are numbered, in the order of the file, so files aren't split then.
+    """
+    if pick == "second":
+        df = spark.read.csv(path, header=False)
+        return df.select(F.input_file_name().alias("recording_id"), F.col("_c0").try_cast("double").alias("t_sec"), F.col("_c1").try_cast("double").alias("value")).where("t_sec is not null and value is not null")
+    if pick not in ("third", "last"):
+        raise ValueError("pick must be second, third or last")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("recording_id"), F.posexplode(F.split("value", "\r?\n")).alias("_i", "_line"))
+    cells = F.split("_line", ",")
+    cell = F.element_at(cells, -1) if pick == "last" else F.when(F.size(cells) >= 3, F.get(cells, F.lit(2))).otherwise(F.get(cells, F.lit(0)))
+    rows = whole.select("recording_id", "_i", F.trim(cell).try_cast("double").alias("value")).where("value is not null")
+    number = F.row_number().over(Window.partitionBy("recording_id").orderBy("_i")) - 1
+    return rows.select("recording_id", (number / F.lit(fs) if fs else F.lit(None).cast("double")).alias("t_sec"), "value")
 
 
 def with_time_axis(df: DataFrame, keys: Sequence[str], index: str, time: str, fs: float) -> DataFrame:
@@ -44,13 +59,24 @@ def read_eeg_text(spark: SparkSession, path: str, columns: Sequence[int] = (*ran
     return df.select(*(F.col(f"_c{i}").try_cast("double").alias(f"ch{i}") for i in columns))
 
 
-def read_wide_signal(spark: SparkSession, path: str, time: str = "time_from_stim_s", pattern: str = ".*") -> DataFrame:
-    """t_sec, channel, value from one column a channel."""
+def read_wide_signal(spark: SparkSession, path: str, time: str = "time_from_stim_s", pattern: str = ".*", before: float | None = None) -> DataFrame:
+    """t_sec, channel, value from one column a channel; with ``before``, samples before that time only, so that a scan can leave out the rest."""
     df = require(spark.read.csv(path, header=True, inferSchema=True), [time])
+    df = df if before is None else df.where(F.col(time) < before)
     names = [c for c in df.columns if c != time and re.search(pattern, c)]
     return df.unpivot([time], names, "channel", "value").withColumnRenamed(time, "t_sec")
 
 
+def aligned(df: DataFrame, time: str, onset: Column | float, fs: float | None = None, width: float | None = None, step: float | None = None, start: float = 0.0) -> DataFrame:
+    """``time`` counted from the onset. With fs the column is a sample number; with width and step it is a window's number, whose time is its centre, start + i * step + width / 2."""
+    at = F.col(time).cast("double")
+    if width is not None and step is not None:
+        at = F.lit(start) + at * step + width / 2
+    elif fs:
+        at = at / fs
+    return df.withColumn(time, at - onset)
+
+
 def read_clinical(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
     return require(spark.read.csv(path, header=True, inferSchema=True), required)
 

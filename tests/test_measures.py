@@ -1,10 +1,12 @@
 """Measures on small tables with odd rows."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from neurotab.functions import columns
-from neurotab.operators import cloud, evaluate, models, omics, sequence
+from neurotab.operators import cloud, evaluate, models, neighbours, omics, sequence, signal
+from neurotab.sources import tables
 
 
 def test_segments_by_six_bounds(spark):
@@ -72,3 +74,37 @@ def test_fills_filters_and_checks(spark):
     assert sorted(r.w for r in s.collect()) == [0.5, 0.5, 1.0]
     far = omics.centroid_distances(spark.createDataFrame([("QC", 0.0), ("a", 3.0), ("a", 5.0)], "g string, x double"), "g", ["x"], "QC")
     assert sorted((r.x, r.own, r.to_reference) for r in far.collect()) == [(0.0, 0.0, 0.0), (3.0, 1.0, 3.0), (5.0, 1.0, 5.0)]
+
+
+def test_augmentation_by_class_deviation_and_group(spark):
+    rows = [(i, "a", float(i), 0.0) for i in range(200)] + [(1000 + i, "b", 5.0, 1.0) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, g string, x double, y double")
+    got = {r.g: r.n for r in neighbours.proportional_copies(df, ["x", "y"], "id", "g", 600).where("synthetic").groupBy("g").agg(F.count("*").alias("n")).collect()}
+    assert abs(got["a"] - 280) < 40 and abs(got["b"] - 70) < 25
+    same = neighbours.proportional_copies(df, ["x", "y"], "id", "g", 600).where("synthetic and g = 'b'").select("x", "y").distinct().collect()
+    assert [tuple(r) for r in same] == [(5.0, 1.0)]  # a class without spread is copied as it is
+    mad = neighbours.mad_copies(df, ["x", "y"], 3, 0.1)
+    assert mad.count() == 1000 and mad.where("copy = 0").count() == 250 and mad.where("y <> 0 and y <> 1").count() == 0
+    made = neighbours.pseudo_samples(df, ["x", "y"], "g", 500).groupBy("g").agg(F.avg("x").alias("m"), F.stddev("x").alias("s"), F.count("*").alias("n")).collect()
+    a = {r.g: r for r in made}
+    assert a["a"].n == 500 and abs(a["a"].m - 99.5) < 10 and abs(a["a"].s - 57.9) < 8 and a["b"].m == 5.0
+    assert neighbours.proportional_copies(df.limit(0), ["x"], "id", "g", 10).count() == 0
+
+
+def test_trace_columns_and_aligned_times(spark, tmp_path):
+    (tmp_path / "three.csv").write_text("a,b,c\n0,1,10\n0,2,20\n\n0,3,bad\n")
+    (tmp_path / "one.csv").write_text("5\n6\n")
+    third = sorted((r.recording_id.rsplit("/", 1)[1], r.t_sec, r.value) for r in tables.read_headerless_trace(spark, str(tmp_path), "third", 2.0).collect())
+    assert third == [("one.csv", 0.0, 5.0), ("one.csv", 0.5, 6.0), ("three.csv", 0.0, 10.0), ("three.csv", 0.5, 20.0)]
+    last = tables.read_headerless_trace(spark, str(tmp_path / "three.csv"), "last").collect()
+    assert [(r.t_sec, r.value) for r in last] == [(None, 10.0), (None, 20.0)]
+    with pytest.raises(ValueError):
+        tables.read_headerless_trace(spark, str(tmp_path), "fifth")
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "wide.csv").write_text("time_from_stim_s,ch1,ch2\n0,1,2\n1,3,4\n2,5,6\n")
+    assert sorted((r.t_sec, r.channel, r.value) for r in tables.read_wide_signal(spark, str(tmp_path / "w"), before=2).collect()) == [(0, "ch1", 1), (0, "ch2", 2), (1, "ch1", 3), (1, "ch2", 4)]
+    i = spark.createDataFrame([(0,), (4,)], "i long")
+    assert [r.i for r in tables.aligned(i, "i", 1.0, fs=2.0).collect()] == [-1.0, 1.0]
+    assert [r.i for r in tables.aligned(i, "i", 10.0, width=2.0, step=0.5).collect()] == [-9.0, -7.0]
+    f, p = np.arange(6.0), np.ones(6)
+    assert signal.band_power(f, p, 1, 4) == 3 and signal.band_power(f, p, 1, 4, "strict") == 1
