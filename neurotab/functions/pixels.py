@@ -75,3 +75,33 @@ def stain_score(pixels: DataFrame, keys: list[str]) -> DataFrame:
     j = d.join(limits, keys)
     level = F.when(F.col("_d") >= F.col("_l")[2], 3).when(F.col("_d") >= F.col("_l")[1], 2).when(F.col("_d") >= F.col("_l")[0], 1).otherwise(0)
     return j.groupBy(*keys).agg(F.avg("_d").alias("mean_density"), F.sum(F.when(level > 0, F.col("_d"))).alias("integrated"), (F.sum(level) / F.count("*") * 100.0).alias("h_score"))
+
+
+def raw_density() -> Column:
+    """Optical density of DAB with its sign."""
+    return sum((w * -F.log10((F.col(c) + 1.0) / 256.0) for w, c in zip(DAB, "rgb")), F.lit(0.0))
+
+
+def polarised(pixels: DataFrame, keys: list[str], bright: bool = True, least: float = 1e-4) -> DataFrame:
+    """pixels with ``signal`` and ``method``: the density of the sign whose 99th percentile in tissue is larger (density+, the first of equal ones, or density-), at least 0.
+
+    Where neither percentile is over ``least`` the density has no range: then the
+    signal is how dark the pixel is, 1 - grey / 255 (method grey).
+    """
+    d = pixels.withColumn("_d", raw_density())
+    p99 = lambda c: F.percentile(F.when(tissue(bright), c), F.lit(0.99))
+    q = d.groupBy(*keys).agg(p99(F.col("_d")).alias("_up"), p99(-F.col("_d")).alias("_down"))
+    method = F.when(F.coalesce(F.greatest("_up", "_down"), F.lit(0.0)) <= least, "grey").when(F.col("_up") >= F.col("_down"), "density+").otherwise("density-")
+    j = d.join(q, keys).withColumn("method", method)
+    value = F.when(F.col("method") == "grey", 1 - grey() / 255.0).otherwise(F.greatest(F.when(F.col("method") == "density+", F.col("_d")).otherwise(-F.col("_d")), F.lit(0.0)))
+    return j.withColumn("signal", value).drop("_d", "_up", "_down")
+
+
+def red_green(pixels: DataFrame, keys: list[str], bright: bool = False) -> DataFrame:
+    """Area ratio, mean and integrated grey of red and of green tissue pixels (0 where there are none), and the ratios of their areas and integrals (eps 1e-6)."""
+    on = {c: colour_mask(c) & tissue(bright) for c in ("red", "green")}
+    sums = [f for c in on for f in (F.count(F.when(on[c], 1)).alias(f"_n_{c}"), F.coalesce(F.avg(F.when(on[c], grey())), F.lit(0.0)).alias(f"{c}_mean"), F.coalesce(F.sum(F.when(on[c], grey())), F.lit(0.0)).alias(f"{c}_integrated"))]
+    g = pixels.groupBy(*keys).agg(F.count(F.when(tissue(bright), 1)).alias("tissue"), *sums)
+    g = g.withColumns({f"{c}_area_ratio": F.col(f"_n_{c}") / (F.col("tissue") + 1e-9) for c in on})
+    both = {"rg_area": F.col("_n_red") / (F.col("_n_green") + 1e-6), "rg_intensity": F.col("red_integrated") / (F.col("green_integrated") + 1e-6)}
+    return g.withColumns(both).drop("_n_red", "_n_green")

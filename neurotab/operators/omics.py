@@ -163,3 +163,10 @@ def centroid_distances(df: DataFrame, group: str, names: Sequence[str], referenc
     far = lambda p: F.sqrt(sum(((F.col(c) - F.col(f"{p}{c}")) * (F.col(c) - F.col(f"{p}{c}")) for c in names), F.lit(0.0)))
     j = df.join(F.broadcast(centres), group).join(F.broadcast(origin), F.lit(True), "left")
     return j.withColumns({"own": far("_c_"), "to_reference": far("_r_")}).drop(*(f"_{p}_{c}" for p in "cr" for c in names))
+
+
+def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
+    """The first k rows of each key in an order, with ``place``: as the leftmost two of a group on a component, or a module's best by p."""
+    from pyspark.sql import Window
+
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= k)

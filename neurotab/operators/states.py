@@ -46,6 +46,15 @@ def decode_hmm(df: DataFrame, keys: Sequence[str], order: Sequence[str], names:
     return scan.decode(df, keys, order, names, model)
 
 
+def joint_states(parts: dict[str, DataFrame], keys: Sequence[str], order: Sequence[str], names: Sequence[str], k: int, steps: int = 30) -> tuple[dict, DataFrame]:
+    """A model fitted to all segments on one scale (``joint_scaled``), each segment of a key a sequence of its own, and their decoded rows with ``segment``."""
+    from neurotab.operators.models import joint_scaled
+
+    scaled = joint_scaled({n: d.select(*keys, *order, *names) for n, d in parts.items()}, names)
+    model = fit_hmm(scaled, [*keys, "segment"], order, names, k, steps)
+    return model, decode_hmm(scaled, [*keys, "segment"], order, names, model)
+
+
 def stationary(trans: DataFrame, keys: Sequence[str], source: str = "from_state", target: str = "to_state", prob: str = "prob") -> DataFrame:
     """Stationary share of each state of a transition table and its energy -ln(share + 1e-9); one small matrix a key."""
     kinds = ", ".join(f"{c} {trans.schema[c].dataType.simpleString()}" for c in keys)

@@ -120,6 +120,18 @@ def abundance(df: DataFrame, label: str = "Group", sample: str = "ID", name: str
     return out if keep_qc else out.where("group <> 'QC'")
 
 
+def point_features(df: DataFrame) -> DataFrame:
+    """x, y, z, feats from either array layout: coords (three numbers), e_field and anatomy (a number or an array each), or points (three numbers and then features); other columns are kept."""
+    if {"coords", "e_field", "anatomy"} <= set(df.columns):
+        parts = [F.col(c) if df.schema[c].dataType.typeName() == "array" else F.array(c) for c in ("e_field", "anatomy")]
+        place, feats, used = F.col("coords"), F.concat(*(p.cast("array<double>") for p in parts)), ("coords", "e_field", "anatomy")
+    elif "points" in df.columns:
+        place, feats, used = F.col("points"), F.slice("points", F.lit(4), F.greatest(F.size("points") - 3, F.lit(0))).cast("array<double>"), ("points",)
+    else:
+        raise ValueError("neither coords, e_field and anatomy nor points are there")
+    return df.select(*(c for c in df.columns if c not in used), *(F.get(place, F.lit(i)).cast("double").alias(n) for i, n in enumerate("xyz")), feats.alias("feats"))
+
+
 def points(df: DataFrame) -> DataFrame:
     """x, y, z by name whatever their case, else the first three columns."""
     by = {c.lower(): c for c in df.columns}

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from neurotab.functions import columns
+from neurotab.functions import columns, pixels, text
 from neurotab.operators import cloud, evaluate, models, neighbours, omics, sequence, signal
 from neurotab.sources import tables
 
@@ -108,3 +108,29 @@ def test_trace_columns_and_aligned_times(spark, tmp_path):
     assert [r.i for r in tables.aligned(i, "i", 10.0, width=2.0, step=0.5).collect()] == [-9.0, -7.0]
     f, p = np.arange(6.0), np.ones(6)
     assert signal.band_power(f, p, 1, 4) == 3 and signal.band_power(f, p, 1, 4, "strict") == 1
+
+
+def test_polarity_and_colour_ratios(spark):
+    brown, white, red, green = (120, 70, 30), (255, 255, 255), (200, 20, 20), (30, 200, 30)
+    rows = [("a", *brown)] * 50 + [("a", *white)] * 50 + [("b", *white)] * 5 + [("c", *red)] * 4 + [("c", *green)] * 2 + [("c", 0, 0, 0)]
+    p = spark.createDataFrame(rows, "o string, r int, g int, b int")
+    got = {(r.o, r.method) for r in pixels.polarised(p, ["o"]).select("o", "method").distinct().collect()}
+    assert ("b", "grey") in got and ("a", "density+") in got
+    assert pixels.polarised(p, ["o"]).where("signal < 0").count() == 0
+    c = {r.o: r for r in pixels.red_green(p, ["o"]).collect()}["c"]
+    assert c.tissue == 6 and c.red_area_ratio == pytest.approx(4 / 6) and c.rg_area == pytest.approx(2, abs=1e-5) and c.green_mean > c.red_mean
+    a = {r.o: r for r in pixels.red_green(p, ["o"]).collect()}["a"]
+    assert a.green_mean == 0 and a.rg_area > 1 or a.rg_area == 0
+
+
+def test_sexes_first_rows_and_point_layouts(spark):
+    s = spark.createDataFrame([(x,) for x in (" M", "Female", "男", "0", "x", None)], "s string").select(text.sex01(F.col("s")).alias("v"))
+    assert [r.v for r in s.collect()] == [1, 0, 1, 0, None, None]
+    df = spark.createDataFrame([("g", 3.0, 1), ("g", 1.0, 2), ("g", 2.0, 3), ("h", 9.0, 4)], "g string, pc1 double, i int")
+    assert sorted((r.i, r.place) for r in omics.first_by(df, ["g"], [F.col("pc1")], 2).collect()) == [(2, 1), (3, 2), (4, 1)]
+    a = spark.createDataFrame([("p", [1.0, 2.0, 3.0], 0.5, [7, 8])], "patient string, coords array<double>, e_field double, anatomy array<int>")
+    assert tuple(tables.point_features(a).first()) == ("p", 1.0, 2.0, 3.0, [0.5, 7.0, 8.0])
+    b = spark.createDataFrame([("p", [1.0, 2.0, 3.0, 4.0]), ("q", [1.0, 2.0])], "patient string, points array<double>")
+    assert [tuple(r) for r in tables.point_features(b).orderBy("patient").collect()] == [("p", 1.0, 2.0, 3.0, [4.0]), ("q", 1.0, 2.0, None, [])]
+    with pytest.raises(ValueError):
+        tables.point_features(df)

@@ -199,6 +199,14 @@ def test_hidden_states_over_chunks(spark):
     assert late["loglik"] > early["loglik"] and np.allclose(late["trans"].sum(1), 1)
 
 
+def test_states_of_segments_on_one_scale(spark):
+    r = np.random.default_rng(3)
+    of = lambda shift: spark.createDataFrame([(1, i, float(r.normal() + shift + 500 * (i % 40 >= 20))) for i in range(120)], "k int, i int, a double")
+    model, got = states.joint_states({"pre": of(0), "post": of(1)}, ["k"], ["i"], ["a"], 2, steps=4)
+    assert abs(model["means"][:, 0]).max() < 1.2 and got.count() == 240
+    assert {(x.segment, x.state) for x in got.where("i % 40 >= 20").select("segment", "state").distinct().collect()} == {("pre", 1), ("post", 1)}
+
+
 def _best_end(logb, model):
     score = np.log(model["start"]) + logb[0]
     for t in range(1, len(logb)):
