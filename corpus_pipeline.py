@@ -15,6 +15,12 @@ from neurotab.llm import language, neardup, packing, substrings
 from neurotab.llm.common import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+BATCH = 1000  # texts are long: so many rows at once between Spark and Python keep its buffers small
+
+
+def _lean(spark: SparkSession) -> None:
+    """Sets the rows of an Arrow batch for the session; results are read later, so it stays set."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,12 +28,14 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Learns from labelled rows that aren't held out; where no row is labelled, every document is rejected.
     """
+    _lean(spark)
     found = language.identify(docs.select(*COLUMNS), language.learn(docs)).where("lang_pred <> 'und'")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group alike to 0.8 in sets of five words; rows that repeat its id stay with it."""
+    _lean(spark)
     groups = neardup.groups(docs.select("doc_id", "text"))
     gone = groups.where("not kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
@@ -35,6 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes every string of 400 bytes that stands twice; documents of which nothing is left go."""
+    _lean(spark)
     left = substrings.deduplicate(docs, keep_text=True, more=("lang", "source"))
     return left.where("n_removed = 0 or n_bytes > n_removed").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
