@@ -84,9 +84,10 @@ def refractory(df: DataFrame, keys: Sequence[str], time: str, dead: float, bits:
     kinds = _kinds(chunks, keys)
 
     def summarise(batches):
-        for b, i, (t,) in _each(batches, ["_t"]):
-            entry, last = exits(t, dead)
-            yield pa.RecordBatch.from_pydict(_keyed(b, i, [*keys, "chunk"]) | {"entry": pa.array([entry]), "exit": pa.array([last])})
+        for b in batches:
+            maps = [exits(t, dead) for _, _, (t,) in _each([b], ["_t"])]
+            lists = {c: pa.array([m[i] for m in maps], pa.list_(pa.float64())) for i, c in enumerate(("entry", "exit"))}
+            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in [*keys, "chunk"]} | lists)
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, last, out = pdf.sort_values("chunk"), -np.inf, []
@@ -100,9 +101,11 @@ def refractory(df: DataFrame, keys: Sequence[str], time: str, dead: float, bits:
     before = maps.groupBy(*keys).applyInPandas(fold, ", ".join(filter(None, [kinds, "chunk long, last double"])))
 
     def walk(batches):
-        for b, i, (t,) in _each(batches, ["_t"]):
-            kept = t[kept_after(t, dead, b.column("last")[i].as_py())]
-            yield pa.RecordBatch.from_pydict({c: pa.array([b.column(c)[i].as_py()] * len(kept), b.schema.field(c).type) for c in keys} | {time: pa.array(kept, pa.float64())})
+        for b in batches:
+            before_ = b.column("last").to_pylist()
+            kept = [t[kept_after(t, dead, before_[i])] for _, i, (t,) in _each([b], ["_t"])]
+            at = pa.array(np.repeat(np.arange(b.num_rows), [len(k) for k in kept]))
+            yield pa.RecordBatch.from_pydict({c: b.column(c).take(at) for c in keys} | {time: pa.array(np.concatenate([np.zeros(0), *kept]))})
 
     return chunks.join(before, [*keys, "chunk"]).mapInArrow(walk, ", ".join(filter(None, [kinds, f"{time} double"])))
 
