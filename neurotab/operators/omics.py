@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from neurotab.sources.shared import parts, settled
+
 
 def relative_deviation(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Sample deviation over mean, in percent; null where the mean is 0 or one value is there."""
@@ -89,10 +91,18 @@ def class_density(edges: DataFrame, nodes: DataFrame, node: str, cls: str) -> Da
 
 
 def merge_tables(a: DataFrame, b: DataFrame, feature: str, sample: str, value: str) -> DataFrame:
-    """Features of both long tables; samples in both get the mean of what exists."""
-    both = a.select(feature).distinct().join(b.select(feature).distinct(), feature, "left_semi")
-    u = a.select(feature, sample, value).unionByName(b.select(feature, sample, value)).join(both, feature, "left_semi")
-    return u.groupBy(feature, sample).agg(F.avg(value).alias(value))
+    """Features of both long tables; samples in both get the mean of what exists.
+
+    Rows go to parts by feature before they are summed, in as many parts as the tables
+    need: (feature, sample) hardly repeats inside a part of a file, so sums made there
+    would be as many as its rows.
+    """
+    of = lambda d, side: d.select(feature, sample, value, F.lit(side).alias("_side")).where(F.col(feature).isNotNull())
+    u = of(a, 0).unionByName(of(b, 1))
+    g = u.repartition(parts(u), feature).groupBy(feature, sample).agg(F.avg(value).alias(value), F.min("_side").alias("_low"), F.max("_side").alias("_high"))
+    w = Window.partitionBy(feature)
+    both = g.withColumns({"_low": F.min("_low").over(w), "_high": F.max("_high").over(w)}).where("_low < _high")
+    return both.select(feature, sample, value)
 
 
 def sample_exactly(df: DataFrame, keys: Sequence[str], id: str, n: int, seed: int) -> DataFrame:

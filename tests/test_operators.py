@@ -251,3 +251,13 @@ def test_smoothing_of_equal_rows_and_short_series(spark):
         want = smooth([v for key, _, v in rows if key == k])
         assert np.allclose([r.m for r in sorted((r for r in got if r.k == k), key=lambda r: (r.t, r.m))], want)
     assert [r.m for r in got if r.k == "c"] == [None]
+
+
+def test_merged_tables_go_by_feature_unsummed(spark):
+    """Rows are dealt by feature before any sum, and features of one table, or of none, are left out."""
+    a = spark.createDataFrame([("x", 1, 1.0), ("x", 1, 2.0), ("y", 1, 5.0), (None, 1, 9.0), ("z", 2, None)], "f string, s int, v double")
+    b = spark.createDataFrame([("x", 1, 6.0), ("x", 2, 7.0), (None, 1, 9.0), ("z", 3, 4.0)], "f string, s int, v double")
+    got = omics.merge_tables(a, b, "f", "s", "v")
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")
+    assert len(plan) == 2 and "HashAggregate" in plan[0] and "HashAggregate" not in plan[1]
+    assert {(r.f, r.s): r.v for r in got.collect()} == {("x", 1): 3.0, ("x", 2): 7.0, ("z", 2): None, ("z", 3): 4.0}
