@@ -106,12 +106,23 @@ def merge_tables(a: DataFrame, b: DataFrame, feature: str, sample: str, value: s
 
 
 def sample_exactly(df: DataFrame, keys: Sequence[str], id: str, n: int, seed: int) -> DataFrame:
-    """n rows of each key: without replacement if it has so many, else all and some of them again."""
-    w = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), id), id)
-    d = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    """n rows of each key: without replacement if it has so many, else all and some of them again.
+
+    Counts of ranges of the hash, 65,536 a key, say which ranges hold a key's n
+    smallest hashes; only rows of these are put in order.
+    """
+    d = df.withColumns({"_h": F.xxhash64(F.lit(seed), id), "_r": F.shiftright(F.xxhash64(F.lit(seed), id), 48)})
+    key = F.struct(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys))).alias("_key")
+    before = Window.partitionBy("_key").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = d.groupBy(key, "_r").agg(F.count("*").alias("_c")).withColumns({"_b": F.coalesce(F.sum("_c").over(before), F.lit(0)), "_n": F.sum("_c").over(Window.partitionBy("_key"))})
+    cut = settled(sizes.where(F.col("_b") < n).groupBy("_key").agg(F.max("_r").alias("_last"), F.first("_n").alias("_n")))
+    few = cut.limit(10_001).count() <= 10_000  # a row a key
+    d = d.join(F.broadcast(cut) if few else cut, key.eqNullSafe(F.col("_key")) & (F.col("_r") <= F.col("_last")))
+    d = d.withColumn("_i", F.row_number().over(Window.partitionBy("_key").orderBy("_h", id)) - 1).where(F.col("_i") < n)
     # row i of m stands for slots i, i + m, i + 2m .. under n
-    copies = F.when(F.col("_i") < n, F.floor((n - 1 - F.col("_i")) / F.col("_n")) + 1).otherwise(0)
-    return d.withColumn("_c", copies.cast("int")).where("_c > 0").withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_c") - 1))).withColumn("slot", (F.col("_i") + F.col("_k") * F.col("_n")).cast("long")).drop("_i", "_n", "_c", "_k")
+    copies = F.floor((n - 1 - F.col("_i")) / F.col("_n")) + 1
+    d = d.withColumn("_k", F.explode(F.sequence(F.lit(0), copies.cast("int") - 1))).withColumn("slot", (F.col("_i") + F.col("_k") * F.col("_n")).cast("long"))
+    return d.select(*df.columns, "slot")
 
 
 def significant(df: DataFrame, p: str, vip: str, p_below: float = 0.05, vip_least: float = 1.0, classes: Sequence[str] = (), regulation: str | None = None) -> DataFrame:

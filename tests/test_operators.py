@@ -261,3 +261,16 @@ def test_merged_tables_go_by_feature_unsummed(spark):
     plan = got._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")
     assert len(plan) == 2 and "HashAggregate" in plan[0] and "HashAggregate" not in plan[1]
     assert {(r.f, r.s): r.v for r in got.collect()} == {("x", 1): 3.0, ("x", 2): 7.0, ("z", 2): None, ("z", 3): 4.0}
+
+
+def test_samples_of_a_key_are_its_smallest_hashes(spark):
+    """The rows are those of smallest hash, null keys included, and no window orders all rows of a key."""
+    from pyspark.sql import Window
+
+    df = spark.range(5000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"))
+    got = omics.sample_exactly(df, ["k"], "id", 20, 3)
+    place = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64(F.lit(3), "id"), "id")) - 1
+    want = df.withColumn("slot", place).where("slot < 20")
+    key = lambda r: (r.k or 0, r.slot, r.id)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    assert "_last" in got._jdf.queryExecution().optimizedPlan().toString()  # ranges of the hash are chosen before the order
