@@ -52,15 +52,26 @@ def flows(df: DataFrame, source: str, middle: str, target: str, k: int) -> DataF
     return j.groupBy(source, F.when(F.col("_m").isNull(), "Other").otherwise(F.col("_m")).alias(middle), target).agg(F.count("*").alias("n"))
 
 
-def pathway_evidence(members: DataFrame, hits: DataFrame, pathway: str, member: str, name: str, most: int = 5) -> DataFrame:
-    """Distinct members and hits of each pathway with any hit, their share, and up to five supporting names in order."""
+def pathway_evidence(members: DataFrame, hits: DataFrame, pathway: str, member: str, name: str, most: int = 5, names: DataFrame | None = None) -> DataFrame:
+    """Distinct members and hits of each pathway with any hit, their share, and up to five supporting names in order.
+
+    ``names`` has a row for each member and its name where members don't carry them;
+    members without one are left out, and only hits are joined with their names.
+    """
     h = hits.select(F.col(member)).distinct().withColumn("_hit", F.lit(True))
-    j = members.dropDuplicates([pathway, member]).join(h, member, "left")
+    # dealt by member before anything is told apart: pairs hardly repeat inside a part of a file
+    m = members.repartition(parts(members), member)
+    if names is None:
+        m = m.dropDuplicates([pathway, member])
+    else:
+        m = m.select(pathway, member).distinct().join(names, member, "left_semi")
+    j = m.join(h, member, "left")
+    hit = j.where("_hit") if names is None else j.where("_hit").join(names.select(member, name), member)
     # names of the smallest members only are kept while aggregating, so a pathway of any size stays small
-    best = j.where("_hit").select(pathway, name).distinct().withColumn("_r", F.row_number().over(Window.partitionBy(pathway).orderBy(name))).where(F.col("_r") <= most)
-    names = best.groupBy(pathway).agg(F.array_join(F.array_sort(F.collect_list(name)), ";").alias("support"))
+    best = hit.select(pathway, name).distinct().withColumn("_r", F.row_number().over(Window.partitionBy(pathway).orderBy(name))).where(F.col("_r") <= most)
+    support = best.groupBy(pathway).agg(F.array_join(F.array_sort(F.collect_list(name)), ";").alias("support"))
     g = j.groupBy(pathway).agg(F.count("*").alias("n_members"), F.count("_hit").alias("n_hits"))
-    return g.where("n_hits > 0").withColumn("share", F.col("n_hits") / F.col("n_members")).join(names, pathway)
+    return g.where("n_hits > 0").withColumn("share", F.col("n_hits") / F.col("n_members")).join(support, pathway)
 
 
 def concordance(a: DataFrame, b: DataFrame, feature: str, p: str, effect: str, alpha: float = 0.05) -> DataFrame:

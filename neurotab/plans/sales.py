@@ -149,9 +149,10 @@ def taxonomy_counts(spark, sf):
 j AS (SELECT m.*, p_name, h.l_partkey IS NOT NULL hit FROM m JOIN part ON m.l_partkey=p_partkey LEFT JOIN h USING (l_partkey))
 SELECT l_suppkey, count(*) n_members, count(CASE WHEN hit THEN 1 END) n_hits, round(count(CASE WHEN hit THEN 1 END)/count(*)::double, 6) "share", array_to_string(list_sort(list(DISTINCT p_name) FILTER (hit))[1:5], ';') support FROM j GROUP BY 1 HAVING n_hits>0""")
 def supplier_evidence(spark, sf):
-    m = lineitem(spark, sf).select("l_suppkey", "l_partkey").distinct().join(part(spark, sf).select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    m = lineitem(spark, sf).select("l_suppkey", "l_partkey")
+    names = part(spark, sf).select(F.col("p_partkey").alias("l_partkey"), "p_name")
     hits = lineitem(spark, sf).where("l_returnflag = 'R' and l_quantity >= 48")
-    return _rounded(omics.pathway_evidence(m, hits, "l_suppkey", "l_partkey", "p_name"), "share")
+    return _rounded(omics.pathway_evidence(m, hits, "l_suppkey", "l_partkey", "p_name", names=names), "share")
 
 
 FC = "SELECT l_partkey, avg(CASE WHEN l_returnflag='R' THEN l_quantity END)-avg(CASE WHEN l_returnflag<>'R' THEN l_quantity END) e, count(*) n FROM lineitem WHERE l_linestatus='{}' GROUP BY 1"

@@ -274,3 +274,12 @@ def test_samples_of_a_key_are_its_smallest_hashes(spark):
     key = lambda r: (r.k or 0, r.slot, r.id)
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
     assert "_last" in got._jdf.queryExecution().optimizedPlan().toString()  # ranges of the hash are chosen before the order
+
+
+def test_evidence_deals_members_before_telling_them_apart(spark):
+    """Repeated pairs count once, members without a name are left out, and no sum is made before the exchange by member."""
+    m = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (1, "z"), (2, "b"), (3, "a"), (3, None)], "p int, m string")
+    hits, names = m.where("m = 'a'").select("m"), spark.createDataFrame([("a", "A"), ("b", "B")], "m string, name string")
+    got = omics.pathway_evidence(m, hits, "p", "m", "name", names=names)
+    assert sorted((r.p, r.n_members, r.n_hits, r.share, r.support) for r in got.collect()) == [(1, 2, 1, 0.5, "A"), (3, 1, 1, 1.0, "A")]
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
