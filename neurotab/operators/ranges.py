@@ -12,10 +12,10 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from neurotab.sources.shared import settled
+from neurotab.sources.shared import parts, settled
 
 
 def interval_join(events: DataFrame, samples: DataFrame, keys: Sequence[str], at: str, time: str, before: float, after: float, width: float | None = None) -> DataFrame:
@@ -62,18 +62,23 @@ def knn_join(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int
     """The k nearest right rows of each left row, or all if there are fewer, with ``rank`` and ``dist``.
 
     A ring of cells is searched; a left row is settled if its k-th distance lies
-    within the ring, and the rest is searched again with cells twice as wide. Rows
+    within the ring, and the rest is searched again with cells twice as wide. The
+    first cells are ``start`` wide, or narrower where so many right rows share cells
+    that pairs would grow with their square; of right rows at one place only the k
+    first by key can be among the nearest, so no others are searched. Rows
     without key or with a place that isn't finite have no neighbour and are no
     neighbours; with no right row the result has no row.
     """
-    finite = reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(c) < float("inf")) for c in names))
+    finite = _finite(names)
     right = right.where(finite)
     n = right.count()
     if not n:
         return radius_join(left.where(finite & F.col(key).isNotNull()), right, start, names=names).withColumn("rank", F.lit(1))
+    here = Window.partitionBy(*(F.col(c) + 0.0 for c in names)).orderBy(right_key)  # -0.0 + 0.0 is 0.0
+    right = settled(right.withColumn("_r", F.row_number().over(here)).where(F.col("_r") <= k).drop("_r"))
+    size, done = _fitting(right, start, names, 4 * k), None
     # rows are numbered, so rows that repeat a key have k neighbours each
     open_ = settled(left.where(finite & F.col(key).isNotNull()).withColumn("_row", F.monotonically_increasing_id()))
-    size, done = start, None
     order = Window.partitionBy("_row").orderBy("dist", f"{right_key}_r")
     while True:
         near = radius_join(open_, right, size, names=names).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -125,3 +130,18 @@ def kernel_surface(df: DataFrame, x: str, y: str, z: str, nodes: Sequence[tuple[
     parts = known.mapInPandas(sums, "x double, y double, w double, wz double")
     total = parts.groupBy("x", "y").agg(F.sum("w").alias("w"), F.sum("wz").alias("wz"))
     return total.select("x", "y", F.when(F.col("w") > 0, F.col("wz") / F.col("w")).alias("z"))
+
+
+def _finite(names: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(c) < float("inf")) for c in names))
+
+
+def _fitting(df: DataFrame, size: float, names: Sequence[str], each: int) -> float:
+    """The size, halved until the pairs that share a cell are at most ``each`` a row of df (or cells hold one place each)."""
+    for _ in range(40):
+        cells = df.groupBy(*(F.floor(F.col(c) / size) for c in names)).agg(F.count("*").alias("n"))
+        pairs, rows = cells.agg(F.sum(F.col("n").cast("double") * F.col("n")), F.sum("n")).first()
+        if pairs is None or pairs <= each * rows:
+            break
+        size /= 2
+    return size

@@ -283,3 +283,15 @@ def test_evidence_deals_members_before_telling_them_apart(spark):
     got = omics.pathway_evidence(m, hits, "p", "m", "name", names=names)
     assert sorted((r.p, r.n_members, r.n_hits, r.share, r.support) for r in got.collect()) == [(1, 2, 1, 0.5, "A"), (3, 1, 1, 1.0, "A")]
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dense_neighbours_start_in_narrow_cells(spark):
+    """Cells are narrowed until pairs are few, and the neighbours of crowded, repeated and lonely points are exact."""
+    rng = np.random.default_rng(4)
+    p = np.concatenate([rng.normal(0, 0.01, (300, 3)), np.tile([[0.02, 0.0, -0.0]], (60, 1)), rng.uniform(-5, 5, (20, 3))])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], "id int, x double, y double, z double")
+    assert ranges._fitting(df, 0.5, ("x", "y", "z"), 12) < 0.05
+    got = {(r.id, r["rank"]): r.id_r for r in ranges.knn_join(df, df, "id", "id", 3, 0.5).collect()}
+    for i, v in enumerate(p):
+        d = np.sqrt(((p - v) ** 2) @ np.ones(3))
+        assert [got[i, r] for r in (1, 2, 3)] == list(np.lexsort((np.arange(len(p)), d))[:3])
