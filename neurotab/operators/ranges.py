@@ -58,6 +58,21 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, strict: bool =
     return j.withColumn("dist", dist).where(dist < radius if strict else dist <= radius).drop("_cell")
 
 
+def _finite(names: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(c) < float("inf")) for c in names))
+
+
+def _fitting(df: DataFrame, size: float, names: Sequence[str], each: int) -> float:
+    """The size, halved until the pairs that share a cell are at most ``each`` a row of df (or cells hold one place each)."""
+    for _ in range(40):
+        cells = df.groupBy(*(F.floor(F.col(c) / size) for c in names)).agg(F.count("*").alias("n"))
+        pairs, rows = cells.agg(F.sum(F.col("n").cast("double") * F.col("n")), F.sum("n")).first()
+        if pairs is None or pairs <= each * rows:
+            break
+        size /= 2
+    return size
+
+
 def knn_join(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int, start: float, names: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """The k nearest right rows of each left row, or all if there are fewer, with ``rank`` and ``dist``.
 
@@ -91,6 +106,39 @@ def knn_join(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int
         size *= 2
 
 
+def first_within(left: DataFrame, right: DataFrame, radius: float, key: str, right_key: str, n: int, names: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """(key, <right_key>_r): of the right rows within the radius of a left key the n smallest by key, without forming the others.
+
+    Right rows come in order of their key, in slices that double; a left key takes
+    part until it has n. Where many rows lie within the radius the first slices
+    settle a key, so pairs don't grow with the square of a dense place.
+    """
+    hit = f"{right_key}_r"
+    r = right.where(_finite(names) & F.col(right_key).isNotNull()).select(F.col(right_key).alias(hit), *(F.col(c).alias(f"{c}_r") for c in names))
+    ranges = min(parts(r, 1_000), 2_000)
+    r = settled(r.repartitionByRange(ranges, hit).withColumn("_range", F.spark_partition_id()))
+    kind = F.array().cast(f"array<{right.schema[right_key].dataType.simpleString()}>")
+    open_, done, low, high = left.where(_finite(names) & F.col(key).isNotNull()).select(key, *names).withColumn("_ids", kind), [], 0, 1
+    while low < ranges:
+        part = r.where((F.col("_range") >= low) & (F.col("_range") < high))
+        # the smaller side goes to all cells around
+        if part.count() < open_.count():
+            j = _cells(open_, radius, False, names).join(_cells(part, radius, True, [f"{c}_r" for c in names]), "_cell")
+        else:
+            j = _cells(open_, radius, True, names).join(_cells(part, radius, False, [f"{c}_r" for c in names]), "_cell")
+        d2 = sum(((F.col(c) - F.col(f"{c}_r")) * (F.col(c) - F.col(f"{c}_r")) for c in names), F.lit(0.0))
+        g = j.where(F.sqrt(d2) <= radius).groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_set(hit)).alias("_new"))
+        now = settled(open_.join(g, F.col(key) == F.col("_key"), "left").select(key, *names, F.slice(F.concat("_ids", F.coalesce("_new", kind)), 1, n).alias("_ids")))
+        done.append(now.where(F.size("_ids") >= n))
+        open_ = now.where(F.size("_ids") < n)
+        if not open_.limit(1).count():
+            break
+        low, high = high, min(2 * high, ranges)
+        if low == high:
+            break
+    return reduce(DataFrame.unionByName, [*done, open_]).select(key, F.explode("_ids").alias(hit)).distinct()
+
+
 def pad_groups(hits: DataFrame, key: str, right_key: str, n: int) -> DataFrame:
     """The first n hits of each key by right_key; short groups repeat their first hit."""
     ids = F.slice(F.array_sort(F.collect_set(right_key)), 1, n)
@@ -130,18 +178,3 @@ def kernel_surface(df: DataFrame, x: str, y: str, z: str, nodes: Sequence[tuple[
     parts = known.mapInPandas(sums, "x double, y double, w double, wz double")
     total = parts.groupBy("x", "y").agg(F.sum("w").alias("w"), F.sum("wz").alias("wz"))
     return total.select("x", "y", F.when(F.col("w") > 0, F.col("wz") / F.col("w")).alias("z"))
-
-
-def _finite(names: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(c) < float("inf")) for c in names))
-
-
-def _fitting(df: DataFrame, size: float, names: Sequence[str], each: int) -> float:
-    """The size, halved until the pairs that share a cell are at most ``each`` a row of df (or cells hold one place each)."""
-    for _ in range(40):
-        cells = df.groupBy(*(F.floor(F.col(c) / size) for c in names)).agg(F.count("*").alias("n"))
-        pairs, rows = cells.agg(F.sum(F.col("n").cast("double") * F.col("n")), F.sum("n")).first()
-        if pairs is None or pairs <= each * rows:
-            break
-        size /= 2
-    return size

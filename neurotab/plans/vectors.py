@@ -39,7 +39,7 @@ def knn_fusion(spark, sf):
 SELECT vec_id, slot, coalesce(ids[slot+1], ids[1]) hit FROM g, (SELECT unnest(range(0,4)) slot)""")
 def radius_groups(spark, sf):
     p = points(spark, sf)
-    h = ranges.radius_join(p, p, 0.08)
+    h = ranges.first_within(p, p, 0.08, "vec_id", "vec_id", 4)
     g = ranges.pad_groups(h.select("vec_id", F.col("vec_id_r").alias("hit")), "vec_id", "hit", 4)
     return g.select("vec_id", F.col("slot").cast("long").alias("slot"), "hit")
 

@@ -295,3 +295,17 @@ def test_dense_neighbours_start_in_narrow_cells(spark):
     for i, v in enumerate(p):
         d = np.sqrt(((p - v) ** 2) @ np.ones(3))
         assert [got[i, r] for r in (1, 2, 3)] == list(np.lexsort((np.arange(len(p)), d))[:3])
+
+
+def test_first_within_are_the_smallest_keys(spark):
+    """The n smallest keys within the radius, of crowded places, of few hits and of none; places that aren't finite have none."""
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.normal(0, 0.02, (2500, 3)), rng.uniform(-1, 1, (200, 3))])[rng.permutation(2700)]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)] + [(9000, float("nan"), 0.0, 0.0)], "id int, x double, y double, z double")
+    few = df.where("id % 9 = 0")
+    got = {}
+    for r in ranges.first_within(few, df, 0.1, "id", "id", 4).collect():
+        got.setdefault(r.id, []).append(r.id_r)
+    for i in range(0, 2700, 9):
+        assert sorted(got[i]) == list(np.flatnonzero(np.sqrt(((p - p[i]) ** 2) @ np.ones(3)) <= 0.1)[:4])
+    assert 9000 not in got
