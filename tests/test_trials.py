@@ -275,3 +275,15 @@ def test_prognosis(spark):
     filled = prognosis.ChainedImputer(["pre", "a"], 3).fit(df)
     got = filled.transform(df).where("id % 9 = 0").selectExpr("avg(abs(pre - 10 - a)) e").first().e
     assert got < 0.05
+
+
+def test_neighbours_far_from_the_origin_are_decided_by_differences(spark):
+    """Squared distances by products err here by more than the points are apart; blocks are bounded by pairs, not by queries."""
+    rng = np.random.default_rng(6)
+    p = 1e6 + np.concatenate([rng.normal(0, 1e-3, (150, 4)), np.zeros((20, 4))])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], "id int, a double, b double, c double, d double")
+    got = {(r.id, r["rank"]): r.id_r for r in neighbours.nearest(df, df, "id", "id", list("abcd"), 3, pivots=4).collect()}
+    for i, v in enumerate(p):
+        d = np.sqrt(sum((p[:, k] - v[k]) ** 2 for k in range(4)))
+        assert [got[i, r] for r in (1, 2, 3)] == list(np.lexsort((np.arange(len(p)), d))[:3])
+    assert neighbours.PAIRS * 8 <= 64 << 20
