@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from neurotab.llm import language, neardup, packing, substrings
-from neurotab.llm.common import Scratch
+from neurotab.llm.common import Scratch, perhaps_among
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BATCH = 1000  # texts are long: so many rows at once between Spark and Python keep its buffers small
@@ -38,7 +38,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     _lean(spark)
     groups = neardup.groups(docs.select("doc_id", "text"))
     gone = groups.where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    marked = perhaps_among(docs.select(*COLUMNS), F.col("doc_id").cast("long"), gone)  # texts that stay aren't shuffled
+    return marked.where("not perhaps").select(*COLUMNS).union(marked.where("perhaps").select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS))
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

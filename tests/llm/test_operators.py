@@ -418,3 +418,13 @@ def test_odd_sketches_keep_similar_sets(spark):
     got = {x.pair: x.keep for x in both.select("pair", keep.alias("keep")).collect()}
     assert all(got[i] for i in range(800) if alike[i])
     assert sum(got[i] for i in range(800) if not alike[i]) < 60
+
+
+def test_filter_before_a_join_loses_no_key(spark):
+    from neurotab.llm.common import perhaps_among
+
+    ids = spark.createDataFrame([(i,) for i in range(0, 60_000, 20)] + [(None,)], "i long")
+    rows = spark.range(60_000).union(spark.createDataFrame([(None,)], "id long"))
+    got = {r.id: r.perhaps for r in perhaps_among(rows, F.col("id"), ids, 16).collect()}
+    assert len(got) == 60_001 and got[None] is False and all(got[i] for i in range(0, 60_000, 20))
+    assert sum(got.values()) < 3000 + 0.1 * 57_000
