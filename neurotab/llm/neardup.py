@@ -39,13 +39,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neurotab.llm.common import Scratch, components, ship
+from neurotab.llm.common import Scratch, components, perhaps_among, ship
 from neurotab.llm.tokens import grouped
 
 SKETCH, RUN, LONG, LEAST_ESTIMATE = 48, 3, 64, 0.54
 MISS = 1e-6  # chance that two large sets at the threshold have no run in common
 WIDE, SLACK, SALTS, PART = 512, 0.1, 16, 256  # values of members of long lists, and what their shared share may lack; parts of a long list, at least so many members each
 ODD = 1024  # bits of an odd sketch
+PLACES = 24  # bits of the most places at which values are counted
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _BLANK = np.zeros(256, bool)
@@ -194,7 +195,8 @@ def _fits(pairs: DataFrame, percent: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(id, n, s) for the documents (id, set_id) wanted: size of the set, and as bytes all its hashes in order."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id").select("id", "set_id", "text")
+    texts = perhaps_among(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), F.col("id"), wanted.select("id"))
+    texts = texts.where("perhaps").join(wanted, "id").select("id", "set_id", "text")
 
     def run(batches):
         for batch in batches:
@@ -262,6 +264,77 @@ def verify(scratch: Scratch, near: DataFrame, sets: DataFrame, percent: int) ->
     return links
 
 
+def value_classes(wide: DataFrame) -> np.ndarray:
+    """How many sets hold a value, as a class of one byte for each place that hashed values have: 0 for one set at most, else it rises with the logarithm.
+
+    Each task sends the places of its values with their numbers as arrays, and a
+    place's sum is at least the number of each of its values. The places are as many
+    as there are values, 2^``PLACES`` at most, so what the driver gets is bounded.
+    """
+    total = wide.agg(F.sum(F.size("s"))).first()[0] or 1
+    bits = min(PLACES, max(16, int(total).bit_length()))
+    cut = bits - 8  # 256 blocks of places
+
+    def count(batches):
+        at, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            more = batch.column(0).flatten().to_numpy() & ((1 << bits) - 1)
+            at, where = np.unique(np.concatenate([at, more]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([n, np.ones(len(more), np.int64)])).astype(np.int64)
+            if len(at) > 1 << 21:
+                yield out(at, n)
+                at, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(at):
+            yield out(at, n)
+
+    def out(at, n):
+        blocks, first = np.unique(at >> cut, return_index=True)
+        own = [slice(a, b) for a, b in zip(first, [*first[1:], len(at)])]
+        lists = [pa.array([v[s].astype(np.int32) for s in own], pa.list_(pa.int32())) for v in (at & ((1 << cut) - 1), n)]
+        return pa.RecordBatch.from_arrays([pa.array(blocks), *lists], ["block", "at", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        at, n = (table[c].combine_chunks().flatten().to_numpy() for c in ("at", "n"))
+        held = np.bincount(at, n, 1 << cut)
+        classes = np.where(held > 1, np.minimum(255, np.ceil(8 * np.log2(np.maximum(held, 1)))), 0).astype(np.uint8)
+        return pa.table({"block": pa.array([table["block"][0].as_py()]), "classes": pa.array([classes.tobytes()], pa.binary())})
+
+    parts = wide.select("s").mapInArrow(count, "block long, at array<int>, n array<int>").groupBy("block").applyInArrow(add, "block long, classes binary")
+    classes = np.zeros(1 << bits, np.uint8)
+    for r in parts.collect():
+        classes[r.block << cut : (r.block + 1) << cut] = np.frombuffer(r.classes, np.uint8)
+    return classes
+
+
+def prefixes(wide: DataFrame, percent: int) -> DataFrame:
+    """(v, id, n, i, o0, o1, ...): the values that a set is listed by, with their places i in the order of all its values and its odd sketch.
+
+    The order is one of all values, from those that few sets hold to those that many
+    hold. A value that no other set holds takes its place in the order but isn't listed.
+    """
+    classes = wide.sparkSession.sparkContext.broadcast(value_classes(wide))
+    odd = [f"o{k}" for k in range(ODD // 64)]
+
+    def run(batches):
+        table = classes.value
+        for batch in batches:
+            found, places = [], []
+            for n, s in zip(batch.column(1).to_pylist(), batch.column(2)):
+                v = s.values.to_numpy()
+                whole = n + (-percent * n // 100) + 1 if n <= WIDE else 0
+                part = min(n, WIDE) - int((percent / 100 - SLACK) * WIDE) + 1 if 100 * n > percent * WIDE else 0
+                of = table[v & (len(table) - 1)]
+                first = np.lexsort((v, of))[: max(whole, part)]
+                places.append(np.flatnonzero(of[first]))
+                found.append(v[first[places[-1]]])
+            row = pa.array(np.repeat(np.arange(len(found)), [len(v) for v in found]))
+            words = np.array(batch.column(3).to_pylist(), np.int64).reshape(-1, len(odd)).T
+            own = [pa.array(np.ascontiguousarray(w)).take(row) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate([np.zeros(0, np.int64), *places]), pa.int32()), *own], ["v", "id", "n", "i", *odd])
+
+    return wide.select("id", "n", "s", "odd").mapInArrow(run, ", ".join(["v long, id long, n long, i int", *(f"{o} long" for o in odd)]))
+
+
 def across(scratch: Scratch, long: DataFrame, reached: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that may be similar, of members of long lists with several components, not in one component yet.
 
@@ -281,18 +354,10 @@ def across(scratch: Scratch, long: DataFrame, reached: DataFrame, sets: DataFram
     members = scratch.cut(labels.join(mixed, "key").select("id", "component").distinct())
     wide = scratch.cut(smallest(sets.join(members.select("id"), "id", "left_semi"), WIDE))
     scratch.drop(labels, mixed)
-    values = wide.select("id", F.explode("s").alias("v"))
-    counts = scratch.cut(values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"))
-    held = F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "v")))
-    ordered = values.join(counts, "v", "left").groupBy("id").agg(held.alias("o"))
-    n = F.col("n")
-    of_whole = F.when(n <= WIDE, n - F.ceil(F.lit(percent) * n / 100) + 1).otherwise(0)
-    of_part = F.when(100 * n > percent * WIDE, F.least(n, F.lit(WIDE)) - int((percent / 100 - SLACK) * WIDE) + 1).otherwise(0)
-    prefix = F.slice("o", F.lit(1), F.greatest(of_whole, of_part).cast("int"))
     words = range(ODD // 64)
-    odd = [F.col("odd")[k].alias(f"o{k}") for k in words]
-    rows = ordered.join(wide.select("id", "n", *odd), "id").join(members, "id").select("id", "n", "component", *(f"o{k}" for k in words), F.posexplode(prefix).alias("i", "e"))
-    listed = scratch.cut(rows.where("e.c > 1").select(F.col("e.v").alias("v"), "id", "n", "i", "component", *(f"o{k}" for k in words)))
+    odd = [f"o{k}" for k in words]
+    rows = prefixes(wide, percent).join(members, "id")
+    listed = scratch.cut(rows.select("v", "id", "n", "i", "component", *odd))
     sizes = listed.groupBy("v", "component").agg(F.count("*").alias("m"))
     heads = sizes.groupBy("v").agg(F.max(F.struct("m", "component")).alias("h"), F.count("*").alias("k"), F.sum("m").alias("members")).where("k > 1")
     heads = scratch.cut(heads.select("v", F.col("h.component").alias("head"), F.least(F.lit(SALTS), F.ceil(F.col("members") / PART)).cast("int").alias("parts")))
@@ -308,7 +373,7 @@ def across(scratch: Scratch, long: DataFrame, reached: DataFrame, sets: DataFram
     close = odd_fits(*([F.col(f"{side}{k}") for k in words] for side in "xy"), F.col("n_a"), F.col("n_b"), percent)
     found = x.join(y, ["v", "part"]).where(other & fits & placed & close)
     more = scratch.cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    scratch.drop(wide, counts, listed, heads)
+    scratch.drop(wide, listed, heads)
     return more
 
 
@@ -325,9 +390,11 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     pairs, long = candidates(scratch, reps, percent)
     near = estimated(scratch, pairs, reps)
     scratch.drop(pairs)
-    # texts are shuffled once, for all sets that pairs and long lists need
+    # texts are shuffled once, for all sets that pairs and long lists need, and few others
     wanted = near.select(F.col("a").alias("id")).union(near.select("b")).union(long.select("id")).distinct()
-    whole = scratch.cut(full_sets(docs, wanted.join(reps.select("id", "set_id"), "id"), size))
+    wanted = scratch.cut(wanted.join(reps.select("id", "set_id"), "id"))
+    whole = scratch.cut(full_sets(docs, wanted, size))
+    scratch.drop(wanted)
     links = verify(scratch, near, whole, percent)
     reached = components(scratch, links)
     if long.limit(1).count():

@@ -428,3 +428,21 @@ def test_filter_before_a_join_loses_no_key(spark):
     got = {r.id: r.perhaps for r in perhaps_among(rows, F.col("id"), ids, 16).collect()}
     assert len(got) == 60_001 and got[None] is False and all(got[i] for i in range(0, 60_000, 20))
     assert sum(got.values()) < 3000 + 0.1 * 57_000
+
+
+def test_values_of_long_lists_are_listed_by_prefix_only(spark):
+    """Of sets that share a passage, few values are listed and never the passage; sets alike to 0.8 share one."""
+    from neurotab.llm import neardup
+
+    r = np.random.default_rng(5)
+    passage = r.integers(-(2**63), 2**63 - 1, 20, dtype=np.int64)
+    rows = []
+    for i in range(300):
+        own = r.integers(-(2**63), 2**63 - 1, 80, dtype=np.int64)
+        rows += [(2 * i, np.concatenate([passage, own])), (2 * i + 1, np.concatenate([passage, own[:72], own[:8] + 1]))]
+    sets = spark.createDataFrame([(i, len(s), bytearray(np.sort(s).tobytes())) for i, s in rows], "id long, n long, s binary")
+    by: dict = {}
+    for x in neardup.prefixes(neardup.smallest(sets, neardup.WIDE), 80).collect():
+        by.setdefault(x.id, set()).add(x.v)
+    assert all(by[2 * i] & by[2 * i + 1] for i in range(300))
+    assert sum(map(len, by.values())) <= 0.21 * sum(len(s) for _, s in rows) and not any(v & set(passage.tolist()) for v in by.values())
