@@ -10,11 +10,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from neurotab.operators.order import before, least_from_here
+from neurotab.sources.shared import parts, settled
 
 
 def _beta_fraction(a, b, x):
@@ -215,6 +217,20 @@ def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, least: int = 5)
     return g.select(*keys, "n", rho.alias("rho"), F.when(F.abs(rho) < 1, rho * F.sqrt((F.col("n") - 2) / (1 - rho * rho))).alias("t"))
 
 
+def numbered(df: DataFrame, by: Sequence[str], id: str) -> DataFrame:
+    """df with ``_i`` (int), the row's number from 0 in its stratum by id, and ``_n``, the stratum's rows; no stratum is one task.
+
+    Rows go to ranges of (stratum, id); a window runs inside each, and what the ranges
+    before add comes from one row a range and stratum.
+    """
+    d = settled(df.repartitionByRange(parts(df), *by, id).withColumn("_p", F.spark_partition_id()))
+    counts = d.groupBy(*by, "_p").agg(F.count("*").alias("_c"))
+    of, up_to = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(*by, "_p", F.coalesce(F.sum("_c").over(up_to), F.lit(0)).alias("_b"), F.sum("_c").over(of).alias("_n"))
+    inside = d.withColumn("_r", F.row_number().over(Window.partitionBy("_p", *by).orderBy(id)) - 1)
+    return inside.join(first, [*by, "_p"]).withColumn("_i", (F.col("_r") + F.col("_b")).cast("int")).drop("_p", "_r", "_b")
+
+
 def bootstrap(df: DataFrame, keys: Sequence[str], strata: Sequence[str], id: str, draws: int, seed: int) -> DataFrame:
     """Rows of every replicate: as many of each stratum as it has, drawn with replacement by a seeded hash.
 
@@ -222,8 +238,61 @@ def bootstrap(df: DataFrame, keys: Sequence[str], strata: Sequence[str], id: str
     (stratum, number), so the work is draws times rows and needs no gathering.
     """
     by = [*keys, *strata]
-    numbered = df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(id)) - 1)
-    n = F.count("*").over(Window.partitionBy(*by))
-    slots = numbered.select(*by, "_i", n.alias("_n")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    rows = numbered(df, by, id)
+    slots = rows.select(*by, "_i", "_n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     pick = slots.select(*by, "rep", F.pmod(F.xxhash64(F.lit(seed), "rep", "_i", *by), F.col("_n")).cast("int").alias("_i"))
-    return pick.join(numbered, [*by, "_i"]).drop("_i")
+    return pick.join(rows.drop("_n"), [*by, "_i"]).drop("_i")
+
+
+def bootstrap_means(df: DataFrame, keys: Sequence[str], strata: Sequence[str], id: str, value: str, draws: int, seed: int) -> DataFrame:
+    """keys, strata, rep, mean of value over the rows of ``bootstrap`` with the same seed, for up to some hundred draws; missing values are skipped.
+
+    Picks don't become rows: a task packs those of its slots into arrays of four bytes a
+    pick, by blocks of 2^16 row numbers, and each block adds them up by its own values.
+    """
+    by = [*keys, *strata]
+    rows = numbered(df.select(*by, id, F.col(value).cast("double").alias("_v")), by, id).withColumn("_s", F.xxhash64(*by))
+    picks = F.array(*(F.pmod(F.xxhash64(F.lit(seed), F.lit(r), "_i", *by), F.col("_n")) for r in range(draws)))
+
+    def pack(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy()))
+            size += len(held[-1][1])
+            if size >= 1 << 22:
+                yield out(held)
+                held, size = [], 0
+        if size:
+            yield out(held)
+
+    def out(held):
+        s, p = (np.concatenate(v) for v in zip(*held))
+        codes, at = np.unique(s, return_inverse=True)
+        code = np.repeat(at, draws)
+        rep = np.tile(np.arange(draws), len(s))
+        group = code << 32 | p >> 16
+        order = np.argsort(group, kind="stable")
+        packed = (rep << 16 | p & 0xFFFF).astype(np.uint32)[order]
+        groups, first = np.unique(group[order], return_index=True)
+        arrays = [packed[a:b].tobytes() for a, b in zip(first, [*first[1:], len(packed)])]
+        return pa.RecordBatch.from_arrays([pa.array(codes[groups >> 32]), pa.array(groups & 0xFFFFFFFF, pa.int64()), pa.array(arrays, pa.binary())], ["_s", "_block", "picks"])
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        at, v = left["_i"].to_numpy() & 0xFFFF, left["_v"].to_numpy()
+        values, there = np.zeros(1 << 16), np.zeros(1 << 16)
+        values[at], there[at] = np.nan_to_num(v, nan=0.0), ~np.isnan(v)
+        total, n = np.zeros(draws), np.zeros(draws)
+        for x in right["picks"].to_pylist():
+            p = np.frombuffer(x, np.uint32)
+            rep, p = p >> 16, p & 0xFFFF
+            total += np.bincount(rep, values[p], draws)
+            n += np.bincount(rep, there[p], draws)
+        own = {c: pa.array([left[c][0].as_py()] * draws, left.schema.field(c).type) for c in by}
+        return pa.table(own | {"rep": pa.array(np.arange(draws), pa.int32()), "total": pa.array(total), "n": pa.array(n.astype(np.int64))})
+
+    packed = rows.select("_s", picks.alias("picks")).mapInArrow(pack, "_s long, _block long, picks binary")
+    blocks = rows.select(*by, "_s", F.shiftright("_i", 16).cast("long").alias("_block"), "_i", F.when(~F.isnan("_v"), F.col("_v")).alias("_v"))
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+    sums = blocks.groupBy("_s", "_block").cogroup(packed.groupBy("_s", "_block")).applyInArrow(add, f"{kinds}, rep int, total double, n long")
+    total = sums.groupBy(*by, "rep").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return total.select(*by, "rep", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("mean"))

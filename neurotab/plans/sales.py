@@ -197,9 +197,9 @@ def price_line(spark, sf):
 
 @query()
 def flag_bootstrap(spark, sf):
-    sub = lineitem(spark, sf).select("l_returnflag", "l_linestatus", "l_quantity", F.xxhash64("l_orderkey", "l_linenumber").alias("id"))
-    b = stats.bootstrap(sub, [], ["l_returnflag"], "id", 20, 5)
-    per = b.groupBy("rep").agg((F.avg(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))) - F.avg(F.when(F.col("l_returnflag") == "N", F.col("l_quantity")))).alias("d"))
+    sub = lineitem(spark, sf).select("l_returnflag", "l_quantity", F.xxhash64("l_orderkey", "l_linenumber").alias("id"))
+    m = stats.bootstrap_means(sub, [], ["l_returnflag"], "id", "l_quantity", 20, 5)
+    per = m.groupBy("rep").agg((F.max(F.when(F.col("l_returnflag") == "R", F.col("mean"))) - F.max(F.when(F.col("l_returnflag") == "N", F.col("mean")))).alias("d"))
     return per.agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"), F.count("d").alias("draws"))
 
 

@@ -47,6 +47,19 @@ def test_bootstrap_keeps_strata(spark):
     assert {(r.rep, r.g): r["count"] for r in b.groupBy("rep", "g").count().collect()} == {(r, g): 10 for r in range(5) for g in range(3)}
 
 
+def test_bootstrap_means_are_those_of_its_rows(spark):
+    """Numbers of ranges go on from each other as one window's would, and packed picks give the means of the rows picked."""
+    rows = [(i * 7919 % 10_007, "abc"[i % 10 // 4], None if i % 50 == 0 else float(i % 37)) for i in range(10_000)]
+    df = spark.createDataFrame(rows, "id long, g string, v double")
+    got = {r.id: (r._i, r._n) for r in stats.numbered(df, ["g"], "id").collect()}
+    for g in "abc":
+        ids = sorted(i for i, h, _ in rows if h == g)
+        assert [got[i] for i in ids] == [(k, len(ids)) for k in range(len(ids))]
+    means = stats.bootstrap_means(df, [], ["g"], "id", "v", 7, 3)
+    want = {(r.g, r.rep): r.m for r in stats.bootstrap(df, [], ["g"], "id", 7, 3).groupBy("g", "rep").agg(F.avg("v").alias("m")).collect()}
+    assert {(r.g, r.rep): pytest.approx(r["mean"], rel=1e-12) for r in means.collect()} == want and len(want) == 21
+
+
 def test_auc_counts_ties_half(spark):
     df = spark.createDataFrame([(1, 0.5), (0, 0.5)], "y int, p double")
     assert evaluate.auc(df, "y", "p").first().auc == 0.5
