@@ -194,10 +194,10 @@ def channel_features(df: DataFrame, keys: Sequence[str], channel: str, index: st
 
 @F.pandas_udf(LongType())
 def _rows(n: pd.Series) -> pd.Series:
-    """The largest divisor of n up to its square root."""
+    """The largest divisor of n up to its square root; 1 for recordings of up to ``SAMPLES``, which are transformed at once."""
 
     def one(v: int) -> int:
-        d = int(v**0.5)
+        d = int(v**0.5) if v > SAMPLES else 1
         while v % d:
             d -= 1
         return d
@@ -208,10 +208,10 @@ def _rows(n: pd.Series) -> pd.Series:
 def spectrum(df: DataFrame, keys: Sequence[str], index: str, value: str) -> DataFrame:
     """keys, k, n, re, im: the discrete Fourier transform of whole recordings, 0 <= k < n.
 
-    In two steps over n = a * b samples: samples of one residue modulo a are
-    transformed by length b, turned, and those of one place by length a, so a task
-    holds about the square root of a recording. A prime n has a = 1 and takes one
-    task. Indexes run from 0 without a gap; recordings that have one aren't returned.
+    Up to ``SAMPLES`` samples are one transform. Longer recordings take two steps over
+    n = a * b samples: samples of one residue modulo a are transformed by length b,
+    turned, and those of one place by length a, so a task holds about the square root
+    of a recording. A prime n has a = 1 and takes one task. Indexes run from 0 without a gap; recordings that have one aren't returned.
     """
     s = df.select(*keys, F.col(index).cast("long").alias("_i"), F.col(value).cast("double").alias("_v")).where("_v is not null")
     sizes = s.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_i").alias("_lo"), F.max("_i").alias("_hi"), F.count_distinct("_i").alias("_d")).where("_lo = 0 and _hi = n - 1 and _d = n")
@@ -239,8 +239,17 @@ def spectrum(df: DataFrame, keys: Sequence[str], index: str, value: str) -> Data
         out.pop("_a")
         return pa.table(out | {"k": pa.array(k + n // a * np.arange(a)), "re": pa.array(x.real.copy()), "im": pa.array(x.imag.copy())})
 
-    first = s.withColumn("_r", F.col("_i") % F.col("_a")).groupBy(*keys, "_r").applyInArrow(inner, f"{kinds}, _r long, _k long, re double, im double")
-    return first.groupBy(*keys, "_k").applyInArrow(outer, ", ".join(filter(None, [_kinds(df, keys), "n long, k long, re double, im double"])))
+    def once(table: pa.Table) -> pa.Table:
+        n = table["n"][0].as_py()
+        y = short(table, table["_i"].to_numpy(), table["_v"].to_numpy(), n)
+        out = columns(table, n)
+        out.pop("_a")
+        return pa.table(out | {"k": pa.array(np.arange(n)), "re": pa.array(y.real.copy()), "im": pa.array(y.imag.copy())})
+
+    result = ", ".join(filter(None, [_kinds(df, keys), "n long, k long, re double, im double"]))
+    whole = s.where("_a = 1").groupBy(*keys, "n").applyInArrow(once, result)
+    first = s.where("_a > 1").withColumn("_r", F.col("_i") % F.col("_a")).groupBy(*keys, "_r").applyInArrow(inner, f"{kinds}, _r long, _k long, re double, im double")
+    return whole.unionByName(first.groupBy(*keys, "_k").applyInArrow(outer, result))
 
 
 def coherence_matrix(df: DataFrame, keys: Sequence[str], channel: str, index: str, value: str, fs: float, low: float, high: float) -> DataFrame:

@@ -78,6 +78,17 @@ def test_spectrum_in_two_steps(spark, n):
     assert np.allclose(one.re + 1j * one.im, np.fft.fft(x[0]), atol=1e-8) and (n == 1 or (got.c == 0).all())
 
 
+def test_spectrum_is_split_for_long_recordings_only(spark):
+    assert windows._rows.func(pd.Series([1, 45, 1 << 16, 1 << 17])).tolist() == [1, 1, 1, 256]
+    x = np.random.default_rng(2).normal(size=1 << 17)
+    df = spark.range(1 << 17).select(F.lit(1).alias("rec"), F.col("id").alias("i")).join(spark.createDataFrame(pd.DataFrame({"i": np.arange(1 << 17), "v": x})), "i")
+    df = df.union(df.where("i < 45").select("i", F.lit(2), "v"))
+    got = windows.spectrum(df, ["rec"], "i", "v").toPandas().sort_values(["rec", "k"])
+    for rec, n in ((1, 1 << 17), (2, 45)):
+        g = got[got.rec == rec]
+        assert len(g) == n and np.allclose(g.re + 1j * g.im, np.fft.fft(x[:n]), atol=1e-8)
+
+
 def test_coherence_matrix(spark):
     x = np.random.default_rng(5).normal(size=(3, 600))
     df = _frame(spark, x).withColumnRenamed("k", "rec")
