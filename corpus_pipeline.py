@@ -43,9 +43,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes every string of 400 bytes that stands twice; documents of which nothing is left go."""
+    """Removes every string of 400 bytes and every run of 50 words that stands twice; documents of which nothing is left go."""
     _lean(spark)
-    left = substrings.deduplicate(docs, keep_text=True, more=("lang", "source"))
+    left = substrings.deduplicate(docs, keep_text=True, more=("lang", "source"), words=True)
     return left.where("n_removed = 0 or n_bytes > n_removed").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
