@@ -127,13 +127,19 @@ def welch_psd(x: np.ndarray, fs: float, nperseg: int, overlap: float = 0.5) -> t
     return np.fft.rfftfreq(n, 1 / fs), density.mean(-2)
 
 
-def band_power(f: np.ndarray, p: np.ndarray, low: float, high: float, rule: str = "trapezoid") -> float:
-    """Power of a band: trapezoid over both limits, or over frequencies strictly between them (strict); sum or mean of bins below the upper limit."""
+def band_powers(f: np.ndarray, p: np.ndarray, low: float, high: float, rule: str = "trapezoid") -> np.ndarray:
+    """Power of a band along the last axis: trapezoid over both limits, or over frequencies strictly between them (strict); sum or mean of bins below the upper limit."""
     if rule in ("trapezoid", "strict"):
         k = (f >= low) & (f <= high) if rule == "trapezoid" else (f > low) & (f < high)
-        return float(np.sum((p[k][1:] + p[k][:-1]) / 2 * np.diff(f[k]))) if k.sum() > 1 else 0.0
+        q = p[..., k]
+        return ((q[..., 1:] + q[..., :-1]) / 2 * np.diff(f[k])).sum(-1)
     k = (f >= low) & (f < high)
-    return float(p[k].sum() if rule == "sum" else p[k].mean()) if k.any() else 0.0
+    return (p[..., k].sum(-1) if rule == "sum" else p[..., k].mean(-1)) if k.any() else np.zeros(p.shape[:-1])
+
+
+def band_power(f: np.ndarray, p: np.ndarray, low: float, high: float, rule: str = "trapezoid") -> float:
+    """The same of one spectrum."""
+    return float(band_powers(f, p, low, high, rule))
 
 
 def lempel_ziv(bits: np.ndarray) -> int:
@@ -161,14 +167,20 @@ def hilbert(x: np.ndarray) -> np.ndarray:
     return np.fft.ifft(np.fft.fft(x) * h)
 
 
-def coupling(phase: np.ndarray, amplitude: np.ndarray, bins: int = 18) -> float:
-    """Modulation index of mean amplitude over phase bins; an empty bin counts as 0."""
+def couplings(phase: np.ndarray, amplitude: np.ndarray, bins: int = 18) -> np.ndarray:
+    """Modulation index of each row: mean amplitude over phase bins; an empty bin counts as 0."""
     k = np.minimum(((phase + np.pi) / (2 * np.pi) * bins).astype(int), bins - 1)
-    n = np.bincount(k, minlength=bins)
-    m = np.bincount(k, amplitude, bins) / np.maximum(n, 1)
-    p = m / m.sum() if m.sum() > 0 else np.full(bins, 1 / bins)
-    p = p[p > 0]
-    return float((np.log(bins) + (p * np.log(p)).sum()) / np.log(bins))
+    k = (k + bins * np.arange(len(k))[:, None]).ravel()
+    n = np.bincount(k, minlength=bins * len(phase))
+    m = (np.bincount(k, amplitude.ravel(), bins * len(phase)) / np.maximum(n, 1)).reshape(-1, bins)
+    total = m.sum(1, keepdims=True)
+    p = np.where(total > 0, m / np.where(total > 0, total, 1.0), 1 / bins)
+    return (np.log(bins) + (p * np.log(np.where(p > 0, p, 1.0))).sum(1)) / np.log(bins)
+
+
+def coupling(phase: np.ndarray, amplitude: np.ndarray, bins: int = 18) -> float:
+    """The same of one signal."""
+    return float(couplings(phase[None], amplitude[None], bins)[0])
 
 
 def coherence(x: np.ndarray, y: np.ndarray, fs: float, nperseg: int, low: float, high: float) -> float:

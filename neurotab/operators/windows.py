@@ -57,19 +57,64 @@ def _kinds(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names)
 
 
-def _over_windows(df: DataFrame, keys: Sequence[str], index: str, value: str, width: int, step: int, schema: str, kernel) -> DataFrame:
-    """Rows of kernel(windows as rows) with keys and win; kernel gives a frame whose column ``_w`` is the row of the window."""
-    cut, per = blocks(df.select(*keys, F.col(index).cast("long").alias("_i"), F.col(value).cast("double").alias("_v")), "_i", width, step)
+def _first_rows(table: pa.Table, names: Sequence[str]) -> np.ndarray:
+    """Whether each row of a sorted table is the first of its group."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for c in names:
+        code = table[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return new
+
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        block = int(key[-1])
-        w = strided(laid_out(pdf["_i"].to_numpy(), pdf["_v"].to_numpy(float), block * per * step), width, step, per)
-        whole = np.flatnonzero(np.isfinite(w).all(1))
-        out = kernel(np.ascontiguousarray(w[whole]))
-        win = block * per + whole[out.pop("_w").to_numpy(int)]
-        return pd.DataFrame({c: [v] * len(win) for c, v in zip(keys, key)} | {"win": win} | {c: out[c].to_numpy() for c in out})
+def _over_windows(df: DataFrame, keys: Sequence[str], index: str, value: str, width: int, step: int, schema: str, kernel) -> DataFrame:
+    """Rows of kernel(windows as rows) with keys and win; kernel gives a frame whose column ``_w`` is the row of the window.
 
-    return cut.groupBy(*keys, "_block").applyInPandas(run, ", ".join(filter(None, [_kinds(df, keys), "win long", schema])))
+    Blocks come sorted, and the windows of as many blocks as make ``SAMPLES`` samples
+    are one call, so short recordings don't cost a call each. A block is never cut.
+    """
+    cut, per = blocks(df.select(*keys, F.col(index).cast("long").alias("_i"), F.col(value).cast("double").alias("_v")), "_i", width, step)
+    names = [*keys, "_block"]
+
+    def whole(table: pa.Table, first: np.ndarray):
+        block = table["_block"].to_numpy()
+        group, at, v = np.cumsum(first) - 1, table["_i"].to_numpy() - block * per * step, table["_v"].to_numpy()
+        known = np.isfinite(v)
+        group, at, v = group[known], at[known], v[known]
+        if len(v) < width:
+            return
+        one = np.flatnonzero(np.append(True, (np.diff(group) != 0) | (np.diff(at) != 0)))
+        group, at, v = group[one], at[one], np.add.reduceat(v, one) / np.diff(np.append(one, len(v)))
+        p = np.flatnonzero((at % step == 0) & (at // step < per))
+        p = p[p + width <= len(v)]
+        p = p[(group[p + width - 1] == group[p]) & (at[p + width - 1] - at[p] == width - 1)]  # no index lacks between
+        if not len(p):
+            return
+        out = kernel(np.lib.stride_tricks.sliding_window_view(v, width)[p])
+        w = p[out.pop("_w").to_numpy(int)]
+        rows = np.flatnonzero(first)[group[w]]
+        own = [table[c].combine_chunks().take(pa.array(rows)) for c in keys]
+        win = block[rows] * per + at[w] // step
+        yield pa.RecordBatch.from_arrays([*own, pa.array(win), *(pa.array(out[c].to_numpy(float)) for c in out)], [*keys, "win", *out.columns])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < SAMPLES:
+                continue
+            table = pa.Table.from_batches(held)
+            first = _first_rows(table, names)
+            end = int(np.flatnonzero(first)[-1])  # the last block may go on
+            yield from whole(table.slice(0, end), first[:end])
+            held, n = table.slice(end).combine_chunks().to_batches(), table.num_rows - end
+        if n:
+            table = pa.Table.from_batches(held)
+            yield from whole(table, _first_rows(table, names))
+
+    ordered = cut.repartition(*names).sortWithinPartitions(*names, "_i")
+    return ordered.mapInArrow(run, ", ".join(filter(None, [_kinds(df, keys), "win long", schema])))
 
 
 def window_features(df: DataFrame, keys: Sequence[str], index: str, value: str, fs: float, width: int, step: int, bands: dict[str, tuple[float, float]], rule: str = "trapezoid", nperseg: int | None = None, per_sample: bool = False) -> DataFrame:
@@ -86,9 +131,9 @@ def window_features(df: DataFrame, keys: Sequence[str], index: str, value: str,
         if len(x):
             f, p = signal.welch_psd(x, fs, min(nperseg or int(2 * fs), width))
             for n in names:
-                out[f"log_{n}"] = np.log(np.array([signal.band_power(f, row, *bands[n], rule) for row in p]) + 1e-12)
+                out[f"log_{n}"] = np.log(signal.band_powers(f, p, *bands[n], rule) + 1e-12)
             phase, size = np.angle(signal.hilbert(signal.zero_phase(x, slow))), abs(signal.hilbert(signal.zero_phase(x, fast)))
-            out["coupling"] = [signal.coupling(a, b) for a, b in zip(phase, size)]
+            out["coupling"] = signal.couplings(phase, size)
             high = x > np.median(x, 1, keepdims=True)
             out["lzc"] = [signal.lempel_ziv(bits) / (width if per_sample else width / np.log2(width)) for bits in high]
         return pd.DataFrame(out, columns=["_w", *(f"log_{n}" for n in names), "coupling", "lzc"])
