@@ -7,10 +7,12 @@ sees one chunk, and what it makes of the halo is dropped.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,35 @@ def chunks(df: DataFrame, index: str, size: int, halo: int) -> DataFrame:
     return d.withColumn("inside", F.floor(F.col(index) / float(size)) == F.col("chunk"))
 
 
+def first_rows(table: pa.Table, names: Sequence[str]) -> np.ndarray:
+    """Whether each row of a sorted table is the first of its group."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for c in names:
+        code = table[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return new
+
+
+def whole_groups(batches, names: Sequence[str], rows: int = 1 << 16) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Of batches sorted by names: tables of about ``rows`` rows that cut no group, and whether each row is the first of its group."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        first = first_rows(table, names)
+        end = int(np.flatnonzero(first)[-1])  # the last group may go on
+        if end:
+            yield table.slice(0, end), first[:end]
+        held, n = table.slice(end).combine_chunks().to_batches(), table.num_rows - end
+    if n:
+        table = pa.Table.from_batches(held)
+        yield table, first_rows(table, names)
+
+
 def fir_bandpass(low: float, high: float, fs: float, taps: int) -> np.ndarray:
     """Hamming-windowed sinc band-pass of odd length, gain 1 at the middle of the band."""
     t = np.arange(taps) - (taps - 1) / 2
@@ -57,16 +88,22 @@ def butterworth_sections(order: int, low: float, high: float, fs: float) -> list
     return sections
 
 
-def _run_section(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """One section along the last axis in blocks: the recursion of a block is one matrix product."""
-    n, size = x.shape[-1], 256
+@lru_cache(64)
+def _recursion(a1: float, a2: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Impulse response of a section's recursion, and the matrix that applies it to a block."""
     impulse = np.zeros(size)
     h0 = h1 = 0.0
     for i in range(size):
-        impulse[i] = (1.0 if i == 0 else 0.0) - a[1] * h0 - a[2] * h1
+        impulse[i] = (1.0 if i == 0 else 0.0) - a1 * h0 - a2 * h1
         h0, h1 = impulse[i], h0
     i = np.arange(size)
-    mix = np.where(i[:, None] >= i[None, :], impulse[np.abs(i[:, None] - i[None, :])], 0.0).T
+    return impulse, np.where(i[:, None] >= i[None, :], impulse[np.abs(i[:, None] - i[None, :])], 0.0).T
+
+
+def _run_section(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """One section along the last axis in blocks: the recursion of a block is one matrix product."""
+    n, size = x.shape[-1], 256
+    impulse, mix = _recursion(float(a[1]), float(a[2]), size)
     first, second = -a[1] * impulse - a[2] * np.append(0.0, impulse[:-1]), -a[2] * impulse
     v = b[0] * x
     v[..., 1:] += b[1] * x[..., :-1]
@@ -101,13 +138,21 @@ def bandpass(df: DataFrame, keys: Sequence[str], index: str, value: str, fs: flo
     sections = butterworth_sections(order, low, high, fs)
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (*keys, index))
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(index)
-        pdf["filtered"] = zero_phase(pdf[value].to_numpy(float), sections)
-        return pdf.loc[pdf.inside, [*keys, index, "filtered"]]
-
-    c = chunks(df.select(*keys, index, value), index, size, decay(sections))
-    return c.groupBy(*keys, "chunk").applyInPandas(kernel, f"{kinds}, filtered double")
+    names = [*keys, "chunk"]
+
+    def run(batches):
+        for table, first in whole_groups(batches, names):
+            x = table["_v"].to_numpy()
+            y, start = np.empty(len(x)), np.flatnonzero(first)
+            size = np.diff(np.append(start, len(x)))
+            for n in np.unique(size):  # chunks of one length are one call
+                at = start[size == n][:, None] + np.arange(n)
+                y[at] = zero_phase(x[at], sections)
+            out = table.select([*keys, index]).append_column("filtered", pa.array(y))
+            yield from out.filter(table["inside"]).to_batches()
+
+    c = chunks(df.select(*keys, index, F.col(value).cast("double").alias("_v")), index, size, decay(sections))
+    return c.repartition(*names).sortWithinPartitions(*names, index).mapInArrow(run, f"{kinds}, filtered double")
 
 
 def segment_spectra(x: np.ndarray, nperseg: int, overlap: float = 0.5) -> tuple[np.ndarray, np.ndarray]:

@@ -57,16 +57,6 @@ def _kinds(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names)
 
 
-def _first_rows(table: pa.Table, names: Sequence[str]) -> np.ndarray:
-    """Whether each row of a sorted table is the first of its group."""
-    new = np.zeros(table.num_rows, bool)
-    new[:1] = True
-    for c in names:
-        code = table[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-        new[1:] |= code[1:] != code[:-1]
-    return new
-
-
 def _over_windows(df: DataFrame, keys: Sequence[str], index: str, value: str, width: int, step: int, schema: str, kernel) -> DataFrame:
     """Rows of kernel(windows as rows) with keys and win; kernel gives a frame whose column ``_w`` is the row of the window.
 
@@ -98,20 +88,8 @@ def _over_windows(df: DataFrame, keys: Sequence[str], index: str, value: str, wi
         yield pa.RecordBatch.from_arrays([*own, pa.array(win), *(pa.array(out[c].to_numpy(float)) for c in out)], [*keys, "win", *out.columns])
 
     def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n < SAMPLES:
-                continue
-            table = pa.Table.from_batches(held)
-            first = _first_rows(table, names)
-            end = int(np.flatnonzero(first)[-1])  # the last block may go on
-            yield from whole(table.slice(0, end), first[:end])
-            held, n = table.slice(end).combine_chunks().to_batches(), table.num_rows - end
-        if n:
-            table = pa.Table.from_batches(held)
-            yield from whole(table, _first_rows(table, names))
+        for table, first in signal.whole_groups(batches, names, SAMPLES):
+            yield from whole(table, first)
 
     ordered = cut.repartition(*names).sortWithinPartitions(*names, "_i")
     return ordered.mapInArrow(run, ", ".join(filter(None, [_kinds(df, keys), "win long", schema])))

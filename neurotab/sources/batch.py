@@ -11,10 +11,14 @@ from __future__ import annotations
 import gzip
 import io
 import re
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import csv
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +50,7 @@ def decode(name: str, content: bytes, columns: tuple[str, str] | None, least: in
         table = table.iloc[:, :2]
         head = pd.to_numeric(table.iloc[0], errors="coerce")
         table = table.iloc[1:] if head.isna().any() else table
-    numbers = table.apply(pd.to_numeric, errors="coerce").to_numpy(float)
+    numbers = np.column_stack([pd.to_numeric(table.iloc[:, i], errors="coerce").to_numpy(float) for i in (0, 1)])
     bad = np.flatnonzero(~np.isfinite(numbers).all(1))
     if len(bad):
         raise ValueError(f"sample {bad[0]} isn't a pair of numbers")
@@ -55,6 +59,44 @@ def decode(name: str, content: bytes, columns: tuple[str, str] | None, least: in
     return numbers[:, 0], numbers[:, 1]
 
 
+def write_traces(df: DataFrame, folder: str, key: str, order: str) -> int:
+    """Writes the rows of each key by ``order`` as a CSV file ``<key>=<value>.csv`` of the other columns; gives the number of files.
+
+    All files are in one folder, so listing them is one call. Tasks write through
+    pyarrow's file systems, under another name first: a file is there when it is whole.
+    """
+    names = [c for c in df.columns if c != key]
+
+    def run(batches):
+        files, base = pafs.FileSystem.from_uri(folder)
+        files.create_dir(base, recursive=True)
+        attempt, here, n, sink, out = TaskContext.get().taskAttemptId(), None, 0, None, None
+
+        def close():
+            out.close()
+            sink.close()
+            files.move(f"{here}.{attempt}", here)
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            start = np.flatnonzero(signal.first_rows(table, [key])) if batch.num_rows else np.empty(0, int)
+            for a, b in zip(start.tolist(), [*start[1:].tolist(), batch.num_rows]):
+                path = f"{base}/{key}={quote(str(batch.column(key)[a].as_py()), safe='')}.csv"
+                part = table.slice(a, b - a).select(names)
+                if path != here:
+                    if out is not None:
+                        close()
+                    here, n = path, n + 1
+                    sink = files.open_output_stream(f"{path}.{attempt}")
+                    out = csv.CSVWriter(sink, part.schema)
+                out.write_table(part)
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return df.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def read_batch(spark: SparkSession, folder: str, pattern: str = "*.csv", columns: tuple[str, str] | None = None, least: int = 64, fs: float = 20000.0, largest: int = 1 << 30) -> DataFrame:
     """file, error, idx, t_sec, value: the samples of all files in a tree, and of each failed file one row that has only its error.
 
@@ -63,21 +105,35 @@ def read_batch(spark: SparkSession, folder: str, pattern: str = "*.csv", columns
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
 
-    def run(frames):
-        for pdf in frames:
-            for name, content in zip(pdf["path"], pdf["content"]):
+    def run(batches):
+        for batch in batches:
+            held, n = [], 0
+            for name, content in zip(batch.column("path"), batch.column("content")):
+                name = name.as_py()
                 try:
-                    t, x = decode(name, bytes(content), columns, least)
+                    t, x = decode(name, content.as_py(), columns, least)
                 except Exception as e:  # any failure of a file is its result
-                    yield pd.DataFrame({"file": [name], "error": [f"{type(e).__name__}: {e}"], "idx": [None], "t_sec": [None], "value": [None]})
+                    yield part([([name], [f"{type(e).__name__}: {e}"], [None], [None], [None])])
                     continue
                 t = t if (np.diff(t) > 0).all() else np.arange(len(x)) / fs
                 for i in range(0, len(x), 1 << 18):
-                    part = slice(i, i + (1 << 18))
-                    yield pd.DataFrame({"file": name, "error": None, "idx": np.arange(len(x))[part], "t_sec": t[part], "value": x[part]})
+                    p = slice(i, i + (1 << 18))
+                    k = len(x[p])
+                    held.append((pa.repeat(pa.scalar(name), k), pa.nulls(k, pa.string()), np.arange(i, i + k), t[p], x[p]))
+                    n += k
+                    if n >= 1 << 16:  # small files share a batch
+                        yield part(held)
+                        held, n = [], 0
+            if held:
+                yield part(held)
+
+    def part(held: list[tuple]) -> pa.RecordBatch:
+        kinds = {"file": pa.string(), "error": pa.string(), "idx": pa.int64(), "t_sec": pa.float64(), "value": pa.float64()}
+        columns = [pa.concat_arrays([pa.array(h[i], k) for h in held]) for i, k in enumerate(kinds.values())]
+        return pa.RecordBatch.from_arrays(columns, list(kinds))
 
     large = files.where(F.col("length") > largest).select(F.col("path").alias("file"), F.concat(F.lit("ValueError: "), F.col("length").cast("string"), F.lit(f" bytes, at most {largest} are read")).alias("error"))
-    read = files.where(F.col("length") <= largest).select("path", "content").mapInPandas(run, SAMPLES)
+    read = files.where(F.col("length") <= largest).select("path", "content").mapInArrow(run, SAMPLES)
     # Spark's scans skip files of no bytes, so these are told from the names that its listing has
     plain = lambda name: unquote(re.sub("^file:/+", "file:/", name))
     names = spark.createDataFrame([(plain(name),) for name in files.inputFiles()], "file string")

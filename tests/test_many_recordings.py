@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from neurotab.operators import signal, windows
+from neurotab.sources import batch
 
 
 def test_windows_of_short_recordings_share_calls(spark, monkeypatch):
@@ -54,3 +55,38 @@ def test_rows_of_spectra_and_couplings():
     size[3] = 0.0
     assert signal.couplings(phase, size) == pytest.approx([signal.coupling(a, b) for a, b in zip(phase, size)])
     assert signal.couplings(phase, size)[3] == pytest.approx(0.0)
+
+
+def test_bandpass_of_short_recordings(spark):
+    """Recordings of 1 to 70 samples and a long one in chunks: each as by itself; missing values stay NaN of their own recording."""
+    r = np.random.default_rng(5)
+    x = {k: r.normal(size=1 + k % 70) for k in range(150)} | {None: r.normal(size=3000)}
+    x[40][3] = np.nan
+    df = spark.createDataFrame([(k, i, float(v)) for k, s in x.items() for i, v in enumerate(s)], "k long, i long, v double").repartition(5)
+    out = signal.bandpass(df, ["k"], "i", "v", 10.0, 0.5, 3.0, 2, 1000).toPandas()
+    assert len(out) == sum(map(len, x.values()))
+    sections = signal.butterworth_sections(2, 0.5, 3.0, 10.0)
+    for k, rows in out.groupby("k", dropna=False):
+        k = None if pd.isna(k) else int(k)
+        rows = rows.sort_values("i")
+        assert rows.i.tolist() == list(range(len(x[k])))
+        assert rows.filtered.to_numpy() == pytest.approx(signal.zero_phase(x[k], sections), abs=1e-6, nan_ok=True)
+
+
+def test_traces_are_files_of_one_folder(spark, tmp_path):
+    """400 files, the largest of more rows than a batch: listed at once, read back whole and in order."""
+    n = {k: 25_000 if k == 7 else 1 + k % 9 for k in range(400)}
+    df = spark.createDataFrame([(k, i / 10.0, i * 0.1 + k) for k, m in n.items() for i in range(m)], "recording long, time double, value double").repartition(6)
+    folder = f"file://{tmp_path}/traces"
+    assert batch.write_traces(df, folder, "recording", "time") == 400
+    assert sorted(p.name for p in (tmp_path / "traces").iterdir()) == sorted(f"recording={k}.csv" for k in n)
+    got = batch.read_batch(spark, folder, "*.csv", ("time", "value"), 5).toPandas()
+    bad, good = got[got.error.notna()], got[got.error.isna()]
+    key = lambda d: d.file.str.extract(r"recording=(\d+)\.csv")[0].astype(int)
+    assert set(key(bad)) == {k for k, m in n.items() if m < 5} and len(bad) == len(set(key(bad)))
+    for k, rows in good.groupby(key(good)):
+        rows = rows.sort_values("idx")
+        assert rows.idx.tolist() == list(range(n[k]))
+        assert rows.value.to_numpy() == pytest.approx(np.arange(n[k]) * 0.1 + k)
+        assert rows.t_sec.to_numpy() == pytest.approx(np.arange(n[k]) / 10)
+    assert batch.write_traces(df.limit(0), f"file://{tmp_path}/none", "recording", "time") == 0
