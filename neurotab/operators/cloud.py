@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from neurotab.operators.signal import whole_groups
 from neurotab.sources.shared import settled
 
 
@@ -58,33 +60,87 @@ def farthest_points(df: DataFrame, key: str, id: str, n: int, seed: int, names:
     return ranked.select(key, F.col(f"_q.{id}").alias(id), F.col("rank").cast("long").alias("rank"))
 
 
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of n nodes the smallest one that links a-b reach: each round takes the smaller label for both ends and for their labels, then the label of that label."""
+    label = np.arange(n)
+    while True:
+        new, least = label.copy(), np.minimum(label[a], label[b])
+        for at in (a, b, label[a], label[b]):
+            np.minimum.at(new, at, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def voxel_components(df: DataFrame, key: str, places: Sequence[str] = ("i", "j", "k"), diagonal: bool = False) -> DataFrame:
     """df (distinct voxels or pixels) with ``component``: smallest number of a voxel that faces (or also corners) reach.
 
-    Labels spread by joins, each round to the neighbours and then along the label's
-    own label, with a checkpoint each round; no image is gathered in one task.
+    Blocks of about 4,096 places are labelled in tasks, many blocks a call. What touches
+    across blocks is a much smaller graph: its labels spread by joins, each round to
+    the neighbours, to the voxel that the label is of and then along the label's own
+    label, with a checkpoint each round.
+    No image is gathered in one task. A voxel with a missing key or place is alone.
     """
-    cells = df.withColumn("_id", F.xxhash64(key, *places)).select(*df.columns, "_id")
+    side = max(2, round(4096 ** (1 / len(places))))
     steps = [()]
     for _ in places:
         steps = [(*s, v) for s in steps for v in (-1, 0, 1)]
     steps = [s for s in steps if any(s) and (diagonal or sum(map(abs, s)) == 1)]
-    move = F.explode(F.array(*(F.array(*map(F.lit, s)) for s in steps)))
-    shifted = cells.withColumn("_m", move).select(F.col(key).alias("_key"), *((F.col(p) + F.col("_m")[i]).alias(f"_{p}") for i, p in enumerate(places)), F.col("_id").alias("_from"))
+    block = lambda c: F.floor(c / F.lit(side))
+    cells = df.select("*", F.xxhash64(key, *places).alias("_id"), _all([F.col(c).isNotNull() for c in (key, *places)]).alias("_whole"))
+    for i, p in enumerate(places):
+        cells = cells.withColumns({f"_b{i}": block(F.col(p)), f"_l{i}": F.coalesce(F.pmod(F.col(p), F.lit(side)).cast("long"), F.lit(0))})
+    names = [key, *(f"_b{i}" for i in range(len(places)))]
+    out = [*df.columns, "_whole", "_root", "_edge"]
+
+    def run(batches):
+        for table, first in whole_groups(batches, names):
+            at = np.flatnonzero(table["_whole"].to_numpy())
+            local = [table[f"_l{i}"].to_numpy()[at] for i in range(len(places))]
+            code, shift = (np.cumsum(first) - 1)[at], np.zeros(len(steps), np.int64)
+            for i, v in enumerate(local):  # one empty place around each block
+                code, shift = code * (side + 2) + v + 1, shift * (side + 2) + np.array([s[i] for s in steps])
+            order = np.argsort(code)
+            held, a, b = code[order], [], []
+            for m in shift:
+                k = np.minimum(np.searchsorted(held, code + m), max(len(at) - 1, 0))
+                hit = np.flatnonzero(held[k] == code + m)
+                a.append(hit)
+                b.append(order[k[hit]])
+            label = _joined(len(at), np.concatenate(a), np.concatenate(b))
+            root = table["_id"].to_numpy().copy()
+            least = np.full(len(at), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, root[at])
+            root[at] = least[label]
+            edge = np.zeros(len(root), bool)
+            edge[at] = np.any([(v == 0) | (v == side - 1) for v in local], axis=0)
+            yield from table.append_column("_root", pa.array(root)).append_column("_edge", pa.array(edge)).select(out).to_batches()
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    placed = settled(cells.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, f"{kinds}, _whole boolean, _root long, _edge boolean"))
+    edge = placed.where("_edge")
+    half = F.explode(F.array(*(F.array(*map(F.lit, s)) for s in steps if s > tuple(-v for v in s))))
+    over = ~_all([block(F.col(p)) == block(F.col(p) + F.col("_m")[i]) for i, p in enumerate(places)])
+    shifted = edge.withColumn("_m", half).where(over).select(F.col(key).alias("_key"), *((F.col(p) + F.col("_m")[i]).alias(f"_{p}") for i, p in enumerate(places)), F.col("_root").alias("_from"))
     match = (F.col(key) == F.col("_key")) & _all([F.col(p) == F.col(f"_{p}") for p in places])
-    edges = cells.join(shifted, match).select(F.col("_from").alias("a"), F.col("_id").alias("b")).persist()
-    label = cells.select("_id", F.col("_id").alias("component"))
+    pairs = edge.join(shifted, match).where("_root <> _from").select("_root", "_from").distinct()
+    both = F.explode(F.array(F.struct(F.col("_root").alias("a"), F.col("_from").alias("b")), F.struct(F.col("_from").alias("a"), F.col("_root").alias("b"))))
+    edges = settled(pairs.select(both.alias("_e")).select("_e.a", "_e.b").distinct())
+    label = edges.select(F.col("a").alias("_id")).distinct().withColumn("component", F.col("_id"))
     while True:
         near = edges.join(label, edges.a == label["_id"]).groupBy(F.col("b").alias("_id")).agg(F.min("component").alias("_n"))
-        hop = label.join(near, "_id", "left").select("_id", "component", F.least("component", F.coalesce("_n", "component")).alias("_h"))
-        jump = label.select(F.col("_id").alias("_j"), F.col("component").alias("_c"))
-        new = hop.join(jump, F.col("_h") == F.col("_j")).select("_id", F.least("_h", "_c").alias("new"), "component")
+        hop = label.join(near, "_id").select("_id", "component", F.least("component", "_n").alias("_h"))
+        both = F.explode(F.array(F.struct(F.col("_id").alias("t"), "_h"), F.struct(F.col("component").alias("t"), "_h")))  # also for the label's own voxel
+        low = hop.select("component", both.alias("_e")).groupBy("_e.t").agg(F.min("_e._h").alias("_g"))
+        jump = low.select(F.col("t").alias("_j"), F.col("_g").alias("_c"))
+        new = label.join(low, F.col("_id") == F.col("t")).join(jump, F.col("_g") == F.col("_j")).select("_id", F.least("_g", "_c").alias("new"), "component")
         new = settled(new)
         changed = new.where("new <> component").limit(1).count()
         label = new.select("_id", F.col("new").alias("component"))
         if not changed:
-            edges.unpersist()
-            return cells.join(label, "_id").drop("_id")
+            found = placed.join(label, F.col("_root") == F.col("_id"), "left")
+            return found.select(*df.columns, F.coalesce("component", "_root").alias("component"))
 
 
 def _all(conditions):

@@ -1,10 +1,13 @@
 """Work on many short recordings: one call for many of them, with the results of each by itself."""
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from neurotab.operators import signal, windows
+from neurotab.operators import cloud, signal, windows
 from neurotab.sources import batch
 
 
@@ -90,3 +93,46 @@ def test_traces_are_files_of_one_folder(spark, tmp_path):
         assert rows.value.to_numpy() == pytest.approx(np.arange(n[k]) * 0.1 + k)
         assert rows.t_sec.to_numpy() == pytest.approx(np.arange(n[k]) / 10)
     assert batch.write_traces(df.limit(0), f"file://{tmp_path}/none", "recording", "time") == 0
+
+
+def reached(cells, diagonal):
+    """Components of (key, place...) by a plain search; cells with a missing value are alone."""
+    left, out = {c for c in cells if None not in c}, [frozenset([c]) for c in cells if None in c]
+    d = len(next(iter(cells))) - 1
+    steps = [s for s in itertools.product((-1, 0, 1), repeat=d) if any(s) and (diagonal or sum(map(abs, s)) == 1)]
+    while left:
+        todo = [left.pop()]
+        part = set(todo)
+        while todo:
+            c = todo.pop()
+            for s in steps:
+                n = (c[0], *(a + b for a, b in zip(c[1:], s)))
+                if n in left:
+                    left.remove(n)
+                    part.add(n)
+                    todo.append(n)
+        out.append(frozenset(part))
+    return set(out)
+
+
+@pytest.mark.parametrize("names,spread,n,diagonal", [("ijk", 25, 9000, False), ("ijk", 25, 2500, True), ("ij", 90, 9000, False)])
+def test_components_across_blocks(spark, names, spread, n, diagonal):
+    r = np.random.default_rng(6)
+    cells = {(int(k), *map(int, p)) for k, p in zip(r.integers(0, 2, n), r.integers(-spread // 2, spread, (n, len(names))))}
+    cells |= {(None, *(3,) * len(names)), (None, *(3,) * (len(names) - 1), 4), (0, None, *(1,) * (len(names) - 1))}
+    df = spark.createDataFrame(sorted(cells, key=str), "v int, " + ", ".join(f"{c} int" for c in names)).repartition(5)
+    out = cloud.voxel_components(df, "v", tuple(names), diagonal)
+    assert out.columns == ["v", *names, "component"]
+    rows = out.withColumn("own", F.xxhash64("v", *names)).collect()
+    groups = {}
+    for x in rows:
+        groups.setdefault(x.component, []).append(x)
+    assert len(rows) == len(cells) and {frozenset(tuple(x[:-2]) for x in g) for g in groups.values()} == reached(cells, diagonal)
+    assert all(c == min(x.own for x in g) for c, g in groups.items())
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    calls, plain = [], cloud.settled
+    monkeypatch.setattr(cloud, "settled", lambda d: calls.append(1) or plain(d))
+    df = spark.createDataFrame([(1, i - 100, 5, 5) for i in range(400)], "v int, i int, j int, k int")
+    assert cloud.voxel_components(df, "v").select("component").distinct().count() == 1 and len(calls) <= 9
