@@ -15,12 +15,13 @@ from neurotab.llm import language, neardup, packing, substrings
 from neurotab.llm.common import Scratch, perhaps_among
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-BATCH = 1000  # texts are long: so many rows at once between Spark and Python keep its buffers small
+BATCH, READ = 200, 512  # texts are long: so many rows at once between Spark and Python, and read from a file, keep buffers small
 
 
 def _lean(spark: SparkSession) -> None:
-    """Sets the rows of an Arrow batch for the session; results are read later, so it stays set."""
+    """Sets the rows of an Arrow batch and of a read for the session; results are read later, so they stay set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from neurotab.llm.common import ship
 
 BINS = 1 << 13
+SLICE = 1 << 18  # characters whose grams a task holds at once
 #: Language families by ISO 639-1 code; a language that isn't listed is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb",
@@ -193,7 +194,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
             full = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model["langs"] else []
             own = [texts[i] for i in full]
-            for s in grouped(own):
+            for s in grouped(own, SLICE):
                 got, sure = decide(sums(own[s], model["weights"]) + model["bias"], model)
                 for i, p, c in zip(full[s], got, sure):
                     pred[i], score[i] = p, c

@@ -47,6 +47,7 @@ MISS = 1e-6  # chance that two large sets at the threshold have no run in common
 WIDE, SLACK, SALTS, PART = 512, 0.1, 16, 256  # values of members of long lists, and what their shared share may lack; parts of a long list, at least so many members each
 ODD = 1024  # bits of an odd sketch
 PLACES = 24  # bits of the most places at which values are counted
+SLICE = 1 << 18  # characters whose words a task holds at once
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _BLANK = np.zeros(256, bool)
@@ -115,7 +116,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for s in grouped(texts, 1 << 21):
+            for s in grouped(texts, SLICE):
                 sets = shingle_sets(texts[s], size)
                 sketch = [x[:SKETCH] for x in sets]
                 offsets = np.cumsum([0, *map(len, sketch)]).astype(np.int32)
@@ -201,7 +202,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
-            for s in grouped(texts, 1 << 21):
+            for s in grouped(texts, SLICE):
                 sets = shingle_sets(texts[s], size)
                 own = [_digest(x.tobytes()) == d for x, d in zip(sets, batch.column(1)[s.start : s.stop].to_pylist())]
                 columns = [batch.column(0)[s.start : s.stop], pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
