@@ -19,7 +19,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -228,19 +228,37 @@ def _rows(n: pd.Series) -> pd.Series:
     return n.map(one)
 
 
-def spectrum(df: DataFrame, keys: Sequence[str], index: str, value: str) -> DataFrame:
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """left with the row of right of the same keys; without keys right has one row."""
+    return left.join(right, list(keys)) if keys else left.join(F.broadcast(right), F.lit(True))
+
+
+def spectrum(df: DataFrame, keys: Sequence[str], index: str, value: str, common: Sequence[str] | None = None) -> DataFrame:
     """keys, k, n, re, im: the discrete Fourier transform of whole recordings, 0 <= k < n.
 
     Up to ``SAMPLES`` samples are one transform. Longer recordings take two steps over
     n = a * b samples: samples of one residue modulo a are transformed by length b,
     turned, and those of one place by length a, so a task holds about the square root
     of a recording. A prime n has a = 1 and takes one task. Indexes run from 0 without a gap; recordings that have one aren't returned.
+
+    With ``common``, some of keys, n is that of the longest recording with the same
+    values of these, so all have the same frequencies. A shorter one goes on with its
+    mean, which adds no step at its end; none is cut.
     """
     s = df.select(*keys, F.col(index).cast("long").alias("_i"), F.col(value).cast("double").alias("_v")).where("_v is not null")
-    sizes = s.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_i").alias("_lo"), F.max("_i").alias("_hi"), F.count_distinct("_i").alias("_d")).where("_lo = 0 and _hi = n - 1 and _d = n")
-    sizes = sizes.select(*keys, "n", _rows("n").alias("_a"))
-    s = s.join(sizes, list(keys)) if keys else s.join(F.broadcast(sizes), F.lit(True))  # one row
-    kinds = ", ".join(filter(None, [_kinds(df, keys), "n long, _a long"]))
+    for c in keys:  # the join below drops null keys; dropped here, both of its sides read the same rows once
+        s = s.where(F.col(c).isNotNull())
+    sizes = s.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_i").alias("_lo"), F.max("_i").alias("_hi"), F.count_distinct("_i").alias("_d"), F.avg("_v").alias("_mean")).where("_lo = 0 and _hi = n - 1 and _d = n")
+    if common is None:
+        sizes = sizes.withColumn("_fill", F.lit(0.0))
+    else:
+        # a window, since a join would read the table anew; without keys all recordings would be one task of it
+        sizes = sizes.withColumn("_most", F.max("n").over(Window.partitionBy(*common))) if common else _joined(sizes, sizes.agg(F.max("n").alias("_most")), [])
+        sizes = sizes.withColumn("_fill", F.when(F.col("n") < F.col("_most"), F.col("_mean")).otherwise(0.0)).withColumn("n", F.col("_most"))
+    s = _joined(s, sizes.select(*keys, "n", _rows("n").alias("_a"), "_fill"), keys)
+    s = s.withColumn("_v", F.col("_v") - F.col("_fill"))  # what is added are zeros; the mean comes back at k = 0
+    own = [*keys, "n", "_a", "_fill"]
+    kinds = ", ".join(filter(None, [_kinds(df, keys), "n long, _a long, _fill double"]))
 
     def short(table: pa.Table, at: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
         laid = np.zeros(size, complex)
@@ -248,7 +266,13 @@ def spectrum(df: DataFrame, keys: Sequence[str], index: str, value: str) -> Data
         return np.fft.fft(laid)
 
     def columns(table: pa.Table, rows: int) -> dict:
-        return {c: pa.array([table[c][0].as_py()] * rows, table.schema.field(c).type) for c in [*keys, "n", "_a"]}
+        return {c: pa.array([table[c][0].as_py()] * rows, table.schema.field(c).type) for c in own}
+
+    def result(table: pa.Table, k: np.ndarray, x: np.ndarray) -> pa.Table:
+        out = columns(table, len(k))
+        x[k == 0] += out["n"][0].as_py() * out.pop("_fill")[0].as_py()
+        out.pop("_a")
+        return pa.table(out | {"k": pa.array(k), "re": pa.array(x.real.copy()), "im": pa.array(x.imag.copy())})
 
     def inner(table: pa.Table) -> pa.Table:
         n, a, r = (table[c][0].as_py() for c in ("n", "_a", "_r"))
@@ -258,21 +282,16 @@ def spectrum(df: DataFrame, keys: Sequence[str], index: str, value: str) -> Data
     def outer(table: pa.Table) -> pa.Table:
         n, a, k = (table[c][0].as_py() for c in ("n", "_a", "_k"))
         x = short(table, table["_r"].to_numpy(), table["re"].to_numpy() + 1j * table["im"].to_numpy(), a)
-        out = columns(table, a)
-        out.pop("_a")
-        return pa.table(out | {"k": pa.array(k + n // a * np.arange(a)), "re": pa.array(x.real.copy()), "im": pa.array(x.imag.copy())})
+        return result(table, k + n // a * np.arange(a), x)
 
     def once(table: pa.Table) -> pa.Table:
         n = table["n"][0].as_py()
-        y = short(table, table["_i"].to_numpy(), table["_v"].to_numpy(), n)
-        out = columns(table, n)
-        out.pop("_a")
-        return pa.table(out | {"k": pa.array(np.arange(n)), "re": pa.array(y.real.copy()), "im": pa.array(y.imag.copy())})
+        return result(table, np.arange(n), short(table, table["_i"].to_numpy(), table["_v"].to_numpy(), n))
 
-    result = ", ".join(filter(None, [_kinds(df, keys), "n long, k long, re double, im double"]))
-    whole = s.where("_a = 1").groupBy(*keys, "n").applyInArrow(once, result)
+    schema = ", ".join(filter(None, [_kinds(df, keys), "n long, k long, re double, im double"]))
+    whole = s.where("_a = 1").groupBy(*keys, "n").applyInArrow(once, schema)
     first = s.where("_a > 1").withColumn("_r", F.col("_i") % F.col("_a")).groupBy(*keys, "_r").applyInArrow(inner, f"{kinds}, _r long, _k long, re double, im double")
-    return whole.unionByName(first.groupBy(*keys, "_k").applyInArrow(outer, result))
+    return whole.unionByName(first.groupBy(*keys, "_k").applyInArrow(outer, schema))
 
 
 def coherence_matrix(df: DataFrame, keys: Sequence[str], channel: str, index: str, value: str, fs: float, low: float, high: float) -> DataFrame:
@@ -280,15 +299,16 @@ def coherence_matrix(df: DataFrame, keys: Sequence[str], channel: str, index: st
 
     Mean |X * conj(Y)| squared over the product of mean |X| ** 2 and |Y| ** 2 (plus
     1e-9); a channel whose band is empty is left out. Bins go to groups, each of which
-    adds one matrix of sums; channels with gaps are left out, as in ``spectrum``.
+    adds one matrix of sums; channels with gaps are left out, as in ``spectrum``. A
+    channel that ends before the longest one of its recording goes on with its mean.
     """
-    s = spectrum(df, [*keys, channel], index, value)
+    s = spectrum(df, [*keys, channel], index, value, keys)
     f = F.col("k") * fs / F.col("n")
     band = s.where((F.col("k") < (F.col("n") + 1) / 2) & (f > low) & (f < high)).select(*keys, channel, "k", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("_m"))
     kind = df.schema[channel].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
-        pdf = table.select([channel, "k", "_m"]).to_pandas().pivot(index=channel, columns="k", values="_m").fillna(0.0)
+        pdf = table.select([channel, "k", "_m"]).to_pandas().pivot(index=channel, columns="k", values="_m")  # all channels have all bins
         m = pdf.to_numpy()
         i, j = np.triu_indices(len(m))
         names = pa.array(pdf.index.to_list(), table.schema.field(channel).type)

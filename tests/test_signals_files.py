@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from neurotab.functions import clinical
 from neurotab.operators import signal, windows
+from neurotab.plans import catalog
 from neurotab.sources import batch, features
 from neurotab.streaming import carried
 
@@ -102,6 +103,56 @@ def test_coherence_matrix(spark):
     assert len(got) == 6
 
 
+def _padded(x, n):
+    """The spectrum of x, which goes on with its mean up to n samples."""
+    return np.fft.fft(np.append(x, np.full(n - len(x), x.mean())))
+
+
+def _coherence(spectra, inside):
+    """Coherence by pair of channels from band means."""
+    m = {(i, j): abs(x * y.conj())[inside].mean() for i, x in spectra.items() for j, y in spectra.items()}
+    return {(i, j): m[i, j] ** 2 / (m[i, i] * m[j, j] + 1e-9) for i, j in m if i <= j}
+
+
+def test_spectrum_of_a_common_length(spark):
+    n = 1 << 17  # two steps; the shorter ones lack samples of some residues, or of none
+    x = 40 + np.random.default_rng(3).normal(size=n)
+    sizes = {0: n, 1: 100, 2: 70001}
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"rec": 1, "c": c, "i": np.arange(m), "v": x[:m]}) for c, m in sizes.items()] + [pd.DataFrame({"rec": 2, "c": 0, "i": np.arange(45), "v": x[:45]})]))
+    got = windows.spectrum(df, ["rec", "c"], "i", "v", ["rec"]).toPandas().sort_values("k")
+    for c, m in sizes.items():
+        g = got[(got.rec == 1) & (got.c == c)]
+        assert (g.n == n).all() and g.k.tolist() == list(range(n)) and np.allclose(g.re + 1j * g.im, _padded(x[:m], n), atol=1e-6)
+    other = got[got.rec == 2]
+    assert len(other) == 45 and np.allclose(other.re + 1j * other.im, np.fft.fft(x[:45]), atol=1e-8)
+    every = windows.spectrum(df.where("c = 1 or rec = 2"), ["rec", "c"], "i", "v", []).toPandas()
+    assert (every.n == 100).all() and len(every) == 200
+
+
+def test_coherence_matrix_of_channels_of_unequal_length(spark):
+    x = 100 + np.random.default_rng(8).normal(size=(4, 700))
+    x[3] = 7.0  # constant
+    sizes = [700, 601, 333, 20]
+    df = _frame(spark, x, {(c, i) for c, m in enumerate(sizes) for i in range(m, 700)}).withColumnRenamed("k", "rec")
+    got = {(r.a, r.b): r.coherence for r in windows.coherence_matrix(df, ["rec"], "c", "i", "v", 50.0, 6.0, 12.0).collect()}
+    f = np.fft.fftfreq(700, 1 / 50.0)
+    want = _coherence({c: _padded(x[c, :m], 700) for c, m in enumerate(sizes)}, (f > 6.0) & (f < 12.0))
+    assert got == pytest.approx(want) and got[3, 3] == pytest.approx(0)
+
+
+def test_coherence_query_takes_all_samples(spark):
+    sf = "/root/testdata/sf0.001"
+    e = pd.read_parquet(f"{sf}/events.parquet").sort_values(["user_id", "ts", "event_id"])
+    want = {}
+    for rec, of in e.groupby(e.user_id // 8):
+        x = {u: g.value.to_numpy() for u, g in of.groupby("user_id")}
+        n = max(map(len, x.values()))
+        f = np.fft.fftfreq(n, 1 / 10.0)
+        want |= {(rec, *pair): c for pair, c in _coherence({u: _padded(v, n) for u, v in x.items()}, (f > 1.0) & (f < 3.0)).items()}
+    got = {(r.recording, r.a, r.b): r.coherence for r in catalog.QUERIES["signal_coherence_matrix"](spark, sf).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_batch_keeps_failures_as_rows(spark, tmp_path):
     r = np.random.default_rng(6)
     fs = 2000.0
